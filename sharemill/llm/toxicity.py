@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 #: Labelled rows fitted on: the first of each label by a hash of doc_id, texts up to a length.
 #: These bound the classifier's training alone; scoring reads every text whole.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 1500, 3000, 20_000
+MOST_TOXIC, MOST_CLEAN, LONGEST = 1000, 2000, 8000
 #: Words in a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 40, 20
 HIDDEN, ATTENTION, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 6, 1 << 13
-EPOCHS, BATCH, RATE, SEED, THRESHOLD = 14, 128, 0.01, 5, 0.7
+#: Passes over the sample, more where it is small so that there are at least STEPS steps.
+EPOCHS, STEPS, BATCH, RATE, SEED, THRESHOLD = 8, 200, 128, 0.01, 5, 0.7
 #: Words whose inputs a worker remembers.
 REMEMBERED = 200_000
 WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
@@ -202,7 +203,7 @@ def window_logits(net: Network, table: np.ndarray, idx: np.ndarray, length: np.n
     return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
+def fit(texts: list[str], labels: list[int]) -> Network:
     """Multiple-instance training: a document's label is learnt at its highest window so far, and
     for label 0 at another one too. Without both labels the network stays near the given share."""
     y = np.array(labels, np.float32)
@@ -226,7 +227,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
     rng = np.random.default_rng(SEED)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    step = 0
+    step, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // (2 * len(y))))
     for epoch in range(epochs):
         logit = window_logits(net, net.projected(net.inputs(words)[0]), idx, length)
         top = np.array([s + int(np.argmax(logit[s:e])) for s, e in zip(starts, np.r_[starts[1:], len(of)], strict=True)])
