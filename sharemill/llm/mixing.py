@@ -96,6 +96,13 @@ def documents_mixed(docs: DataFrame) -> DataFrame:
     return mix(own).withColumn("probability", F.round("probability", 9))
 
 
+def sampled(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """The sampled rows of docs(doc_id, text, source, lang, ...), with the columns of docs."""
+    cols = docs.columns
+    own = docs.withColumns({"__topic": topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
+    return mix(own, ["source", "lang", "__topic"], "__tokens", rate).where("kept").select(*cols)
+
+
 def oracle() -> str:
     """The same over DuckDB's view of documents: the raking passes are so many common tables."""
     ctes = [f"""d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text,

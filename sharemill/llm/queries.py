@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, merkle, mixing, packing, secrets, sharding, simhash, token_counts, toxicity
+from . import hpy_lm, media, merkle, mixing, packing, secrets, sharding, simhash, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy_lm.score(documents(spark, sf_dir))
+
+
 def op4_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_edit_aware_token_counts, op2_simhash_near_dedup, op4_bounded_space_packing, op5_rake_and_sample, op6_bounded_ring_sharding,
+    op1_edit_aware_token_counts, op2_simhash_near_dedup, op3_pitman_yor_scores, op4_bounded_space_packing, op5_rake_and_sample, op6_bounded_ring_sharding,
     op7_interleaved_media, op8_toxicity_gru, op9_merkle_fingerprints, op10_linked_secrets,
 )
 QUERIES = {f.__name__: f for f in _ALL}

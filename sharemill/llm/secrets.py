@@ -119,3 +119,43 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
+#: Documents with linked spans up to which their table is broadcast.
+MOST_LINKED = 100_000
+MARK = "[secret]"
+
+
+def merged(ordered: Column) -> Column:
+    """Spans in order, with those that overlap made one."""
+    one = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("stop")))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        meets = (F.size(acc) > 0) & (s["start"] < last["stop"])
+        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(last["start"], F.greatest(last["stop"], s["stop"])))).otherwise(F.concat(acc, one(s["start"], s["stop"])))
+
+    return F.aggregate(ordered, F.array().cast("array<struct<start: int, stop: int>>"), step)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with every span of find_secrets() in text replaced by MARK, and n_chars following where
+    there is such a column. Every row stays; null texts stay null."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    f = found_in(F.col("text"))
+    base = lambda: F.concat(f["assign"], f["access"], f["hex"])
+    weak = F.concat(f["key"], f["account"], f["endpoint"])
+    key = F.xxhash64(F.col("doc_id").cast("long"), t)
+    parts = materialize(docs.select(key.alias("key"), F.explode(F.when(F.size(weak) > 0, F.concat(base(), weak)).otherwise(F.array().cast(f"array<{SPAN}>"))).alias("s")).select("key", "s.*").distinct(), "parts")
+    more = linked(parts.where(F.col("kind").isin(*NEEDS)), parts).groupBy("key").agg(F.collect_set(F.struct("start", "stop", "kind")).alias("more"))
+    more = materialize(more, "linked")
+    few = F.broadcast(more) if more.count() <= MOST_LINKED else more
+    own = docs.select("*", key.alias("__key"), base().alias("__base")).join(few, F.col("__key") == F.col("key"), "left")
+    spans_ = merged(in_order(F.concat(F.coalesce("__base", F.array().cast(f"array<{SPAN}>")), F.coalesce("more", F.array().cast(f"array<{SPAN}>")))))
+    own = own.withColumn("__spans", spans_)
+    stops = F.concat(F.array(F.lit(0)), F.col("__spans.stop"))
+    starts = F.concat(F.col("__spans.start"), F.array(F.length("text")))
+    kept = F.zip_with(stops, starts, lambda a, b: F.col("text").substr(a + 1, b - a))
+    new = F.when(F.size("__spans") > 0, F.array_join(kept, MARK)).otherwise(F.col("text"))
+    own = own.withColumn("text", new)
+    if "n_chars" in docs.columns:
+        own = own.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return own.select(*docs.columns)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,9 @@ from .text import shingle_hashes, simhash, words
 SHARD, DENSE = 1024, 8192
 #: Fingerprints drawn to place vantage points and radii; they affect speed only.
 SAMPLE, DEEPEST = 16384, 16
-#: Hashes of a document that make it a candidate partner, and documents of a tile.
-ANCHORS, TILE = 6, 1024
+#: Bands of so many least hashes each that make texts candidates, texts in a block of a large
+#: group, and the bits in which SimHashes of texts that are 0.8 alike don't differ more.
+BANDS, ROWS, BLOCK, WIDEST = 16, 4, 1024, 24
 
 
 def fingerprints(docs: DataFrame, ngram: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,3 +152,120 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, radius: int = 2) -> DataFra
     to = parts.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     class_of = distinct.join(to, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return own.join(class_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """Band keys and the sorted set of 32-bit shingle hashes."""
+    own = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+    if not len(own):
+        return [], b""
+    k = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        a, b = k * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), k * np.uint64(0xC2B2AE3D27D4EB4F)
+        least = np.full(len(k), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for lo in range(0, len(own), 4096):
+            x = own[lo : lo + 4096].astype(np.uint64)[:, None] * a + b
+            least = np.minimum(least, ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
+    bands = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(bytes([i]) + r.tobytes()) - (1 << 63) for i, r in enumerate(bands)], own.tobytes()
+
+
+def sketches(docs: DataFrame, ngram: int) -> DataFrame:
+    """(doc_id, digest of the words, fp, bands, hashes) for every row."""
+    schema = "doc_id long, digest string, fp long, bands array<long>, hashes binary"
+    types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = words(text.as_py())
+                h = shingle_hashes(w, ngram)
+                out.append((doc_id, xxhash.xxh3_128_hexdigest(b" ".join(w)), simhash(h), *sketch(h)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split(" ")[0] for x in schema.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def alike(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose shingle sets are at least so similar: pairs near in
+    SimHash come first, and those that are connected already need no comparing."""
+    n = len(fps)
+    size = np.array([len(s) for s in sets])
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for lo in range(0, n, 512):
+        d = distance(fps[lo : lo + 512, None], fps[None, :])
+        small, large = np.minimum(size[lo : lo + 512, None], size), np.maximum(size[lo : lo + 512, None], size)
+        fits = (d <= WIDEST) & (small >= similarity * large) & (np.arange(lo, min(n, lo + 512))[:, None] < np.arange(n))
+        i, j = np.nonzero(fits)
+        order = np.argsort(d[i, j], kind="stable")
+        for x, y in zip((i[order] + lo).tolist(), j[order].tolist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= similarity * (size[x] + size[y] - both):
+                    root[max(p, q)] = min(p, q)
+                    out.append((x, y))
+    return out
+
+
+def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, component_id) for every row: texts whose sets of n-word
+    shingles are at least so similar (Jaccard) are linked, and links are followed.
+
+    At this similarity 64-bit SimHashes differ in up to 17 bits, a radius at which no ball of a
+    vantage-point tree prunes anything. Texts therefore become candidates by bands of least
+    shingle hashes; SimHash then puts near pairs first and rules out far ones, and the sets
+    decide. Equal word sequences are one text from the start. Groups larger than BLOCK are split
+    into pairs of blocks. Null and empty texts are alike; null ids are kept and never name a
+    component; repeated rows are kept; an empty table gives an empty result."""
+    spark = docs.sparkSession
+    own = materialize(sketches(docs, ngram), "sketches")
+    texts = own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands")).where("rep is not null")
+    texts = materialize(texts, "texts")
+    banded = texts.select("rep", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
+    groups = groups.groupBy("n", "least", "mark").agg(F.min("band").alias("band"))  # the same texts meet in many bands
+    members = banded.join(groups.select("band", "n"), "band")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
+    members = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("t", F.explode(tiles)).select("rep", F.xxhash64("band", "t.i", "t.j").alias("tile"))
+    sets = own.select(F.col("doc_id").alias("rep"), "digest", "fp", "hashes").join(texts.select("digest", "rep"), ["digest", "rep"], "left_semi")
+    meet = sets.select("rep", "fp", "hashes").join(members, "rep")
+
+    def search(t: pa.Table) -> pa.Table:
+        reps, first = np.unique(t.column("rep").to_numpy(), return_index=True)
+        fps = t.column("fp").to_numpy()[first].view(np.uint64)
+        found = alike(fps, [np.frombuffer(t.column("hashes")[int(k)].as_py(), np.uint32) for k in first], similarity)
+        return pa.table({"a": pa.array([int(reps[x]) for x, _ in found], pa.int64()), "b": pa.array([int(reps[y]) for _, y in found], pa.int64())})
+
+    linked = meet.repartition(shuffle_partitions(spark), "tile").groupBy("tile").applyInArrow(search, "a long, b long")
+    parts = connected_components(linked)
+    class_of = texts.join(parts, texts.rep == parts.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return own.select("doc_id", "digest").join(class_of, "digest", "left").select("doc_id", "component_id")
+
+
+#: Ids up to which a list of them is broadcast.
+MOST_IDS = 1_000_000
+
+
+def deduplicated(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs with one document of each group of similar texts: that of the least id.
+    Rows without an id stay; of rows that repeat an id one stays. Columns are those of docs."""
+    found = materialize(similar(docs, ngram, similarity), "classes")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if n := twice.count():
+        few = F.broadcast(twice) if n <= MOST_IDS else twice
+        docs = docs.join(few, "doc_id", "left_anti").select(docs.columns).union(docs.join(few, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    few = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
+    return docs.join(few, "doc_id", "left_anti").select(docs.columns)

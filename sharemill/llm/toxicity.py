@@ -19,7 +19,7 @@ MOST_TOXIC, MOST_CLEAN, LONGEST = 1000, 2000, 8000
 WINDOW, STRIDE = 40, 20
 HIDDEN, ATTENTION, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 6, 1 << 13
 #: Passes over the sample, more where it is small so that there are at least STEPS steps.
-EPOCHS, STEPS, BATCH, RATE, SEED, THRESHOLD = 8, 200, 128, 0.01, 5, 0.7
+EPOCHS, STEPS, BATCH, RATE, SEED, THRESHOLD = 8, 64, 128, 0.01, 5, 0.7
 #: Words whose inputs a worker remembers.
 REMEMBERED = 200_000
 WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
@@ -38,9 +38,10 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(b))  # bytes to the word's end
     out, of = [], []
     for n in (3, 4, 5):
-        h = np.full(max(0, len(b) - n + 1), n, np.uint64)
+        size = max(0, len(b) - n + 1)
+        h = np.full(size, n, np.uint64)
         for k in range(n):
-            h = (h * np.uint64(1099511628211)) ^ b[k : len(b) - n + 1 + k]
+            h = (h * np.uint64(1099511628211)) ^ b[k : k + size]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         fits = room[: len(h)] >= n
         out.append((h[fits] >> np.uint64(40)).astype(np.int64) % CHAR_BUCKETS)
@@ -324,3 +325,9 @@ def documents_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net)
     held = F.coalesce(~learnt(F.col("doc_id")), F.lit(False))
     return own.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score below the threshold, with the columns of docs."""
+    net = fit(*sample(docs, labels, learnt))
+    return score(docs, net).where(F.col("score") < THRESHOLD).select(*[c for c in docs.columns if c != "score"])

@@ -1,0 +1,167 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import corpus_pipeline as P
+import numpy as np
+from edge import empty, frame
+
+from sharemill.llm import mixing, secrets, simhash, toxicity
+
+
+def jaccard(a, b, n=5):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def planted(n=60, seed=3):
+    """Base texts, and copies with words changed here and there."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 60, 300]))]
+        if k % 3 == 0:
+            w = [f"c{j}" for j in range(40)] + w  # a passage that many share
+        out.append(" ".join(w))
+        for _ in range(rng.choice([0, 0, 1, 6])):
+            c = list(w)
+            for _ in range(rng.choice([0, 1, 3, 9])):
+                c[rng.randrange(len(c))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(c))
+    return [(k * 7 % 1009, t) for k, t in enumerate(out)]
+
+
+def components(rows, similarity=0.8):
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if jaccard(a, b) >= similarity:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i, _ in rows}
+
+
+def test_similar_texts_match_all_pairs(spark, monkeypatch):
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(rows)
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == want
+    monkeypatch.setattr(simhash, "BLOCK", 3)  # groups fall into many blocks
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == want
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == sorted({v for v in want.values()})
+
+
+def test_deduplicated_edges(spark):
+    df = frame(spark)
+    got = simhash.deduplicated(df)
+    assert got.columns == df.columns
+    ids = Counter(r.doc_id for r in got.collect())
+    assert ids[0] == 1 and ids[1] == ids[2] == ids[3] == 0  # texts without words are one
+    assert ids[6] == 1 and ids[7] == 0 and ids[None] == 1 and ids[8] == 1
+    assert simhash.deduplicated(empty(spark)).count() == 0
+
+
+def test_redacted_leaves_no_span(spark, sf):
+    df = frame(spark, sf)
+    got = secrets.redacted(df)
+    assert got.columns == df.columns and got.count() == df.count()
+    key = lambda r: (r.doc_id, r.lang is None)
+    before, after = defaultdict(list), defaultdict(list)
+    for r in df.collect():
+        before[key(r)].append(r.text)
+    spans = defaultdict(list)
+    for r in secrets.find_secrets(df).collect():
+        spans[r.doc_id].append(r.spans)
+    for r in got.collect():
+        after[key(r)].append(r.text)
+        if r.text and secrets.MARK in r.text:
+            assert r.n_chars == len(r.text)
+    for k, texts in before.items():
+        for a, b in zip(sorted(texts, key=str), sorted(after[k], key=str), strict=True):
+            if not any(spans[k[0]]):
+                assert a == b
+    assert not secrets.find_secrets(got).where("n_access + n_hex > 0").count()
+    one = spark.createDataFrame([(1, "é token=abcdef1 z deadbeefdeadbeefdeadbeefdeadbeef")], "doc_id long, text string")
+    assert secrets.redacted(one).first().text == "é [secret] z [secret]"
+
+
+def test_mixing_meets_targets(spark, sf):
+    rows = [(k, ["a", "b"][k % 4 == 0], ["en", "fr", None][k % 3], "w " * (1 + k % 50)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    own = df.withColumns({"topic": mixing.topic(df.text), "n_tokens": mixing.n_tokens(df.text)})
+    got = mixing.mix(own, ["source", "lang", "topic"], targets={"source": {"a": 0.5, "b": 0.5}}, rate=0.4).collect()
+    assert len(got) == len(rows)
+    kept, share = defaultdict(int), 0
+    for r in got:
+        if r.kept:
+            kept[r.source] += r.n_tokens
+            share += r.n_tokens
+    assert abs(kept["a"] / share - 0.5) < 0.03 and abs(share / sum(r.n_tokens for r in got) - 0.4) < 0.02
+    assert mixing.mix(own.limit(0)).count() == 0
+    assert mixing.sampled(frame(spark, sf)).columns == frame(spark, sf).columns
+    assert [r.n for r in spark.sql("select '' t union all select ' a\\tb \\n c' union all select null").select(mixing.n_tokens(mixing.F.col("t")).alias("n")).collect()] == [1, 4, 1]
+
+
+def test_toxicity_on_held_out_rows(spark, sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.documents_scored(docs, labels).collect()}
+    held = [(got[r.doc_id], r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    assert np.mean([r.predicted == t for r, t in held]) > 0.92 and sum(r.predicted for r, t in held if not t) <= 1
+    again = {r.doc_id: r.score for r in toxicity.documents_scored(docs.repartition(3), labels).collect()}
+    assert all(abs(again[i] - r.score) < 1e-5 for i, r in got.items())
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (77, 1)], "doc_id long, toxic int")
+    df = frame(spark)
+    got = toxicity.documents_scored(df, labels).collect()
+    assert len(got) == df.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.documents_scored(empty(spark), labels).count() == 0
+    assert toxicity.windows(0) == [(0, 0)] and toxicity.windows(41) == [(0, 40), (20, 41)]
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network.start({"bad": 1, "ok": 2}, np.array([1.0, -1.0]), rng.normal(0, 0.1, toxicity.CHAR_BUCKETS))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words = ["bad", "ok", "other", "x"]
+    idx, length, y = rng.integers(0, 4, (5, 6)), np.array([6, 3, 1, 5, 2]), np.array([1.0, 0, 1, 0, 0])
+    _, g = net.gradients(words, idx, length, y)
+    for k in g:
+        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
+        old = net.p[k][at]
+        ends = []
+        for e in (1e-3, -1e-3):
+            net.p[k][at] = old + e
+            ends.append(net.gradients(words, idx, length, y)[0])
+        net.p[k][at] = old
+        assert abs((ends[0] - ends[1]) / 2e-3 - g[k][at]) < 2e-3 * max(1, abs(g[k][at])), k
+
+
+def test_stages_in_turn(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        n, m = docs.count(), out.count()
+        assert (m == n) if name == "secrets" else 0 < m <= n
+        if name == "near_duplicates":
+            rows = [(r.doc_id, r.text) for r in docs.collect()]
+            assert {r.doc_id for r in out.collect()} == set(components(rows).values())
+        docs = out
+    packed = P.run(spark, sf)
+    assert packed.agg({"length": "sum"}).first()[0] > 0
+    assert [re.sub(r"\W", "", n) for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
