@@ -26,7 +26,7 @@ def dot(x: Column, w: Sequence[int]) -> Column:
 
 def dense(x: Column, w: Sequence[Sequence[int]], bias: Sequence[int], scale: int) -> Column:
     """W x + b in fixed point, rounded once per output: weights are literals, so nothing is joined."""
-    return F.array(*(rescale(dot(x, row), scale) + b for row, b in zip(w, bias, strict=True)))
+    return F.zip_with(F.array(*(dot(x, row) for row in w)), F.lit(list(bias)).cast("array<bigint>"), lambda v, b: rescale(v, scale) + b)
 
 
 def dense_per_term(x: Column, w: Sequence[Sequence[int]], scale: int) -> Column:
@@ -47,5 +47,7 @@ def scale_by(a: DataFrame, c: int, p: int) -> DataFrame:
     return a.withColumn("y", mulmod(F.col("y"), c % p, p))
 
 
+#: The outer form is used on computed arrays that are never empty: the plain one adds a filter on the
+#: array's size, which Spark would push below and so work out everything twice over.
 def long_form(df: DataFrame, key: str, array: str, value: str = "y", at: str = "j") -> DataFrame:
-    return df.select(key, F.posexplode(array).alias(at, value))
+    return df.select(key, F.posexplode_outer(array).alias(at, value))

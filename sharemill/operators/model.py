@@ -50,19 +50,17 @@ def forward(x: DataFrame, w: Weights, scale: int) -> DataFrame:
 def gradients(x: DataFrame, w: Weights, scale: int) -> DataFrame:
     """rows (x, label) -> (layer, i, j, y): sums over rows of the gradients of cross-entropy, each
     term rounded, aggregated before they are shuffled."""
-    zero = F.lit(0).cast("long")
-    own = forward(x, w, scale)
-    p = softmax(F.col("z2"), scale)
-    own = own.withColumn("dz2", F.transform(p, lambda v, c: v - F.when(c == F.col("label"), F.lit(scale)).otherwise(F.lit(0))))
+    own = softmax(forward(x, w, scale), "z2", len(w.w2), "p", scale)
+    own = own.withColumn("dz2", F.transform("p", lambda v, c: v - F.when(c == F.col("label"), F.lit(scale)).otherwise(F.lit(0))))
     columns = list(zip(*w.w2, strict=True))
-    da1 = F.array(*(rescale(F.aggregate(F.zip_with("dz2", F.lit(list(c)).cast("array<bigint>"), lambda a, b: a * b), zero, lambda s, v: s + v), scale) for c in columns))
+    da1 = dense(F.col("dz2"), columns, [0] * len(columns), scale)
     own = own.withColumn("dz1", F.zip_with(da1, F.col("z1"), relu_backward))
     outer = lambda d, a: F.flatten(F.transform(d, lambda g: F.transform(a, lambda v: rescale(g * v, scale))))
     parts = F.array(
         *(F.struct(F.lit(n).alias("layer"), F.lit(m).alias("width"), v.alias("v")) for n, m, v in (
             ("w1", len(w.w1[0]), outer(F.col("dz1"), F.col("x"))), ("b1", 1, F.col("dz1")), ("w2", len(w.w1), outer(F.col("dz2"), F.col("a1"))), ("b2", 1, F.col("dz2"))))
     )
-    cells = own.select(F.explode(parts).alias("p")).select("p.layer", "p.width", F.posexplode("p.v").alias("k", "g"))
+    cells = own.select(F.explode(parts).alias("p")).select("p.layer", "p.width", F.posexplode_outer("p.v").alias("k", "g"))
     summed = cells.groupBy("layer", "width", "k").agg(F.sum("g").alias("y"))
     at = F.expr("cast(k div width as int)")
     return summed.select("layer", at.alias("i"), (F.col("k") - at * F.col("width")).cast("int").alias("j"), "y")

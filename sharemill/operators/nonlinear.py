@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.field import clip, col, lift, rescale, submod
+from ..functions.field import clip, lift, rescale, submod
 
 
 def greater(a: Column, b: Column, p: int) -> Column:
@@ -53,24 +53,37 @@ def exp_pade22(x: Column, scale: int) -> Column:
 
 
 def log_atanh(x: Column, scale: int, terms: int = 5) -> Column:
-    """2 atanh((x - 1) / (x + 1)) by its series, for x > 0."""
-    y = divide(x - scale, x + scale, scale)
-    square = rescale(y * y, scale)
-    total, power = y, y
-    for k in range(1, terms):
-        power = rescale(power * square, scale)
-        total = total + rescale(power, 2 * k + 1)
-    return total * 2
-
-
-def softmax(logits: Column, scale: int, limit: int = 4, temperature: int = 1) -> Column:
-    """An array of logits to an array of probabilities that sum to scale: shifted by the maximum,
-    clipped, exponentiated, divided, projected; what rounding leaves goes to the largest."""
-    zero = F.lit(0).cast("long")
-    own = F.transform(logits, lambda v: rescale(v, temperature)) if temperature != 1 else logits
-    e = F.transform(own, lambda v: clip(exp_pade22(clip(v - F.array_max(own), -limit * scale, limit * scale), scale), 1, scale * 55))
-    total = F.aggregate(e, zero, lambda s, v: s + v)
-    q = F.transform(e, lambda v: clip(rescale(v * scale, total), 0, scale))
-    rest = F.aggregate(q, col(scale), lambda s, v: s - v)
-    top = F.array_position(q, F.array_max(q)) - 1
-    return F.transform(q, lambda v, k: F.when(k == top, v + rest).otherwise(v))
+    """2 atanh((x - 1) / (x + 1)) by its series, for x > 0. The powers are folded over an array, so
+    none is worked out twice."""
+    fields = "y bigint, square bigint, power bigint, total bigint"
+    first = F.transform(F.array(divide(x - scale, x + scale, scale)), lambda y: F.struct(y.alias("y"), rescale(y * y, scale).alias("square"), y.alias("power"), y.alias("total")))
+    start = F.struct(*(F.lit(0).cast("long").alias(n.split(" ")[0]) for n in fields.split(", ")))
+
+    def step(acc: Column, odd: Column) -> Column:
+        p = rescale(acc["power"] * acc["square"], scale)
+        return F.struct(acc["y"].alias("y"), acc["square"].alias("square"), p.alias("power"), (acc["total"] + rescale(p, odd)).alias("total"))
+
+    powers = F.lit([2 * k + 1 for k in range(1, terms)]).cast("array<bigint>")
+    begin = F.coalesce(F.get(first, 0), start)
+    return F.aggregate(powers, begin, step, lambda acc: acc["total"] * 2)
+
+
+def softmax(df: DataFrame, logits: str, classes: int, out: str, scale: int, limit: int = 4, temperature: int = 1) -> DataFrame:
+    """Adds out: an array of probabilities that sum to scale, from an array of so many logits.
+
+    Logits are shifted by the maximum, clipped, exponentiated, divided and projected; what rounding
+    leaves goes to the largest. Classes are columns of their own while this is worked out, so it
+    stays within generated code and no step is done twice."""
+    n, keep = range(classes), df.columns
+    names = lambda p: [F.col(f"_{p}{i}") for i in n]
+    own = df.withColumns({f"_z{i}": rescale(F.get(F.col(logits), F.lit(i)), temperature) if temperature != 1 else F.get(F.col(logits), F.lit(i)) for i in n})
+    own = own.withColumn("_m", F.greatest(*names("z")))
+    own = own.withColumns({f"_c{i}": clip(F.col(f"_z{i}") - F.col("_m"), -limit * scale, limit * scale) for i in n})
+    own = own.withColumns({f"_s{i}": rescale(rescale(F.col(f"_c{i}") * F.col(f"_c{i}"), scale), 12) for i in n})
+    own = own.withColumns({f"_h{i}": rescale(F.col(f"_c{i}"), 2) for i in n})
+    own = own.withColumns({f"_e{i}": clip(rescale((F.col(f"_s{i}") + F.col(f"_h{i}") + scale) * scale, F.col(f"_s{i}") - F.col(f"_h{i}") + scale), 1, scale * 55) for i in n})
+    own = own.withColumn("_t", sum(names("e")[1:], F.col("_e0")))
+    own = own.withColumns({f"_q{i}": clip(rescale(F.col(f"_e{i}") * scale, F.col("_t")), 0, scale) for i in n})
+    own = own.withColumns({"_r": F.lit(scale).cast("long") - sum(names("q")[1:], F.col("_q0")), "_top": F.greatest(*names("q"))})
+    own = own.withColumn("_at", F.coalesce(*(F.when(F.col(f"_q{i}") == F.col("_top"), i) for i in n)))
+    return own.select(*[c for c in keep if c != out], F.array(*(F.col(f"_q{i}") + F.when(F.col("_at") == i, F.col("_r")).otherwise(0) for i in n)).alias(out))
