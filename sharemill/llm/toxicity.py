@@ -177,9 +177,13 @@ def odds(docs: list[list], y: np.ndarray, least: int) -> tuple[list, np.ndarray]
     for d, label in zip(docs, y.tolist(), strict=True):
         (pos if label else neg).update(set(d))
     keys = sorted(k for k in {*pos, *neg} if pos[k] + neg[k] >= least)
+    return keys, shrunken(np.array([pos[k] for k in keys], float), np.array([neg[k] for k in keys], float), y)
+
+
+def shrunken(t: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Half the log-odds of counts with label 1 and 0 against the labels' own, as if six more were seen."""
     share = max(1e-3, min(1 - 1e-3, float(y.mean())))
-    t, c = np.array([pos[k] for k in keys], float), np.array([neg[k] for k in keys], float)
-    return keys, (np.log((t + 6 * share) / (c + 6 * (1 - share))) - np.log(share / (1 - share))) / 2
+    return (np.log((t + 6 * share) / (c + 6 * (1 - share))) - np.log(share / (1 - share))) / 2
 
 
 def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,10 +219,12 @@ def fit(texts: list[str], labels: list[int]) -> Network:
     ids, counts = grams(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
     ends = np.cumsum(counts)
     docs = [np.fromiter((at[w] for w in d), np.int64, len(d)) for d in own]
-    gram_docs = [np.unique(np.concatenate([ids[ends[w] - counts[w] : ends[w]] for w in np.unique(d)] or [np.empty(0, np.int64)])).tolist() for d in docs]
-    buckets, bucket_odds = odds(gram_docs, y, 5) if len(y) else ([], np.empty(0))
-    char_odds = np.zeros(CHAR_BUCKETS)
-    char_odds[np.array(buckets, np.int64)] = bucket_odds / 2
+    del own, at
+    seen = np.zeros((2, CHAR_BUCKETS))
+    for d, label in zip(docs, y.astype(int).tolist(), strict=True):
+        if len(d):
+            seen[label, np.unique(np.concatenate([ids[ends[w] - counts[w] : ends[w]] for w in np.unique(d)]))] += 1
+    char_odds = np.where(seen.sum(axis=0) >= 5, shrunken(seen[1], seen[0], y) / 2, 0.0) if len(y) else np.zeros(CHAR_BUCKETS)
     net = Network.start({w: k + 1 for k, w in enumerate(keys)}, word_odds, char_odds)
     if not len(y) or y.min() == y.max():
         net.p["wo"][:] = 0

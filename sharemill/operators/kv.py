@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def accepted(log: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -42,7 +43,7 @@ def compare_and_set(log: DataFrame, key: str, order: Sequence[str]) -> DataFrame
 
     cols = [key, *order, "expected", "version"]
     own = log.select(*cols).repartition(F.col(key)).sortWithinPartitions(key, *order)
-    schema = own.schema.add("success", "boolean").add("current", "long")
+    schema = StructType([*own.schema.fields, StructField("success", BooleanType()), StructField("current", LongType())])
     names = [f.name for f in schema]
 
     def fold(batches):

@@ -42,7 +42,7 @@ def last_seen(stream: DataFrame) -> DataFrame:
 
 def sampler(stream: DataFrame, every: str = "6 hours", delay: str = "1 hour") -> DataFrame:
     """Tumbling windows of samples behind a watermark. In append mode the last window stays open."""
-    w = F.window(F.col("ts").cast("timestamp"), every)
+    w = F.window("ts", every)
     own = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return own.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("peak")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "peak")
 
