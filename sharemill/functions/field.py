@@ -113,3 +113,8 @@ def hash60(*parts: Column | str | int) -> Column:
     """60 bits from a keyed SHA-256: the same everywhere, below every 61-bit prime."""
     own = [x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in parts]
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *own).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+
+
+def element(p: int, *parts: Column | str | int) -> Column:
+    """A keyed field element: the hash itself where the field is larger than 60 bits."""
+    return hash60(*parts) if p >= 1 << 60 else hash60(*parts) % p

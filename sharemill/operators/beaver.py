@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.field import hash60, modsum, mulmod, submod
+from ..functions.field import element, modsum, mulmod, submod
 from ..spec import FieldSpec
 from .sharing import at_party, masks, weighted
 
 
 def triple(key: Sequence[Column], spec: FieldSpec) -> tuple[Column, Column, Column]:
-    a, b = hash60("a", *key), hash60("b", *key)
+    a, b = element(spec.p, "a", *key), element(spec.p, "b", *key)
     return a, b, mulmod(a, b, spec.p)
 
 
@@ -41,7 +41,7 @@ def multiply(x: DataFrame, y: DataFrame, key: Sequence[str], spec: FieldSpec) ->
     both = x.select(*key, "party", F.col("y").alias("v"), F.lit(0).alias("side")).unionByName(y.select(*key, "party", F.col("y").alias("v"), F.lit(1).alias("side")))
     both = both.where(F.col("party").isin(use)).withColumn("_w", weighted(F.col("v"), F.col("party"), use, 0, p))
     opened = both.groupBy(*key).agg(*(modsum(F.when(F.col("side") == s, F.col("_w")).otherwise(0), p).alias(f"_o{s}") for s in (0, 1)))
-    own = opened.withColumns({"_a": hash60("a", *keys), "_b": hash60("b", *keys)})
+    own = opened.withColumns({"_a": element(spec.p, "a", *keys), "_b": element(spec.p, "b", *keys)})
     own = own.withColumns({"_c": mulmod(F.col("_a"), F.col("_b"), p), "d": submod(F.col("_o0"), F.col("_a"), p), "e": submod(F.col("_o1"), F.col("_b"), p)})
     own = own.withColumns({f"_m{n}{k}": m for n in "abc" for k, m in enumerate(masks(spec, f"triple_{n}", *keys))})
     parts = F.array(*(F.struct(F.lit(i).alias("party"), *(_at(n, i, spec).alias(n) for n in "abc")) for i in spec.parties))

@@ -8,13 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.field import hash60, modsum, mulmod
+from ..functions.field import element, modsum, mulmod
 from ..functions.lagrange import basis, vanishing
 from ..spec import FieldSpec
 
 
 def masks(spec: FieldSpec, label: str, *key: Column) -> list[Column]:
-    return [hash60(label, *key, k) for k in range(1, spec.t + 1)]
+    return [element(spec.p, label, *key, k) for k in range(1, spec.t + 1)]
 
 
 def at_party(secret: Column, party: int, own_masks: Sequence[Column], p: int) -> Column:
@@ -53,7 +53,7 @@ def reconstruct(shares: DataFrame, key: Sequence[str], spec: FieldSpec, parties:
 def packed_polynomial(secrets: Sequence[Column], at: int, spec: FieldSpec, label: str, *key: Column) -> Column:
     """The value at `at` of the polynomial through the secrets at -1..-k and t masks at 1..t."""
     points = [-j for j in range(1, len(secrets) + 1)] + list(range(1, spec.t + 1))
-    values = [*secrets, *(hash60(label, *key, m) for m in range(1, spec.t + 1))]
+    values = [*secrets, *(element(spec.p, label, *key, m) for m in range(1, spec.t + 1))]
     out = F.lit(0).cast("long")
     for lam, v in zip(basis(points, at, spec.p), values, strict=True):
         out = (out + mulmod(v, lam, spec.p)) % spec.p
@@ -99,7 +99,7 @@ def pack(lanes: DataFrame, key: Sequence[str], spec: FieldSpec, label: str = "pa
     own = lanes.where(F.col("party").isin(use)).withColumn("_w", weighted(F.col("y"), F.col("party"), use, 0, spec.p))
     sent = own.withColumn("_r", F.explode(F.array(*rows))).select(*key, "_r.target", "_r.part")
     summed = sent.groupBy(*key, F.col("target").alias("party")).agg(modsum(F.col("part"), spec.p).alias("y"))
-    hide = F.coalesce(*(F.when(F.col("party") == j, mulmod(hash60(label, *map(F.col, key), 1), vanishing(points, j, spec.p), spec.p)) for j in spec.parties))
+    hide = F.coalesce(*(F.when(F.col("party") == j, mulmod(element(spec.p, label, *map(F.col, key), 1), vanishing(points, j, spec.p), spec.p)) for j in spec.parties))
     return summed.select(*key, "party", ((F.col("y") + hide) % spec.p).alias("y"))
 
 
@@ -117,7 +117,7 @@ def refresh(shares: DataFrame, key: Sequence[str], spec: FieldSpec, label: str =
     for sender in spec.parties:
         for k in range(1, spec.t + 1):
             power = F.coalesce(*(F.when(F.col("party") == j, F.lit(pow(j, k, spec.p)).cast("long")) for j in spec.parties))
-            y = (y + mulmod(hash60(label, *map(F.col, key), sender, k), power, spec.p)) % spec.p
+            y = (y + mulmod(element(spec.p, label, *map(F.col, key), sender, k), power, spec.p)) % spec.p
     return shares.withColumn("y", y)
 
 

@@ -205,6 +205,19 @@ def safety_bound(spark, d):
     return grid.withColumns({"safe": 2 * (F.col("t") + F.col("s") - 1) < F.col("n"), "max_k": F.greatest(F.lit(1), F.least(F.lit(16), F.expr("cast((n - 2 * t + 1) div 2 as int)")))})
 
 
+_SMALL = 11  # numbers of orders are taken mod this, so that their inverses are a short list
+
+
+@query(f"""WITH t AS (SELECT o_custkey AS key, {msum(mod(fix('o_totalprice', 100)))} AS total, count(*) % {_SMALL} AS n FROM orders GROUP BY o_custkey)
+SELECT key, total, CAST(n AS BIGINT) AS n, CASE n {' '.join(f'WHEN {k} THEN {mul("total", pow(k, -1, P))}' for k in range(1, _SMALL))} ELSE 0 END AS y FROM t""")
+def field_average(spark, d):
+    """The sum times the field inverse of a count; no inverse of 0, which gives 0."""
+    own = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), fd.field(fd.fixed(F.col("o_totalprice"), 100), P).alias("v"))
+    own = own.groupBy("key").agg(fd.modsum(F.col("v"), P).alias("total"), (F.count("*") % _SMALL).alias("n"))
+    by = F.coalesce(*(F.when(F.col("n") == k, fd.mulmod(F.col("total"), pow(k, -1, P), P)) for k in range(1, _SMALL)), F.lit(0).cast("long"))
+    return own.select("key", "total", "n", by.alias("y"))
+
+
 @query("SELECT CAST(20 * 5 AS BIGINT) AS num, CAST(20 AS BIGINT) AS quarter, CAST(25 AS BIGINT) AS ratio")
 def field_division(spark, d):
     from ..functions.lagrange import inverse

@@ -244,6 +244,17 @@ def context_tags(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("m"), (k % 7).cast("string"), F.lit("_grad")).alias("context"), F.concat(F.lit("data/train/"), k.cast("string")).alias("sample_key"), F.concat(F.lit("weights/layer/"), (k % 4).cast("string")).alias("layer_key"))
 
 
+@query("SELECT doc_id, concat('data/', CASE WHEN toxic = 1 THEN 'test' ELSE 'train' END, '/', doc_id) AS key, concat('data/batch/', doc_id // 64, '/inputs') AS inputs_key, concat('weights/v', quality, '/', doc_id % 4) AS weights_key FROM labels")
+def kvs_keys(spark, d):
+    """Store keys of a sample, of its minibatch and of a weight version."""
+    split = F.when(F.col("toxic") == 1, "test").otherwise("train")
+    text = lambda c: F.expr(c).cast("string")
+    return table(spark, d, "labels").select(
+        "doc_id", F.concat_ws("/", F.lit("data"), split, text("doc_id")).alias("key"), F.concat(F.lit("data/batch/"), text("doc_id div 64"), F.lit("/inputs")).alias("inputs_key"),
+        F.concat(F.lit("weights/v"), text("quality"), F.lit("/"), text("doc_id % 4")).alias("weights_key"),
+    )
+
+
 @query("WITH b AS (SELECT sum(value) AS t FROM events WHERE event_id % 2 = 0), v AS (SELECT sum(value) AS t FROM events WHERE event_id % 2 = 1) SELECT round(100 * (v.t - b.t) / b.t, 4) AS pct FROM b, v")
 def versioning_overhead(spark, d):
     """Two runs side by side: one aggregation instead of a join of their totals."""
