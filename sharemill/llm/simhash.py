@@ -22,8 +22,8 @@ SHARD, DENSE = 1024, 8192
 #: Fingerprints drawn to place vantage points and radii; they affect speed only.
 SAMPLE, DEEPEST = 16384, 16
 #: Bands of so many least hashes each that make texts candidates, texts in a block of a large
-#: group, and the bits in which SimHashes of texts that are 0.8 alike don't differ more.
-BANDS, ROWS, BLOCK, WIDEST = 16, 4, 1024, 24
+#: group, and others up to which a text meets them one by one.
+BANDS, ROWS, BLOCK, FEW = 16, 4, 1024, 8
 
 
 def fingerprints(docs: DataFrame, ngram: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,39 +181,44 @@ def sketches(docs: DataFrame, ngram: int) -> DataFrame:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = words(text.as_py())
                 h = shingle_hashes(w, ngram)
-                out.append((doc_id, xxhash.xxh3_128_hexdigest(b" ".join(w)), simhash(h), *sketch(h)))
+                out.append((doc_id, xxhash.xxh3_128_hexdigest(b" ".join(w)), simhash(np.unique(h)), *sketch(h)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split(" ")[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def alike(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose shingle sets are at least so similar: pairs near in
-    SimHash come first, and those that are connected already need no comparing."""
-    n = len(fps)
+def alike(fps: np.ndarray, sets: list[np.ndarray], similarity: float, comp: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose shingle sets (not empty) are at least so similar. Texts
+    that are connected already, as comp may say from the start, aren't compared. A text that has
+    few others left meets them by SimHash distance, nearest first; else it meets all at once."""
+    n = len(sets)
     size = np.array([len(s) for s in sets])
-    root, out = list(range(n)), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for lo in range(0, n, 512):
-        d = distance(fps[lo : lo + 512, None], fps[None, :])
-        small, large = np.minimum(size[lo : lo + 512, None], size), np.maximum(size[lo : lo + 512, None], size)
-        fits = (d <= WIDEST) & (small >= similarity * large) & (np.arange(lo, min(n, lo + 512))[:, None] < np.arange(n))
-        i, j = np.nonzero(fits)
-        order = np.argsort(d[i, j], kind="stable")
-        for x, y in zip((i[order] + lo).tolist(), j[order].tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both >= similarity * (size[x] + size[y] - both):
-                    root[max(p, q)] = min(p, q)
-                    out.append((x, y))
+    starts, flat = np.r_[0, np.cumsum(size)], np.concatenate(sets)
+    known, place = np.unique(flat), np.empty(len(flat), np.int32)
+    for lo in range(0, len(flat), 1 << 20):
+        place[lo : lo + (1 << 20)] = np.searchsorted(known, flat[lo : lo + (1 << 20)])
+    mark, out = np.zeros(len(known), bool), []
+    comp = np.arange(n) if comp is None else np.unique(comp, return_inverse=True)[1]
+    for x in range(n - 1):
+        rest = slice(x + 1, n)
+        fits = (comp[rest] != comp[x]) & (np.minimum(size[x], size[rest]) >= similarity * np.maximum(size[x], size[rest]))
+        todo = np.flatnonzero(fits) + x + 1
+        if not len(todo):
+            continue
+        own = place[starts[x] : starts[x + 1]]
+        mark[own] = True
+        if len(todo) > FEW:
+            at = starts[x + 1]
+            both = np.add.reduceat(mark[place[at:]], starts[x + 1 : n] - at, dtype=np.int64)[todo - x - 1]
+        else:
+            todo = todo[np.argsort(distance(fps[todo], fps[x]), kind="stable")]
+            both = np.array([np.count_nonzero(mark[place[starts[y] : starts[y + 1]]]) for y in todo])
+        mark[own] = False
+        for y in todo[both >= similarity * (size[x] + size[todo] - both)].tolist():
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                out.append((x, y))
     return out
 
 
@@ -223,8 +228,7 @@ def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFra
 
     At this similarity 64-bit SimHashes differ in up to 17 bits, a radius at which no ball of a
     vantage-point tree prunes anything. Texts therefore become candidates by bands of least
-    shingle hashes; SimHash then puts near pairs first and rules out far ones, and the sets
-    decide. Equal word sequences are one text from the start. Groups larger than BLOCK are split
+    shingle hashes; SimHash then puts near pairs first, and the sets decide. Equal word sequences are one text from the start. Groups larger than BLOCK are split
     into pairs of blocks. Null and empty texts are alike; null ids are kept and never name a
     component; repeated rows are kept; an empty table gives an empty result."""
     spark = docs.sparkSession
