@@ -24,6 +24,8 @@ SAMPLE, DEEPEST = 16384, 16
 #: Bands of so many least hashes each that make texts candidates, texts in a block of a large
 #: group, and others up to which a text meets them one by one.
 BANDS, ROWS, BLOCK, FEW = 16, 4, 1024, 8
+#: Bytes of large groups' least texts up to which they are broadcast.
+MOST_BYTES = 16 << 20
 
 
 def fingerprints(docs: DataFrame, ngram: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,14 +224,63 @@ def alike(fps: np.ndarray, sets: list[np.ndarray], similarity: float, comp: np.n
     return out
 
 
+def links_to_least(banded: DataFrame, large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(a, b): members of large groups that are so similar to their group's least text; None
+    without large groups."""
+    least = large.select(F.col("least").alias("b")).distinct()
+    n = least.count()
+    if not n:
+        return None
+    pairs = banded.join(large.select("band", F.col("least").alias("b")), "band").where("rep <> b").select("rep", "b").distinct()
+    to = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("other")).join(least, "b", "left_semi")
+    size = to.agg(F.sum(F.length("other"))).first()[0] or 0
+    to = F.broadcast(to) if size <= MOST_BYTES else to
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            fits = []
+            for x, y in zip(t.column(2), t.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                fits.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    met = sets.select("rep", "hashes").join(pairs, "rep").join(to, "b").select("rep", "b", "hashes", "other")
+    return materialize(met.mapInArrow(keep, "a long, b long"), "star")
+
+
+def tiles(banded: DataFrame, groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """(rep, comp, tile): the tiles in which a group's members meet. In a large group those that are
+    connected to its least text are dealt into near blocks and others into far blocks; a tile is
+    a near and a far block or two far ones."""
+    parts = materialize(parts, "parts")
+    homes = groups.join(parts, groups.least == parts.node, "left").select("band", "n", F.when(F.col("n") > BLOCK, F.col("component")).alias("home"))
+    members = banded.join(homes, "band").join(parts, F.col("rep") == F.col("node"), "left")
+    members = members.select("rep", "band", F.coalesce("component", "rep").alias("comp"), F.coalesce(F.col("component") == F.col("home"), F.lit(False)).alias("near"))
+    members = materialize(members, "members")
+    count = lambda own: F.ceil(F.count_if(own) / BLOCK).cast("int")
+    blocks = members.groupBy("band").agg(count(F.col("near")).alias("nears"), count(~F.col("near")).alias("fars")).where("fars > 0")
+    own = members.join(blocks, "band")
+    all_of = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))).cast("int")
+    tile = lambda kind, i, j: F.xxhash64(F.col("band"), F.lit(kind), i, j)
+    near = F.transform(all_of("fars"), lambda j: tile("near", F.col("mine"), j))
+    far = F.concat(
+        F.transform(all_of("nears"), lambda i: tile("near", i, F.col("mine"))),
+        F.transform(all_of("fars"), lambda k: tile("far", F.least(F.col("mine"), k), F.greatest(F.col("mine"), k))),
+    )
+    return own.withColumn("mine", mine).select("rep", "comp", F.explode(F.when(F.col("near"), near).otherwise(far)).alias("tile"))
+
+
 def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, component_id) for every row: texts whose sets of n-word
     shingles are at least so similar (Jaccard) are linked, and links are followed.
 
     At this similarity 64-bit SimHashes differ in up to 17 bits, a radius at which no ball of a
     vantage-point tree prunes anything. Texts therefore become candidates by bands of least
-    shingle hashes; SimHash then puts near pairs first, and the sets decide. Equal word sequences are one text from the start. Groups larger than BLOCK are split
-    into pairs of blocks. Null and empty texts are alike; null ids are kept and never name a
+    shingle hashes; SimHash then puts near pairs first, and the sets decide. Equal word sequences are one text from the start. Groups larger than BLOCK first meet
+    their least text; those connected by that aren't compared with each other, and the rest meets
+    all in pairs of blocks. Null and empty texts are alike; null ids are kept and never name a
     component; repeated rows are kept; an empty table gives an empty result."""
     spark = docs.sparkSession
     own = materialize(sketches(docs, ngram), "sketches")
@@ -237,22 +288,24 @@ def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFra
     texts = materialize(texts, "texts")
     banded = texts.select("rep", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
-    groups = groups.groupBy("n", "least", "mark").agg(F.min("band").alias("band"))  # the same texts meet in many bands
-    members = banded.join(groups.select("band", "n"), "band")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
-    members = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("t", F.explode(tiles)).select("rep", F.xxhash64("band", "t.i", "t.j").alias("tile"))
-    sets = own.select(F.col("doc_id").alias("rep"), "digest", "fp", "hashes").join(texts.select("digest", "rep"), ["digest", "rep"], "left_semi")
-    meet = sets.select("rep", "fp", "hashes").join(members, "rep")
+    groups = materialize(groups.groupBy("n", "least", "mark").agg(F.min("band").alias("band")), "groups")  # the same texts meet in many bands
+    sets = own.select(F.col("doc_id").alias("rep"), "digest", "fp", "hashes").join(texts.select("digest", "rep"), ["digest", "rep"], "left_semi").select("rep", "fp", "hashes")
+    star = links_to_least(banded, groups.where(F.col("n") > BLOCK), sets, similarity)
+    if star is None:
+        members = banded.join(groups.select("band"), "band").select("rep", F.col("rep").alias("comp"), F.xxhash64("band").alias("tile"))
+    else:
+        members = tiles(banded, groups, connected_components(star))
+    meet = sets.join(members, "rep")
 
     def search(t: pa.Table) -> pa.Table:
         reps, first = np.unique(t.column("rep").to_numpy(), return_index=True)
-        fps = t.column("fp").to_numpy()[first].view(np.uint64)
-        found = alike(fps, [np.frombuffer(t.column("hashes")[int(k)].as_py(), np.uint32) for k in first], similarity)
+        fps, comp = t.column("fp").to_numpy()[first].view(np.uint64), t.column("comp").to_numpy()[first]
+        found = alike(fps, [np.frombuffer(t.column("hashes")[int(k)].as_py(), np.uint32) for k in first], similarity, comp)
         return pa.table({"a": pa.array([int(reps[x]) for x, _ in found], pa.int64()), "b": pa.array([int(reps[y]) for _, y in found], pa.int64())})
 
     linked = meet.repartition(shuffle_partitions(spark), "tile").groupBy("tile").applyInArrow(search, "a long, b long")
+    if star is not None:
+        linked = linked.union(star)
     parts = connected_components(linked)
     class_of = texts.join(parts, texts.rep == parts.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return own.select("doc_id", "digest").join(class_of, "digest", "left").select("doc_id", "component_id")
