@@ -62,6 +62,14 @@ def test_similar_texts_match_all_pairs(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == sorted({v for v in want.values()})
 
 
+def test_repeated_lines_lose_no_link(spark):
+    """Sets of shingles are alike however often a line repeats, which SimHashes of repeats aren't."""
+    w, line = [f"w{k}" for k in range(200)], " ".join(f"r{k}" for k in range(30))
+    often = " ".join([*w, *[line] * 60])
+    df = spark.createDataFrame([(1, " ".join([*w, line, line])), (2, often), (3, "x " + often), (4, " ".join(w[100:]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_deduplicated_edges(spark):
     df = frame(spark)
     got = simhash.deduplicated(df)
