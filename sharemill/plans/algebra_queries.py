@@ -92,6 +92,41 @@ def matrix_scale(spark, d):
     return linalg.scale_by(small(spark, d), 777, P)
 
 
+#: The queries above keep the id subsets that their SQL fixes. Those named _all take every vector and
+#: every component; joins and sums in SQL are too slow for them, so tests compare brute force.
+def every(spark, d):
+    return cells(spark, d).select(F.col("vec_id").alias("i"), "j", fd.field(F.col("y"), P).alias("y"))
+
+
+@query()
+def matmul_raw_all(spark, d):
+    """The product of the transposed matrix with itself: as large as the components are many."""
+    own = vectors(spark, d, S).select(F.transform("x", lambda v: fd.field(v, P)).alias("x"))
+    rows = own.select("x", F.posexplode_outer("x").alias("i", "a")).select("i", "a", F.posexplode_outer("x").alias("j", "b"))
+    return rows.groupBy("i", "j").agg(fd.modsum(fd.mulmod(F.col("a"), F.col("b"), P), P).alias("y"))
+
+
+@query()
+def outer_product_all(spark, d):
+    rows = vectors(spark, d, S).select("vec_id", "x", F.posexplode_outer("x").alias("i", "a")).select("vec_id", "i", "a", F.posexplode_outer("x").alias("j", "b"))
+    return rows.select("vec_id", "i", "j", fd.rescale(F.col("a") * F.col("b"), S).alias("y"))
+
+
+@query()
+def transpose_all(spark, d):
+    return linalg.transpose(every(spark, d))
+
+
+@query()
+def matrix_add_all(spark, d):
+    return linalg.add(every(spark, d), every(spark, d), P)
+
+
+@query()
+def matrix_scale_all(spark, d):
+    return linalg.scale_by(every(spark, d), 777, P)
+
+
 @query(f"""WITH a AS (SELECT i, k, {h("'A'", 'i', 'k')} AS y FROM range(20) r(i), range(12) q(k)), b AS (SELECT k, j, {h("'B'", 'k', 'j')} AS y FROM range(12) r(k), range(16) q(j))
 SELECT a.i, b.j, {msum(mul('a.y', 'b.y'))} AS y FROM a JOIN b USING (k) GROUP BY a.i, b.j""")
 def matrix_triple(spark, d):
@@ -344,6 +379,20 @@ def mlp_sgd_step(spark, d):
     return rows.join(g, ["layer", "i", "j"]).select("layer", "i", "j", (F.col("v") - fd.rescale(F.col("y") * _RATE, S * 64)).alias("y"))
 
 
+@query()
+def mlp_gradients_all(spark, d):
+    return model.gradients(vectors(spark, d, S), W, S)
+
+
+@query()
+def mlp_sgd_step_all(spark, d):
+    """One step over all rows: the summed gradients are divided by the number of rows."""
+    rows = spark.createDataFrame(W.rows(), "layer string, i int, j int, v long")
+    n = max(1, table(spark, d, "embeddings").count())
+    g = rows.join(mlp_gradients_all(spark, d), ["layer", "i", "j"], "left")
+    return g.select("layer", "i", "j", (F.col("v") - fd.rescale(F.coalesce("y", F.lit(0).cast("long")) * _RATE, S * n)).alias("y"))
+
+
 @query()
 def mlp_train_epochs(spark, d):
     """Two epochs over all embeddings; weights as (layer, i, j, y)."""
