@@ -41,12 +41,21 @@ def kvs_get_min_version(spark, d):
 
 @query(f"WITH {_CUR} SELECT k.c_custkey AS key, c.version, c.value, CASE WHEN c.key IS NULL THEN 'MISSING' WHEN c.version < k.c_custkey % 50 THEN 'STALE' ELSE 'OK' END AS status FROM customer k LEFT JOIN c ON c.key = k.c_custkey WHERE k.c_custkey % 3 = 0")
 def kvs_get_batch(spark, d):
-    wanted = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"))
-    own = kv.fresh(current(spark, d), wanted, ["key"], 0)
+    return statuses(spark, d, table(spark, d, "customer").where("c_custkey % 3 = 0"))
+
+
+def statuses(spark, d, customers):
+    own = kv.fresh(current(spark, d), customers.select(F.col("c_custkey").alias("key")), ["key"], 0)
     status = F.when(F.col("version").isNull(), "MISSING").when(F.col("version") < F.col("key") % 50, "STALE").otherwise("OK")
     return own.withColumn("status", status)
 
 
+@query(f"WITH {_CUR} SELECT k.c_custkey AS key, c.version, c.value, CASE WHEN c.key IS NULL THEN 'MISSING' WHEN c.version < k.c_custkey % 50 THEN 'STALE' ELSE 'OK' END AS status FROM customer k LEFT JOIN c ON c.key = k.c_custkey")
+def kvs_get_batch_all(spark, d):
+    """The above for every customer."""
+    return statuses(spark, d, table(spark, d, "customer"))
+
+
 @query(f"""WITH RECURSIVE {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, o_orderkey) AS seq, CASE WHEN version % 2 = 0 THEN 0 ELSE version - 1 END AS expected FROM g),
 f AS (SELECT key, seq, o_orderkey, expected IN (0, -1) AS success, CASE WHEN expected IN (0, -1) THEN version END AS current FROM n WHERE seq = 1
 UNION ALL SELECT n.key, n.seq, n.o_orderkey, CASE WHEN f.current IS NULL THEN n.expected IN (0, -1) ELSE n.expected = f.current AND n.version > n.expected END,
@@ -238,6 +247,14 @@ def batch_tag(spark, d):
     return ids.select("batch", F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("tag"))
 
 
+@query("SELECT l_orderkey AS batch, substr(sha256(concat('v1:', string_agg(CAST(k AS VARCHAR), ',' ORDER BY k))), 1, 16) AS tag FROM (SELECT DISTINCT l_orderkey, l_partkey AS k FROM lineitem) GROUP BY 1")
+def batch_tag_all(spark, d):
+    """A tag for every batch over its real ids: a batch is one order's parts, as few as its lines."""
+    ids = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
+    text = F.concat(F.lit("v1:"), F.array_join(F.col("ids").cast("array<string>"), ","))
+    return ids.select("batch", F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("tag"))
+
+
 @query("SELECT o_orderkey, concat('m', o_orderkey % 7, '_grad') AS context, concat('data/train/', o_orderkey) AS sample_key, concat('weights/layer/', o_orderkey % 4) AS layer_key FROM orders")
 def context_tags(spark, d):
     k = F.col("o_orderkey")

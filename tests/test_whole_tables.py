@@ -1,5 +1,8 @@
 """Queries over whole tables against brute force, on a table whose ids lie beyond any subset."""
 
+import hashlib
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
@@ -71,3 +74,17 @@ def test_gradients_sum_over_every_row(spark, folder, table):
     step = {(n, i, j): v - near(want[n, i, j] * round(0.05 * S), S * N) for n, i, j, v in w.rows()}
     assert got(spark, folder, "mlp_sgd_step_all", "layer", "i", "j") == step
     assert model.step(w, [{"layer": n, "i": i, "j": j, "y": y} for (n, i, j), y in want.items()], round(0.05 * S), S, N).w1[3][5] == step["w1", 3, 5]
+
+
+def test_every_customer_has_a_status(spark, sf):
+    keys = sorted(r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect())
+    rows = QUERIES["kvs_get_batch_all"](spark, sf).collect()
+    assert sorted(r.key for r in rows) == keys and all(r.status in ("MISSING", "STALE", "OK") for r in rows)
+
+
+def test_every_batch_has_a_tag_of_its_real_ids(spark, sf):
+    ids = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        ids[r.l_orderkey].add(r.l_partkey)
+    want = {k: hashlib.sha256(("v1:" + ",".join(map(str, sorted(v)))).encode()).hexdigest()[:16] for k, v in ids.items()}
+    assert {r.batch: r.tag for r in QUERIES["batch_tag_all"](spark, sf).collect()} == want
