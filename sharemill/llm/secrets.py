@@ -16,14 +16,14 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Weak candidates: 40 key characters, a named account, an endpoint.
 KEY = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
-ACCOUNT = r"""(?:user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-ENDPOINT = r"""(?:https?|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9@:%._/?&=+-]+"""
+ACCOUNT = r"""(?i:user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+ENDPOINT = r"""(?i:https?|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9@:%._/?&=+-]+"""
 KINDS = ["assign", "access", "hex", "key", "account", "endpoint"]
 #: What each kind is part of a credential as.
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "account": "id", "endpoint": "endpoint"}
 #: The roles that must all lie within a weak candidate's scope.
 NEEDS = {"key": ["id"], "account": ["secret"], "endpoint": ["id", "secret"]}
-#: Code points between the starts of parts of one scope.
+#: Code points between the end of one part and the start of the next, at most, in one scope.
 SCOPE = 256
 SPAN = "struct<start: int, stop: int, kind: string>"
 
@@ -76,21 +76,23 @@ def joined(ordered: Column) -> Column:
 
 
 def linked(weak: DataFrame, parts: DataFrame) -> DataFrame:
-    """The weak spans (key, start, stop, kind) all of whose needed roles start within SCOPE of them,
-    by an interval join: parts are put in the bins of SCOPE code points that they can reach, and a
-    semi-join on document and bin compares places. It never makes a row for a pair."""
+    """The weak spans (key, start, stop, kind) all of whose needed roles lie within SCOPE of them,
+    end to start, by an interval join: a weak span is put in every bin of SCOPE code points that it
+    covers, a part in every bin that it reaches, and a semi-join on document and bin compares places.
+    It never makes a row for a pair; a long span makes a row for each bin."""
     role = F.create_map(*(F.lit(x) for k, r in ROLE.items() for x in (k, r)))
-    w = weak.withColumn("bin", F.expr(f"start div {SCOPE}"))
-    p = parts.select(F.col("key").alias("p_key"), F.col("start").alias("p_start"), role[F.col("kind")].alias("role"))
-    p = p.withColumn("p_bin", F.explode(F.expr(f"array(p_start div {SCOPE} - 1, p_start div {SCOPE}, p_start div {SCOPE} + 1)")))
+    p = parts.select(F.col("key").alias("p_key"), F.col("start").alias("p_start"), F.col("stop").alias("p_stop"), role[F.col("kind")].alias("role"))
+    p = p.withColumn("p_bin", F.explode(F.expr(f"sequence((p_start div {SCOPE}) - 1, (p_stop div {SCOPE}) + 1)")))
+    gap = F.greatest("start", "p_start") - F.least("stop", "p_stop")
     out = None
     for kind, roles in NEEDS.items():
-        own = w.where(F.col("kind") == kind)
+        own = weak.where(F.col("kind") == kind)
         for r in roles:
             other = p.where(F.col("role") == r)
-            own = own.join(other, (own.key == other.p_key) & (own.bin == other.p_bin) & (F.abs(own.start - other.p_start) <= SCOPE), "left_semi")
+            binned = own.withColumn("bin", F.explode(F.expr(f"sequence(start div {SCOPE}, stop div {SCOPE})")))
+            own = binned.join(other, (binned.key == other.p_key) & (binned.bin == other.p_bin) & (gap <= SCOPE), "left_semi").drop("bin").distinct()
         out = own if out is None else out.union(own)
-    return out.drop("bin")
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:

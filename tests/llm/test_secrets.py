@@ -53,3 +53,22 @@ def test_matches_brute_force(spark, sf):
     assert "account" in by[900] and "key" in by[900] and "endpoint" in by[900]
     assert by[901] == by[902] == "" and "account" not in by[903] and "endpoint" not in by[904] and "key" in by[904]
     assert secrets.find_secrets(empty(spark)).count() == 0
+
+
+JWT = "token=" + "aB3." * 150
+GAPS = [
+    (1, JWT + " user=alice https://db.example.com/x", {"account", "endpoint"}),  # the secret is longer than the scope
+    (2, "https://db.example.com/" + "p" * 5000 + " user=bob password=abcdef", {"endpoint", "account"}),  # so is the endpoint
+    (3, JWT + " " * 256 + "user=carol", {"account"}), (4, JWT + " " * 257 + "user=carol", set()),
+    (5, "user=" + "x" * 700 + " " * 250 + "password=abcdef", {"account"}),
+    (6, "USERNAME=dave Password=abcdef HTTPS://db.example.com", {"account", "endpoint"}), (7, "Login: erin, secret: abcdef", {"account"}),
+]
+
+
+def test_parts_link_by_the_gap_between_them(spark):
+    docs = spark.createDataFrame([g[:2] for g in GAPS], "doc_id long, text string")
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in secrets.find_secrets(docs).collect()}
+    assert {k: {x for x in v if x in ("account", "endpoint")} for k, v in got.items()} == {k: want for k, _, want in GAPS}
+    assert all(len(v) == len(want) + 1 for k, _, want in GAPS for v in [got[k]])  # each span once
+    text = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert text[1] == text[2] == "[secret] [secret] [secret]" and text[6] == "[secret] [secret] [secret]" and text[4].endswith("user=carol")
