@@ -4,6 +4,9 @@ probabilities of their cells. Only cells are shuffled for the fit, never documen
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from .store import materialize
 #: of tokens kept where no cell saturates, and the seed of the draw.
 PASSES, TEMPER, RATE, SEED = 8, 0.7, 0.5, 17
 DIMS = ["source", "lang", "topic"]
+#: The largest error of a margin, as a part of its goal, at which a fit is done; passes up to which it
+#: is tried at one rate; what the rate is multiplied by where cells can't give enough.
+TOLERANCE, MOST_PASSES, LOWER = 1e-6, 300, 0.95
 #: Cells up to which their table is broadcast.
 MOST_CELLS = 100_000
 
@@ -61,46 +67,114 @@ def rake(cell: DataFrame, dims: list[str], passes: int = PASSES, temper: float =
     return out
 
 
+def capped(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rate: float) -> tuple[np.ndarray, float]:
+    """Probabilities min(1, product of the margins' factors) whose expected tokens meet the shares of
+    rate times all tokens, and the largest error as a part of its goal. A pass solves each margin with
+    full cells held at 1, by Newton steps from below, which end since the sum is concave in the factor."""
+    w, whole = np.full(len(tokens), rate), tokens.sum()
+    error = np.inf
+    for _ in range(MOST_PASSES):
+        for k, share in zip(at, shares, strict=True):
+            goal, f = share * rate * whole, np.zeros(len(share))
+            for _ in range(100):
+                x = w * f[k]
+                short = goal - np.bincount(k, np.minimum(1, x) * tokens, len(goal))
+                slope = np.bincount(k, np.where(x < 1, w, 0) * tokens, len(goal))
+                more = np.divide(short, slope, out=np.zeros(len(goal)), where=(slope > 0) & (short > 1e-12 * whole))
+                f += more
+                if not more.any():
+                    break
+            w = np.minimum(w * f[k], 1e100)
+        p = np.minimum(1, w)
+        own = [np.bincount(k, p * tokens, len(share)) for k, share in zip(at, shares, strict=True)]
+        before, error = error, max((np.abs(o[g > 0] / (g[g > 0] * rate * whole) - 1).max(initial=0) for o, g in zip(own, shares, strict=True)), default=0.0)
+        if error <= TOLERANCE or error > 0.9999 * before:
+            break
+    return p, error
+
+
+def fitted(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rate: float) -> tuple[np.ndarray, float, float]:
+    """capped() at the highest rate tried at which the margins hold within TOLERANCE; with that rate
+    and the error. Where no rate helps (no cell is full and they still don't hold), at the rate given."""
+    if not tokens.sum():
+        return np.ones(len(tokens)), rate, 0.0
+    first = p, error = capped(tokens, at, shares, rate)
+    now = rate
+    while error > TOLERANCE and (p >= 1).any():
+        now *= LOWER
+        p, error = capped(tokens, at, shares, now)
+    return (p, now, error) if error <= TOLERANCE else (first[0], rate, first[1])
+
+
+def fit(cell: DataFrame, dims: list[str], rate: float, temper: float, targets: dict | None) -> DataFrame:
+    """The cells with cell_probability. Cells are as many as the combinations of dims, not documents;
+    they are fitted on the driver, at some dozen bytes each."""
+    rows = cell.select(*dims, F.coalesce("tokens", F.lit(0.0)).alias("tokens")).collect()
+    tokens = np.array([max(0.0, r["tokens"]) for r in rows])
+    at, shares = [], []
+    for d in dims:
+        names: dict = {}
+        at.append(np.array([names.setdefault(r[d], len(names)) for r in rows], np.int64))
+        if targets and d in targets:
+            raw = np.array([float(targets[d].get(v, 0.0)) for v in names])
+            raw = np.where(np.bincount(at[-1], tokens, len(names)) > 0, raw, 0.0)
+        else:
+            raw = (np.bincount(at[-1], tokens, len(names)) / (tokens.sum() or 1.0)) ** temper
+        shares.append(raw / (raw.sum() or 1.0))
+    p, used, error = fitted(tokens, at, shares, rate)
+    logging.getLogger(__name__).warning("mixing: %d cells, %d at probability 1, rate %.4f of %.4f asked, largest margin error %.2g of its goal", len(rows), (p >= 1).sum(), used, rate, error)
+    out = [(*(r[d] for d in dims), float(x) if t > 0 else 1.0) for r, x, t in zip(rows, p, tokens, strict=True)]
+    schema = cell.select(*(F.col(d).alias(f"cell_{d}") for d in dims), F.lit(1.0).cast("double").alias("cell_probability")).schema
+    return cell.sparkSession.createDataFrame(out, schema)
+
+
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) from the document's id alone."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", doc_id.cast("string"), F.lit(str(seed))).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens", rate: float = RATE, targets: dict | None = None, seed: int = SEED, passes: int = PASSES, temper: float = TEMPER) -> DataFrame:
+def mix(docs: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens", rate: float = RATE, targets: dict | None = None, seed: int = SEED, passes: int = PASSES, temper: float = TEMPER, clip: bool = False, instead: Column | None = None) -> DataFrame:
     """docs with doc_id, dims and a token count -> the same rows with probability and kept.
 
-    A document's probability is rate times its cell's raked weight over its tokens, 1 at most; it
-    is drawn by a hash of its id, so a row keeps its fate in any order and on any retry. Null
-    values of a dimension are a value of their own; null ids share one draw; rows that repeat
+    A document's probability is its cell's: cells that would need more than 1 are held at 1, and the
+    others are raked to what is left of the targets, at a lower rate where that can't hold otherwise
+    (fitted()). With clip, as op5's SQL has it, it is rate times the raked weight over the tokens, cut
+    at 1, and what is cut is lost. It is drawn by a hash of its id, so a row keeps its fate in any
+    order and on any retry. Null values of a dimension are a value of their own; null ids are drawn by
+    a hash of `instead`, such as the text, and share one draw without it; rows that repeat
     share theirs; an empty table stays empty; other columns pass through unless they are named
     probability or kept, which are replaced."""
     cell = materialize(cells(docs, dims, tokens), "cells")
-    fit = materialize(rake(cell, dims, passes, temper, targets), "raked")
-    few = fit.count() <= MOST_CELLS  # a row per cell; beyond that Spark joins by key and splits skewed ones
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens"))).otherwise(1.0)
-    fit = fit.select(*(F.col(d).alias(f"cell_{d}") for d in dims), p.alias("cell_probability"))
+    if clip:
+        raked = materialize(rake(cell, dims, passes, temper, targets), "raked")
+        p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens"))).otherwise(1.0)
+        found = raked.select(*(F.col(d).alias(f"cell_{d}") for d in dims), p.alias("cell_probability"))
+    else:
+        found = materialize(fit(cell, dims, rate, temper, targets), "fitted")
+    few = found.count() <= MOST_CELLS  # a row per cell; beyond that Spark joins by key and splits skewed ones
     meets = None
     for d in dims:
-        one = docs[d].eqNullSafe(fit[f"cell_{d}"])
+        one = docs[d].eqNullSafe(found[f"cell_{d}"])
         meets = one if meets is None else meets & one
     names = [c for c in docs.columns if c not in ("probability", "kept")]
-    fit = F.broadcast(fit) if few else fit
-    out = docs.join(fit, meets, "left")
-    return out.select(*names, F.col("cell_probability").alias("probability"), (draw(F.coalesce(F.col("doc_id"), F.lit(-1)), seed) < F.col("cell_probability")).alias("kept"))
+    found = F.broadcast(found) if few else found
+    out = docs.join(found, meets, "left")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-1") if instead is None else F.concat(F.lit("text|"), F.coalesce(instead, F.lit(""))))
+    return out.select(*names, F.col("cell_probability").alias("probability"), (draw(key, seed) < F.col("cell_probability")).alias("kept"))
 
 
 def documents_mixed(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source, lang, ...) -> doc_id, source, lang, topic, n_tokens, probability
-    (to 9 decimals) and kept, a row for each of them."""
+    (to 9 decimals) and kept, a row for each of them. By the law that its SQL fixes: with clip."""
     own = docs.select(F.col("doc_id").cast("long"), "source", "lang", topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"))
-    return mix(own).withColumn("probability", F.round("probability", 9))
+    return mix(own, clip=True).withColumn("probability", F.round("probability", 9))
 
 
 def sampled(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """The sampled rows of docs(doc_id, text, source, lang, ...), with the columns of docs."""
     cols = docs.columns
     own = docs.withColumns({"__topic": topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
-    return mix(own, ["source", "lang", "__topic"], "__tokens", rate).where("kept").select(*cols)
+    return mix(own, ["source", "lang", "__topic"], "__tokens", rate, instead=F.col("text")).where("kept").select(*cols)
 
 
 def oracle() -> str:

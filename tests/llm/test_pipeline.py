@@ -121,6 +121,30 @@ def test_mixing_meets_targets(spark, sf):
     assert [r.n for r in spark.sql("select '' t union all select ' a\\tb \\n c' union all select null").select(mixing.n_tokens(mixing.F.col("t")).alias("n")).collect()] == [1, 4, 1]
 
 
+def test_mixing_meets_targets_where_cells_are_full(spark):
+    rows = [(k, "src0" if k % 3 else f"src{1 + k % 30}", ["en", "en", "en", "fr"][k % 4], ("w " if k % 17 else " | ") * (1 + k % 50)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    own = df.withColumns({"topic": mixing.topic(df.text), "n_tokens": mixing.n_tokens(df.text)})
+    for rate in (0.5, 0.95):  # the higher one can't hold, so it is lowered
+        got = mixing.mix(own, rate=rate).collect()
+        assert any(r.probability == 1 for r in got)
+        whole = sum(r.n_tokens for r in got)
+        expected = sum(r.n_tokens * r.probability for r in got)
+        for d in mixing.DIMS:
+            seen, want = defaultdict(float), defaultdict(float)
+            for r in got:
+                seen[r[d]] += r.n_tokens
+                want[r[d]] += r.n_tokens * r.probability / expected
+            raw = {v: (n / whole) ** mixing.TEMPER for v, n in seen.items()}
+            assert all(abs(want[v] / (x / sum(raw.values())) - 1) < 1e-5 for v, x in raw.items())
+
+
+def test_mixing_draws_rows_without_an_id_by_their_text(spark):
+    df = spark.createDataFrame([(None, "a", "en", f"w{k}") for k in range(400)], "doc_id long, source string, lang string, text string")
+    assert 140 < mixing.sampled(df).count() < 260
+    assert sorted(r.text for r in mixing.sampled(df.repartition(5)).collect()) == sorted(r.text for r in mixing.sampled(df).collect())
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
