@@ -12,14 +12,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows fitted on: the first of each label by a hash of doc_id, texts up to a length.
+from .text import slices
+
+#: Labelled rows fitted on: the first of each label by a hash of doc_id, with their whole texts.
 #: These bound the classifier's training alone; scoring reads every text whole.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 1000, 2000, 8000
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: Words in a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 40, 20
-HIDDEN, ATTENTION, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 6, 1 << 13
+HIDDEN, ATTENTION, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 4, 4, 1 << 17
+#: Folds of the sample: a row trains on the odds of words and characters in the other folds, so that
+#: it doesn't see its own label. Share of learnt word inputs left out in training, and the weight decay.
+FOLDS, DROPOUT, DECAY = 5, 0.5, 0.02
+#: Bytes in a piece of ^word$.
+GRAMS = (3, 4, 5, 6)
+#: Inputs that are counted, not learnt: a word's odds, and the sum and extreme of its pieces' odds.
+FIXED = 3
+#: Odds count keys of so many documents, with so many more rows in between, less so many errors.
+LEAST, PRIOR, CAREFUL = 3, 6.0, 1.5
 #: Passes over the sample, more where it is small so that there are at least STEPS steps.
-EPOCHS, STEPS, BATCH, RATE, SEED, THRESHOLD = 8, 64, 128, 0.01, 5, 0.7
+#: The learnt inputs join after the FIRST part of the passes, when the network reads the odds well.
+EPOCHS, FIRST, STEPS, BATCH, RATE, SEED, THRESHOLD = 5, 0.6, 96, 128, 0.01, 5, 0.7
 #: Words whose inputs a worker remembers.
 REMEMBERED = 200_000
 WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
@@ -30,14 +42,14 @@ def tokens(text: str | None) -> list[str]:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 3- to 5-byte pieces of ^word$, and the number of pieces of each word."""
+    """Buckets of the pieces of ^word$, and the number of pieces of each word."""
     raw = [b"^" + w.encode("utf-8", "surrogatepass") + b"$" for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     word = np.repeat(np.arange(len(raw)), sizes)
     room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(b))  # bytes to the word's end
     out, of = [], []
-    for n in (3, 4, 5):
+    for n in GRAMS:
         size = max(0, len(b) - n + 1)
         h = np.full(size, n, np.uint64)
         for k in range(n):
@@ -61,6 +73,17 @@ def summed(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def largest(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The row of a run that is farthest from zero; zero for empty runs."""
+    out = np.zeros((len(counts), rows.shape[1]), np.float32)
+    has = counts > 0
+    if has.any():
+        starts = np.r_[0, np.cumsum(counts[has])[:-1]]
+        top, low = np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)
+        out[has] = np.where(top > -low, top, low)
+    return out
+
+
 def windows(n: int) -> list[tuple[int, int]]:
     """All windows over n words; every word lies in one, most in two. No words: one empty window."""
     return [(s, min(n, s + WINDOW)) for s in range(0, max(1, n - WINDOW + STRIDE), STRIDE)]
@@ -73,27 +96,46 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters as float32 arrays, with the passes over batches of windows."""
 
-    def __init__(self, vocabulary: dict[str, int], p: dict[str, np.ndarray]) -> None:
-        self.vocabulary, self.p = vocabulary, p
+    def __init__(self, vocabulary: dict[str, int], word_odds: np.ndarray, char_odds: np.ndarray, p: dict[str, np.ndarray]) -> None:
+        self.vocabulary, self.word_odds, self.char_odds, self.p = vocabulary, word_odds, char_odds, p
+        self.scale, self.shift = 1.0, 0.0
 
     @staticmethod
-    def start(vocabulary: dict[str, int], odds: np.ndarray, char_odds: np.ndarray) -> Network:
+    def start(vocabulary: dict[str, int], word_odds: np.ndarray, char_odds: np.ndarray) -> Network:
+        """word_odds: (folds, words + 1); char_odds: (folds, buckets); the last row is of all folds."""
         rng = np.random.default_rng(SEED)
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
-        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-        p = {"Ew": rng.normal(0, 0.1, (len(vocabulary) + 1, WORD_DIM)), "Ec": rng.normal(0, 0.05, (CHAR_BUCKETS, CHAR_DIM))}
-        p["Ew"][0] = 0
-        p["Ew"][1:, 0], p["Ec"][:, 0] = odds, char_odds
+        d, h = FIXED + WORD_DIM + CHAR_DIM, HIDDEN
+        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
+        p = {"Ew": np.zeros((len(vocabulary) + 1, WORD_DIM)), "Ec": np.zeros((CHAR_BUCKETS, CHAR_DIM))}
         for way in "fb":
             p |= {f"W{way}": draw(d, 3 * h), f"c{way}": np.zeros(3 * h), f"U{way}": draw(h, 3 * h)}
         p |= {"Wa": draw(2 * h, ATTENTION), "ca": np.zeros(ATTENTION), "va": draw(ATTENTION), "wo": draw(2 * h), "co": np.full(1, -1.0)}
-        return Network(vocabulary, {k: v.astype(np.float32) for k, v in p.items()})
+        return Network(vocabulary, word_odds.astype(np.float32), char_odds.astype(np.float32), {k: v.astype(np.float32) for k, v in p.items()})
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Input vectors, with the word rows and character buckets that they come from."""
+    def inputs(self, words: list[str], fold: np.ndarray | int = -1, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Input vectors of words, each with a fold whose labels its odds don't know (-1: all are
+        known), with the word rows and character buckets that they come from. keep: a factor for
+        the learnt inputs of each word, 0 where they are dropped."""
         wid = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         ids, counts = grams(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return np.concatenate([self.p["Ew"][wid], summed(self.p["Ec"][ids], counts)], axis=1), wid, ids, counts
+        piece = self.char_odds[np.repeat(fold, counts) if isinstance(fold, np.ndarray) else fold, ids][:, None]
+        e = self.p["Ew"][wid]
+        fixed = [self.word_odds[fold, wid][:, None], summed(piece, counts), largest(piece, counts)]
+        return np.concatenate([*fixed, *(x if keep is None else x * keep for x in (e, summed(self.p["Ec"][ids], counts)))], axis=1).astype(np.float32), wid, ids, counts
+
+    def calibrate(self, logit: np.ndarray, y: np.ndarray) -> None:
+        """Fits the scale and shift of document logits, the least and greatest targets drawn in by the
+        number of rows of each label."""
+        pos = y.sum()
+        goal = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+        a, b = 1.0, 0.0
+        for _ in range(50):
+            p = sigmoid(a * logit + b)
+            r, v = p - goal, np.maximum(p * (1 - p), 1e-9)
+            h = np.array([[(v * logit * logit).sum() + 1e-3, (v * logit).sum()], [(v * logit).sum(), v.sum() + 1e-3]])
+            da, db = np.linalg.solve(h, [(r * logit).sum(), r.sum()])
+            a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
+        self.scale, self.shift = float(max(a, 0.1)), float(b)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], axis=1)
@@ -126,10 +168,10 @@ class Network:
         logit = pooled @ self.p["wo"] + self.p["co"][0]
         return (logit, (states, trace, live, a, w, pooled)) if keep else logit
 
-    def gradients(self, words: list[str], idx: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Cross-entropy and its gradients for a batch of windows over the given words."""
+    def gradients(self, words: list[str], idx: np.ndarray, length: np.ndarray, y: np.ndarray, fold: np.ndarray | int = -1, keep: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Cross-entropy and its gradients for a batch of windows over the given words (see inputs())."""
         h, p = HIDDEN, self.p
-        x, wid, ids, counts = self.inputs(words)
+        x, wid, ids, counts = self.inputs(words, fold, keep)
         table = self.projected(x)
         logit, (states, trace, live, a, w, pooled) = self.run(table, idx, length, keep=True)
         prob = sigmoid(logit)
@@ -164,6 +206,7 @@ class Network:
             own = dtable[:, 3 * h * k : 3 * h * (k + 1)]
             g[f"W{way}"], g[f"c{way}"] = x.T @ own, own.sum(axis=0)
             dx += own @ p[f"W{way}"].T
+        dx = dx[:, FIXED:] if keep is None else dx[:, FIXED:] * keep
         np.add.at(g["Ew"], wid, dx[:, :WORD_DIM])
         g["Ew"][0] = 0
         np.add.at(g["Ec"], ids, np.repeat(dx[:, WORD_DIM:] / np.sqrt(np.maximum(counts, 1))[:, None], counts, axis=0))
@@ -171,19 +214,29 @@ class Network:
         return loss, g
 
 
-def odds(docs: list[list], y: np.ndarray, least: int) -> tuple[list, np.ndarray]:
-    """Keys in at least so many documents, and the shrunken log-odds of label 1 among those."""
-    pos, neg = Counter(), Counter()
-    for d, label in zip(docs, y.tolist(), strict=True):
-        (pos if label else neg).update(set(d))
-    keys = sorted(k for k in {*pos, *neg} if pos[k] + neg[k] >= least)
-    return keys, shrunken(np.array([pos[k] for k in keys], float), np.array([neg[k] for k in keys], float), y)
+def shrunken(t: np.ndarray, c: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """Half the log-odds of counts with label 1 and 0 against the labels' own, as if PRIOR more were
+    seen, moved to zero by CAREFUL standard errors."""
+    share = (pos + 0.5) / (pos + neg + 1)
+    a, b = t + PRIOR * share, c + PRIOR * (1 - share)
+    x = np.log(a / b) - np.log(share / (1 - share))
+    return np.sign(x) * np.maximum(0, np.abs(x) - CAREFUL * np.sqrt(1 / a + 1 / b)) / 2
 
 
-def shrunken(t: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Half the log-odds of counts with label 1 and 0 against the labels' own, as if six more were seen."""
-    share = max(1e-3, min(1 - 1e-3, float(y.mean())))
-    return (np.log((t + 6 * share) / (c + 6 * (1 - share))) - np.log(share / (1 - share))) / 2
+def fold_odds(docs: list[np.ndarray], y: np.ndarray, fold: np.ndarray, size: int, least: int) -> np.ndarray:
+    """(FOLDS + 1, size): odds of the keys, given as each document's distinct ones, without the rows of
+    a fold; then of all rows. Keys in fewer documents than `least` have none."""
+    seen = np.zeros((FOLDS, 2, size), np.float32)
+    for d, label, f in zip(docs, y.astype(int).tolist(), fold.tolist(), strict=True):
+        seen[f, label, d] += 1
+    rows = np.array([[((fold == f) & (y == label)).sum() for label in (0, 1)] for f in range(FOLDS)])
+    out = []
+    for f in [*range(FOLDS), None]:
+        own, n = seen.sum(axis=0), rows.sum(axis=0)
+        if f is not None:
+            own, n = own - seen[f], n - rows[f]
+        out.append(np.where(own.sum(axis=0) >= least, shrunken(own[1], own[0], n[1], n[0]), 0))
+    return np.array(out, np.float32)
 
 
 def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,33 +263,47 @@ def window_logits(net: Network, table: np.ndarray, idx: np.ndarray, length: np.n
 
 def fit(texts: list[str], labels: list[int]) -> Network:
     """Multiple-instance training: a document's label is learnt at its highest window so far, and
-    for label 0 at another one too. Without both labels the network stays near the given share."""
+    for label 0 at another one too. Odds of words and characters are those of the other folds, so
+    a row's own label isn't among its inputs and scores of the sample are close to those of new
+    rows; a logistic fit to them then sets what the scores mean. Without both labels the network
+    stays near the given share."""
     y = np.array(labels, np.float32)
     own = [tokens(t) for t in texts]
-    words = sorted({w for d in own for w in d})
+    seen = Counter(w for d in own for w in set(d))
+    words = sorted(seen)
     at = {w: k for k, w in enumerate(words)}
-    keys, word_odds = odds(own, y, 3) if len(y) else ([], np.empty(0))
-    ids, counts = grams(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
-    ends = np.cumsum(counts)
     docs = [np.fromiter((at[w] for w in d), np.int64, len(d)) for d in own]
     del own, at
-    seen = np.zeros((2, CHAR_BUCKETS))
-    for d, label in zip(docs, y.astype(int).tolist(), strict=True):
-        if len(d):
-            seen[label, np.unique(np.concatenate([ids[ends[w] - counts[w] : ends[w]] for w in np.unique(d)]))] += 1
-    char_odds = np.where(seen.sum(axis=0) >= 5, shrunken(seen[1], seen[0], y) / 2, 0.0) if len(y) else np.zeros(CHAR_BUCKETS)
-    net = Network.start({w: k + 1 for k, w in enumerate(keys)}, word_odds, char_odds)
+    ids, counts = grams(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
+    ends = np.cumsum(counts)
+    keys = [k for k, w in enumerate(words) if seen[w] >= LEAST]
+    row = np.zeros(len(words), np.int64)
+    row[keys] = np.arange(1, len(keys) + 1)
+    vocabulary = {words[k]: n + 1 for n, k in enumerate(keys)}
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    word_odds = fold_odds([np.setdiff1d(row[d], 0) for d in docs], y, fold, len(keys) + 1, LEAST)
+    pieces = [np.unique(np.concatenate([ids[ends[w] - counts[w] : ends[w]] for w in np.unique(d)])) if len(d) else np.empty(0, np.int64) for d in docs]
+    char_odds = fold_odds(pieces, y, fold, CHAR_BUCKETS, LEAST)
+    del pieces
+    net = Network.start(vocabulary, word_odds, char_odds)
     if not len(y) or y.min() == y.max():
         net.p["wo"][:] = 0
         net.p["co"][0] = 3.0 if len(y) and y.min() else -3.0
         return net
+    # a word in the texts of several folds has an input vector for each
+    docs = [d * FOLDS + f for d, f in zip(docs, fold.tolist(), strict=True)]
+    pairs, inverse = np.unique(np.concatenate(docs), return_inverse=True)
+    docs = np.split(inverse, np.cumsum([len(d) for d in docs])[:-1])
+    pair_words, pair_fold = [words[k] for k in (pairs // FOLDS).tolist()], pairs % FOLDS
     idx, length, of = laid_out(docs)
     rng = np.random.default_rng(SEED)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     step, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // (2 * len(y))))
     for epoch in range(epochs):
-        logit = window_logits(net, net.projected(net.inputs(words)[0]), idx, length)
+        logit = window_logits(net, net.projected(net.inputs(pair_words, pair_fold)[0]), idx, length)
         top = np.array([s + int(np.argmax(logit[s:e])) for s, e in zip(starts, np.r_[starts[1:], len(of)], strict=True)])
         spare = rng.integers(0, len(of), len(top))
         pick = np.concatenate([top, spare[y[of[spare]] == 0]])
@@ -244,14 +311,22 @@ def fit(texts: list[str], labels: list[int]) -> Network:
         for lo in range(0, len(pick), BATCH):
             b = pick[lo : lo + BATCH]
             used, inv = np.unique(idx[b], return_inverse=True)
-            _, g = net.gradients([words[k] for k in used], inv.reshape(len(b), -1), length[b], y[of[b]])
+            keep = (rng.random((len(used), 1)) >= DROPOUT).astype(np.float32) / (1 - DROPOUT)
+            _, g = net.gradients([pair_words[k] for k in used], inv.reshape(len(b), -1), length[b], y[of[b]], pair_fold[used], keep)
             step += 1
             rate = RATE * min(1.0, 2 * (1 - epoch / epochs))
             for k, v in g.items():
+                if k in ("Ew", "Ec") and epoch < FIRST * epochs:
+                    continue
                 m, s = moment[k]
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
                 net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-7)
+                if k in ("Ew", "Ec"):
+                    net.p[k] *= 1 - rate * DECAY
+    logit = window_logits(net, net.projected(net.inputs(pair_words, pair_fold)[0]), idx, length)
+    net.calibrate(np.maximum.reduceat(logit, starts).astype(np.float64), y)
+    net.word_odds, net.char_odds = net.word_odds[-1:], net.char_odds[-1:]
     return net
 
 
@@ -279,7 +354,7 @@ class Scorer:
         logit = window_logits(self.net, self.table, idx, length)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, of, logit)
-        return sigmoid(best)
+        return sigmoid(self.net.scale * best + self.net.shift)
 
 
 _scorers: dict[int, Scorer] = {}
@@ -290,17 +365,18 @@ def sample(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str], list[i
     known = labels.where(F.col("toxic").isNotNull() & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     turn = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*turn).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(*turn).limit(MOST_CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.length("text") <= LONGEST).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))[: MOST_TOXIC + MOST_CLEAN]
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
 
 
-def score(docs: DataFrame, net: Network, slice_rows: int = 200) -> DataFrame:
-    """docs(doc_id, text, ...) with every column kept, and score double from the whole text."""
+def score(docs: DataFrame, net: Network, name: str = "score", slice_rows: int = 200) -> DataFrame:
+    """docs(text, ...) with every column kept, and a double of the given name from the whole text. A
+    column of that name is replaced."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(net)  # bounded: embeddings of the sample's words
-    cols = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*cols).schema.add("score", "double")
+    shared = spark.sparkContext.broadcast(net)  # bounded: embeddings of the sample's words and buckets
+    cols = [c for c in docs.columns if c != name]
+    schema = docs.select(*cols).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -308,10 +384,10 @@ def score(docs: DataFrame, net: Network, slice_rows: int = 200) -> DataFrame:
             _scorers.clear()
             _scorers[id(own)] = Scorer(own)
         scorer = _scorers[id(own)]
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(cols.index("text"))
             out = [scorer(texts.slice(k, slice_rows).to_pylist()) for k in range(0, b.num_rows, slice_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*cols, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*cols, name])
 
     return docs.select(*cols).mapInArrow(run, schema)
 
@@ -334,6 +410,9 @@ def documents_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below the threshold, with the columns of docs."""
+    """The rows of docs that score below the threshold, with the columns of docs, whatever their names.
+
+    Null and empty texts and null ids stay as their (low) score says; rows that repeat share their
+    fate; an empty table stays empty."""
     net = fit(*sample(docs, labels, learnt))
-    return score(docs, net).where(F.col("score") < THRESHOLD).select(*[c for c in docs.columns if c != "score"])
+    return score(docs, net, "__toxicity").where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)

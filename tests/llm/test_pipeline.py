@@ -152,6 +152,8 @@ def test_toxicity_on_held_out_rows(spark, sf):
     held = [(got[r.doc_id], r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
     assert np.mean([r.predicted == t for r, t in held]) > 0.92 and sum(r.predicted for r, t in held if not t) <= 1
+    caught = [r.predicted for r, t in held if t]
+    assert sum(caught) >= 0.8 * len(caught) and sum(caught) >= 0.9 * sum(r.predicted for r, _ in held)
     again = {r.doc_id: r.score for r in toxicity.documents_scored(docs.repartition(3), labels).collect()}
     assert all(abs(again[i] - r.score) < 1e-5 for i, r in got.items())
 
@@ -162,23 +164,27 @@ def test_toxicity_edges(spark):
     got = toxicity.documents_scored(df, labels).collect()
     assert len(got) == df.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.documents_scored(empty(spark), labels).count() == 0
+    kept = toxicity.accepted(df, labels)
+    assert kept.columns == df.columns and {r.score for r in kept.collect()} <= {0.5, None}  # a column of that name survives
     assert toxicity.windows(0) == [(0, 0)] and toxicity.windows(41) == [(0, 40), (20, 41)]
 
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
-    net = toxicity.Network.start({"bad": 1, "ok": 2}, np.array([1.0, -1.0]), rng.normal(0, 0.1, toxicity.CHAR_BUCKETS))
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net = toxicity.Network.start({"bad": 1, "ok": 2}, np.array([[0.0, 1.0, -1.0]]), rng.normal(0, 0.1, (1, toxicity.CHAR_BUCKETS)))
+    net.p = {k: v.astype(np.float64) + (rng.normal(0, 0.1, v.shape) if k in ("Ew", "Ec") else 0) for k, v in net.p.items()}
+    net.p["Ew"][0] = 0
     words = ["bad", "ok", "other", "x"]
     idx, length, y = rng.integers(0, 4, (5, 6)), np.array([6, 3, 1, 5, 2]), np.array([1.0, 0, 1, 0, 0])
-    _, g = net.gradients(words, idx, length, y)
+    fold, keep = np.zeros(4, np.int64), np.array([[1.0], [0.0], [2.0], [1.0]])
+    _, g = net.gradients(words, idx, length, y, fold, keep)
     for k in g:
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         old = net.p[k][at]
         ends = []
         for e in (1e-3, -1e-3):
             net.p[k][at] = old + e
-            ends.append(net.gradients(words, idx, length, y)[0])
+            ends.append(net.gradients(words, idx, length, y, fold, keep)[0])
         net.p[k][at] = old
         assert abs((ends[0] - ends[1]) / 2e-3 - g[k][at]) < 2e-3 * max(1, abs(g[k][at])), k
 
