@@ -30,19 +30,27 @@ class UnitIds(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         ranks = path.removesuffix(".json") + ".tiktoken"
-        if path.endswith(".json") and os.path.exists(ranks):  # the same vocabulary, as ranks
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = self.by_tokenizer
+        if path.endswith(".json") and os.path.exists(ranks):  # the same vocabulary, as ranks: faster
             import public_tokenizers
             import tiktoken
 
             with open(ranks, "rb") as f:
                 own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
+            self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
+
+    def by_tokenizer(self, unit: str) -> list[int]:
+        return self.tokenizer.encode(unit, add_special_tokens=False).ids
 
-            t = Tokenizer.from_file(path)
-            self.encode = lambda x: t.encode(x, add_special_tokens=False).ids
+    def encode(self, unit: str) -> list[int]:
+        """The tokenizer's ids. Its added tokens hold no white space, so they lie within units, and
+        units that hold one are left to it."""
+        return (self.by_tokenizer if any(x in unit for x in self.added) else self.plain)(unit)
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= REMEMBERED:

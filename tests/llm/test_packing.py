@@ -1,8 +1,10 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 from edge import empty, frame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sharemill.llm import bpe, packing, token_counts
@@ -13,7 +15,7 @@ def reference(text, tokenizer=Tokenizer.from_file(bpe.default_path())):
 
 
 def test_every_id_once_and_no_padding(spark, sf):
-    docs = frame(spark, sf).where("text is null or not text like '%<|endoftext|>%'").repartition(5)
+    docs = frame(spark, sf).repartition(5)
     docs.cache()
     got = packing.pack(docs).collect()
     texts = defaultdict(list)
@@ -54,32 +56,55 @@ def test_windows_stay_bounded_and_fit_best():
     assert [p[0] for p in done] == [1, 5] and [x[0] for x in w.open] == [2]
 
 
-def test_counts_match_a_full_encoding(spark, sf):
-    docs = frame(spark, sf).where("text is null or not text like '%<|endoftext|>%'")
-    from pyspark.sql import functions as F
+EDITS = ((0, 0, "new words "), (3, 5, ""), (10**9, 4, " tail"), (200, 90, "  x\n"), (50, 0, "y"), (None, 3, "no"), (4, None, None), (7, 2, "<|endoftext|>"))
+
 
-    for at, drop, insert in ((0, 0, "new words "), (3, 5, ""), (10**9, 4, " tail"), (200, 90, "  x\n"), (50, 0, "y")):
-        trees = token_counts.build(docs).withColumns({"edit_at": F.lit(at), "edit_drop": F.lit(drop), "edit_insert": F.lit(insert)})
-        got = sorted(map(tuple, token_counts.apply_edits(trees).drop("n_units", "reencoded_chars").collect()), key=str)
+def test_counts_match_a_full_encoding(spark, sf):
+    docs = frame(spark, sf)
+    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=str)
+    for at, drop, insert in EDITS:
+        trees = token_counts.build(docs).withColumns({"edit_at": F.lit(at).cast("int"), "edit_drop": F.lit(drop).cast("int"), "edit_insert": F.lit(insert)})
+        got = sorted(map(tuple, token_counts.apply_edits(trees).select("doc_id", "n_tokens", "edited_chars", "edited_tokens").collect()), key=str)
         want = []
-        for r in docs.collect():
-            t = r.text or ""
-            new = t[: min(at, len(t))] + insert + t[min(at, len(t)) + drop :]
-            want.append((r.doc_id, len(reference(t)), len(new), len(reference(new))))
+        for doc_id, t in texts:
+            new = t if at is None else t[: min(at, len(t))] + (insert or "") + t[min(at, len(t)) + (drop or 0) :]
+            want.append((doc_id, len(reference(t)), len(new), len(reference(new))))
         assert got == sorted(want, key=str)
     assert token_counts.build(empty(spark)).count() == 0
+    none = token_counts.build(empty(spark)).withColumns({"edit_at": F.lit(1), "edit_drop": F.lit(1), "edit_insert": F.lit("x")})
+    assert token_counts.apply_edits(none).count() == 0
+
+
+def test_edits_follow_each_other(spark):
+    edits = {"edit_at": F.lit(5), "edit_drop": F.lit(3), "edit_insert": F.lit(" more words " * 40)}
+    trees = token_counts.apply_edits(token_counts.build(frame(spark)).withColumns(edits), keep_trees=True)
+    for r in token_counts.apply_edits(trees.withColumns(edits), keep_trees=True).collect():
+        assert r.edited_tokens == len(reference(r.text)) == r.node_tokens[0] and r.node_chars[0] == r.edited_chars == len(r.text)
+
+
+def test_random_edits_keep_the_tree_right():
+    ids, rng = bpe.unit_ids(bpe.default_path()), random.Random(4)
+    pieces = ["word", " ", "  ", "\n", "don't ", "é", "1 2 3", "x" * 40, " a b c d e f g h" * 12]
+    text = "".join(rng.choices(pieces, k=600))
+    tree = token_counts.Tree.of(ids, text)
+    for _ in range(400):
+        at, drop, insert = rng.randrange(len(text) + 5), rng.choice([0, 1, 7, 500]), "".join(rng.choices(pieces, k=rng.choice([0, 1, 4])))
+        text, _ = token_counts.edit(ids, text, tree, at, drop, insert)
+        assert tree.tokens[0] == len(reference(text)) and tree.chars[0] == len(text) and tree.units[0] == len([u for u in bpe.units(text) if u])
+    tree = token_counts.Tree(*tree.columns())
+    leaves = [k for k in range(len(tree.chars)) if tree.left[k] < 0]
+    assert max(tree.units[k] for k in leaves) <= token_counts.MOST and sum(tree.tokens[k] for k in leaves) == tree.tokens[0]
 
 
-def test_few_characters_are_encoded_again():
+def test_an_edit_touches_few_characters_and_sums():
     ids = bpe.unit_ids(bpe.default_path())
     text = " ".join(f"word{k}" for k in range(20_000))
-    chars, tokens, _ = token_counts.leaves(ids, text)
-    tree = token_counts.sums(tokens)
-    new, _, _, after, again = token_counts.edited(ids, text, chars, tokens, tree, 70_000, 6, "another")
-    assert again < 1000 and after[1] == len(reference(new))
+    tree = token_counts.Tree.of(ids, text)
+    new, again = token_counts.edit(ids, text, tree, 70_000, 6, "another one and some more")
+    assert again < 1000 and tree.updated < 40 and tree.tokens[0] == len(reference(new))
 
 
 def test_unit_borders_are_token_borders():
     ids = bpe.unit_ids(bpe.default_path())
-    for t in ("a  b", "a \n b", " lead", "trail ", "tab\tx", "  x", "x\x1cy \x85 z", "don't stop  '", "1 2  3\n\n\n4", "日本 語  です"):
+    for t in ("a  b", "a \n b", " lead", "trail ", "tab\tx", "  x", "x\x1cy \x85 z", "don't stop  '", "1 2  3\n\n\n4", "日本 語  です", "x <|endoftext|> y", "a<|endoftext|>b  <|endoftext|>", "<|endof text|>  "):
         assert np.frombuffer(bpe.encode(ids, t), "<u4").tolist() == reference(t), t
