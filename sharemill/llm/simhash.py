@@ -1,6 +1,7 @@
 """SimHash near-duplicates. Fingerprints are dealt out by a vantage-point tree: each node sends a
 fingerprint inside or outside its ball, and one within `radius` of the border to both sides, so
-every pair within `radius` meets in some shard. Shards are searched exactly."""
+every pair within `radius` meets in some shard. Shards are searched exactly. The tree grows by
+levels, each a job that splits the shards which are still too large."""
 
 from __future__ import annotations
 
@@ -14,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize, shuffle_partitions
-from .text import shingle_hashes, simhash, words
-
-#: Fingerprints aimed at in a shard, and above which a shard counts as dense.
-SHARD, DENSE = 1024, 8192
-#: Fingerprints drawn to place vantage points and radii; they affect speed only.
-SAMPLE, DEEPEST = 16384, 16
+from .store import materialize, shuffle_partitions, with_value
+from .text import SEED, shingle_hashes, simhash, slices, words
+
+#: Fingerprints up to which a shard is searched, and fingerprints of a larger one drawn to place the
+#: vantage points and radii of its subtree; these affect speed only.
+SHARD, SAMPLE = 2048, 8192
+#: Drawn fingerprints that a node needs, nodes that a subtree has below its root's level at most (as a
+#: depth), the most comparisons that a split may leave of those before, and rows to a task.
+LEAST, DEEPEST, SAVING, ROWS_PER_TASK = 8, 10, 0.9, 1 << 20
 #: Bands of so many least hashes each that make texts candidates, texts in a block of a large
 #: group, and others up to which a text meets them one by one.
 BANDS, ROWS, BLOCK, FEW = 16, 4, 1024, 8
@@ -32,7 +35,7 @@ def fingerprints(docs: DataFrame, ngram: int = 3, id_col: str = "doc_id", text_c
     """(doc_id, fp long) for every row. Null and empty texts: 0. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [simhash(shingle_hashes(words(t), ngram)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -44,22 +47,26 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def plant(sample: np.ndarray, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vantage points and radii of a complete tree in heap order; a radius of -1 ends a branch."""
+    """Vantage points and radii of a tree in heap order; a radius of -1 ends a branch. A node takes,
+    of four points and all radii, those that leave the fewest comparisons on both sides."""
     at, mu = np.zeros(1 << depth, np.uint64), np.full(1 << depth, -1, np.int16)
     todo, rng = [(1, sample)], np.random.default_rng(7)
     while todo:
         node, own = todo.pop()
-        if node >= 1 << depth or len(own) < 4:
+        if node >= 1 << depth or len(own) < LEAST:
             continue
-        picks = own[rng.integers(0, len(own), 4)]
-        spread = [distance(own, p) for p in picks]
-        best = int(np.argmax([d.std() for d in spread]))
-        d, m = spread[best], int(np.median(spread[best]))
-        if (d <= m).all():
-            m -= 1
-        if m < 0 or ((d > m - radius) & (d <= m)).mean() > 0.45:
-            continue  # the border holds too much: splitting would only copy
-        at[node], mu[node] = picks[best], m
+        best = (SAVING, 0, 0)
+        for p in own[rng.integers(0, len(own), 4)]:
+            inside = np.cumsum(np.bincount(distance(own, p), minlength=65)) / len(own)
+            left, right = inside[:64], 1 - np.r_[np.zeros(radius), inside][:64]
+            cost = left**2 + right**2
+            m = int(np.argmin(cost))
+            best = min(best, (float(cost[m]), m, int(p)))
+        if best[0] >= SAVING:
+            continue
+        _, m, p = best
+        d = distance(own, np.uint64(p))
+        at[node], mu[node] = p, m
         todo += [(2 * node, own[d <= m]), (2 * node + 1, own[d > m - radius])]
     return at, mu
 
@@ -99,46 +106,79 @@ def shard_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(fps[x]), int(fps[y])) for x, y in out]
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """fps(fp long) of distinct values -> (a, b): links whose components are those of all pairs
-    within `radius` bits. Equal-size shards come from the tree; in dense shards, where nothing
-    can be pruned, values meet at the values one bit from both (exact for a radius of 2)."""
-    spark = fps.sparkSession
-    n = fps.count()
-    depth = max(1, min(DEEPEST, math.ceil(math.log(max(2, n / SHARD)) / math.log(1 / 0.6)))) if n > 2 * SHARD else 0
-    if depth:
-        rate = min(1.0, SAMPLE / n)
-        drawn = fps.where(F.pmod(F.xxhash64(F.lit(99), "fp"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-        at, mu = plant(np.sort(drawn).view(np.uint64), depth, radius)
-    else:
-        at, mu = np.zeros(1, np.uint64), np.full(2, -1, np.int16)
+def split(dealt: DataFrame, large: DataFrame, radius: int) -> DataFrame:
+    """The rows (shard, fp) of the shards in large(shard, n), dealt on by a subtree of each, with
+    `final` true where a subtree couldn't split its shard."""
+    rate = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
+    drawn = dealt.join(large, "shard").where(F.pmod(F.xxhash64(F.lit(99), "fp"), F.lit(1 << 30)) < rate * (1 << 30)).select("shard", "fp", "n")
+
+    def grow(t: pa.Table) -> pa.Table:
+        own, n = np.sort(t.column("fp").to_numpy().view(np.uint64)), t.column("n")[0].as_py()
+        depth = max(1, min(DEEPEST, math.ceil(math.log(n / SHARD) / math.log(1 / 0.6))))
+        at, mu = plant(own, depth, radius)
+        return pa.table({"shard": t.column("shard")[:1], "n": t.column("n")[:1], "at": pa.array([at.tobytes()], pa.binary()), "mu": pa.array([mu.tobytes()], pa.binary())})
+
+    trees = materialize(drawn.groupBy("shard").applyInArrow(grow, "shard long, n long, at binary, mu binary"), "subtrees")
+    # a subtree goes ahead of its shard's rows into each task that has some of them
+    tasks = F.ceil(F.col("n") / ROWS_PER_TASK).cast("int")
+    ahead = trees.select("shard", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(None).cast("long").alias("fp"), "at", "mu")
+    none = F.lit(None).cast("binary")
+    rows = dealt.join(trees.select("shard", tasks.alias("tasks")), "shard").select("shard", F.pmod(F.xxhash64("fp"), F.col("tasks")).cast("int").alias("task"), "fp", none.alias("at"), none.alias("mu"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = mu = None
         for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            i, shard = route(own, at, mu, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(own[i].view(np.int64))], names=["shard", "fp"])
+            of = b.column(0).to_numpy()
+            heads = set(np.flatnonzero(b.column(1).is_null().to_numpy(zero_copy_only=False)).tolist())
+            borders = sorted({0, b.num_rows} | heads)
+            for lo, hi in zip(borders, borders[1:], strict=False):
+                if lo in heads:
+                    at, mu = np.frombuffer(b.column(2)[lo].as_py(), np.uint64), np.frombuffer(b.column(3)[lo].as_py(), np.int16)
+                    lo += 1
+                if lo == hi:
+                    continue
+                own = b.column(1).slice(lo, hi - lo).to_numpy().view(np.uint64)
+                i, leaf = route(own, at, mu, radius)
+                leaves, inv = np.unique(leaf, return_inverse=True)
+                ids = np.array([xxhash.xxh64_intdigest(f"{of[lo]}/{x}".encode(), SEED) for x in leaves.tolist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[inv]), pa.array(own[i].view(np.int64)), pa.array(np.full(len(i), mu[1] < 0))], names=["shard", "fp", "final"])
+
+    spread = rows.union(ahead).repartition(shuffle_partitions(dealt.sparkSession), "shard", "task").sortWithinPartitions("shard", "task", F.col("fp").asc_nulls_first())
+    return spread.select("shard", "fp", "at", "mu").mapInArrow(deal, "shard long, fp long, final boolean")
+
+
+def shards(fps: DataFrame, radius: int) -> DataFrame:
+    """fps(fp long) of distinct values -> (shard, fp): each pair within `radius` bits shares a shard.
+    Shards above SHARD are split level by level; where no vantage point saves comparisons (all lie
+    about as far from each other), a shard's fingerprints are dealt into blocks and each two blocks
+    meet, which is as many comparisons as the shard has pairs."""
+    dealt = materialize(fps.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(False).alias("final")), "shards")
+    out = None
+    while True:
+        large = materialize(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.max("final").alias("final")).where(F.col("n") > SHARD), "large")
+        done = dealt.join(large, "shard", "left_anti").select("shard", "fp")
+        out = done if out is None else out.union(done)
+        stuck, todo = large.agg(F.count_if("final"), F.count_if(~F.col("final"))).first()
+        if stuck:
+            blocks = large.where("final").select("shard", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks"))
+            own = dealt.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")).cast("int"))
+            meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("shard", F.least("own", j), F.greatest("own", j)))
+            out = out.union(own.select(F.explode(meets).alias("shard"), "fp"))
+        if not todo:
+            return out
+        dealt = materialize(split(dealt.where("not final").select("shard", "fp"), large.where("not final").select("shard", "n"), radius), "shards")
+
 
-    dealt = materialize(fps.select("fp").mapInArrow(deal, "shard long, fp long"), "shards")
-    sizes = dealt.groupBy("shard").count()
-    dense = [r[0] for r in sizes.where(F.col("count") > DENSE).select("shard").collect()]  # at most one per tree leaf
+def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """fps(fp long) of distinct values -> (a, b): links whose components are those of all pairs
+    within `radius` bits."""
 
     def search(t: pa.Table) -> pa.Table:
         own = t.column("fp").to_numpy().view(np.uint64)
         found = np.array(shard_links(own, radius), np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    light = dealt if not dense else dealt.where(~F.col("shard").isin(dense))
-    out = light.repartition(shuffle_partitions(spark), "shard").groupBy("shard").applyInArrow(search, "a long, b long")
-    if dense:
-        if radius != 2:
-            raise ValueError("dense shards are met at one-bit neighbours, which is exact for a radius of 2 only")
-        heavy = dealt.where(F.col("shard").isin(dense)).select("fp").distinct()
-        near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-        meet = heavy.select("fp", F.explode(near).alias("at"))
-        first = meet.groupBy("at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))  # 65 values at most
-        out = out.union(first.where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a <> b").distinct())
-    return out
+    return shards(fps, radius).repartition(shuffle_partitions(fps.sparkSession), "shard").groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 3, radius: int = 2) -> DataFrame:
@@ -148,12 +188,12 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, radius: int = 2) -> DataFra
     never names a component unless nothing else is there; repeated rows are kept; an empty table
     gives an empty result. Extra columns are ignored."""
     own = materialize(fingerprints(docs, ngram), "fps")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     parts = connected_components(links(distinct.select("fp"), radius))
     named = parts.join(distinct, parts.node == distinct.fp).groupBy("component").agg(F.min("least").alias("component_id"))
     to = parts.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    class_of = distinct.join(to, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(class_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    class_of = distinct.join(to, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return with_value(own, class_of, "fp", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
@@ -178,7 +218,7 @@ def sketches(docs: DataFrame, ngram: int) -> DataFrame:
     types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = words(text.as_py())

@@ -6,13 +6,17 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (local tests) one is made."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine (local
+    tests) one is made: executors on other machines couldn't read each other's rows there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "sharemill-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -30,3 +34,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key is hot if it has more than a part of a mean task's rows, the tasks being those of a shuffle.
+HOT_PART = 4
+
+
+def with_value(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
+    """rows joined to table(key, n, ...), which has each key of rows once with its number of rows n
+    (dropped). Rows of a hot key are dealt over several tasks by a hash of `spread`, and the key's
+    one row of table is copied to each. Fewer than HOT_PART keys a task can be hot, so they are few
+    enough to broadcast, however many rows there are."""
+    tasks = shuffle_partitions(rows.sparkSession)
+    limit = max(64, (table.agg(F.sum("n")).first()[0] or 0) // (HOT_PART * tasks))
+    hot = F.broadcast(table.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
+    copies = table.drop("n").join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")

@@ -1,7 +1,14 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 import xxhash
+from edge import frame
+from pyspark.sql import functions as F
 
 from sharemill.llm import simhash as S
+from sharemill.llm.components import connected_components
+from sharemill.llm.store import with_value
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -59,9 +66,47 @@ def test_tree_loses_no_pair():
     assert all(by[i] & by[6000 + i] for i in range(2000))
 
 
-def test_dense_shards_are_searched_whole(spark, monkeypatch):
-    monkeypatch.setattr(S, "DENSE", 4)
-    got = S.links(spark.createDataFrame([(k,) for k in (0, 1, 3, 7, 15, 1 << 40)], "fp long"))
-    from sharemill.llm.components import connected_components
+@pytest.mark.parametrize("shard", [4, 16, 64])
+def test_links_at_any_shard_size(spark, monkeypatch, shard):
+    """Random values, chains of near ones, and a ball whose values can't be told apart by distance."""
+    monkeypatch.setattr(S, "SHARD", shard)
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 300)
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (3, 200)).astype(np.uint64)
+    ball = np.uint64(5 << 40) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    all_ = np.unique(np.concatenate([fps, fps[:200] ^ flips[0] ^ flips[1], fps[:200] ^ flips[2], ball]))
+    df = spark.createDataFrame([(int(x),) for x in all_.view(np.int64)], "fp long")
+    close = np.bitwise_count(all_[:, None] ^ all_[None, :]) <= 2
+    met = {x: set() for x in all_.view(np.int64).tolist()}
+    for r in S.shards(df, 2).collect():
+        met[r.fp].add(r.shard)
+    pairs = [(int(all_.view(np.int64)[i]), int(all_.view(np.int64)[j])) for i, j in zip(*np.nonzero(close), strict=True) if i < j]
+    assert len(pairs) > 2000 and all(met[a] & met[b] for a, b in pairs)
+    root = {x: x for x in met}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    got = {r.node: r.component for r in connected_components(S.links(df)).collect()}
+    assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
+
+
+def test_edge_rows_and_null_ids(spark):
+    df = frame(spark).withColumn("text", F.when(F.col("doc_id").isNull(), F.lit("Same text here.\nTwice.")).otherwise(F.col("text")))
+    got = Counter((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect())
+    assert got[(None, 6)] == 1 and got[(6, 6)] == 2 and got[(7, 6)] == 1 and got[(1, 0)] == got[(2, 0)] == 1
+    alone = S.near_duplicates(spark.createDataFrame([(None, "a b c d"), (None, "a b c d")], "doc_id long, text string")).collect()
+    assert [r.component_id for r in alone] == [None, None]
+
 
-    assert {(r.node, r.component) for r in connected_components(got).collect()} == {(0, 0), (1, 0), (3, 0), (7, 0), (15, 0), (1 << 40, 0)}
+def test_rows_of_a_hot_key_keep_their_value(spark):
+    rows = spark.range(4000).selectExpr("id", "case when id < 3000 then 7 else id end as fp")
+    table = rows.groupBy("fp").agg(F.count("*").alias("n")).withColumn("v", F.col("fp") * 2)
+    got = with_value(rows, table, "fp", F.col("id"))
+    assert got.columns == ["fp", "id", "v"] and got.count() == 4000 and not got.where("v <> fp * 2").count()
