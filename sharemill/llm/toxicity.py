@@ -32,8 +32,8 @@ LEAST, PRIOR, CAREFUL = 3, 6.0, 1.5
 #: Passes over the sample, more where it is small so that there are at least STEPS steps.
 #: The learnt inputs join after the FIRST part of the passes, when the network reads the odds well.
 EPOCHS, FIRST, STEPS, BATCH, RATE, SEED, THRESHOLD = 5, 0.6, 96, 128, 0.01, 5, 0.7
-#: Words whose inputs a worker remembers.
-REMEMBERED = 200_000
+#: Words whose inputs a worker remembers, and words whose pieces are taken at a time.
+REMEMBERED, BLOCK = 200_000, 1 << 14
 WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
 
 
@@ -140,6 +140,13 @@ class Network:
     def projected(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], axis=1)
 
+    def table(self, words: list[str], fold: np.ndarray) -> np.ndarray:
+        """Projected inputs of many words, some at a time since a word has a dozen pieces or more."""
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+        for lo in range(0, len(words), BLOCK):
+            out[lo : lo + BLOCK] = self.projected(self.inputs(words[lo : lo + BLOCK], fold[lo : lo + BLOCK])[0])
+        return out
+
     def run(self, table: np.ndarray, idx: np.ndarray, length: np.ndarray, keep: bool = False):
         """Window logits. table: projected inputs by row; idx: (windows, steps) rows; length: words."""
         n, steps, h = len(idx), idx.shape[1], HIDDEN
@@ -274,8 +281,11 @@ def fit(texts: list[str], labels: list[int]) -> Network:
     at = {w: k for k, w in enumerate(words)}
     docs = [np.fromiter((at[w] for w in d), np.int64, len(d)) for d in own]
     del own, at
-    ids, counts = grams(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
+    some = [(x.astype(np.int32), n) for x, n in (grams(words[lo : lo + BLOCK]) for lo in range(0, len(words), BLOCK))]
+    ids = np.concatenate([np.empty(0, np.int32), *(x for x, _ in some)])
+    counts = np.concatenate([np.empty(0, np.int64), *(n for _, n in some)])
     ends = np.cumsum(counts)
+    del some
     keys = [k for k, w in enumerate(words) if seen[w] >= LEAST]
     row = np.zeros(len(words), np.int64)
     row[keys] = np.arange(1, len(keys) + 1)
@@ -284,9 +294,9 @@ def fit(texts: list[str], labels: list[int]) -> Network:
     for label in (0, 1):
         fold[y == label] = np.arange((y == label).sum()) % FOLDS
     word_odds = fold_odds([np.setdiff1d(row[d], 0) for d in docs], y, fold, len(keys) + 1, LEAST)
-    pieces = [np.unique(np.concatenate([ids[ends[w] - counts[w] : ends[w]] for w in np.unique(d)])) if len(d) else np.empty(0, np.int64) for d in docs]
+    pieces = [np.unique(np.concatenate([ids[ends[w] - counts[w] : ends[w]] for w in np.unique(d)])).astype(np.int32) if len(d) else np.empty(0, np.int32) for d in docs]
     char_odds = fold_odds(pieces, y, fold, CHAR_BUCKETS, LEAST)
-    del pieces
+    del pieces, ids, counts, ends, seen
     net = Network.start(vocabulary, word_odds, char_odds)
     if not len(y) or y.min() == y.max():
         net.p["wo"][:] = 0
@@ -303,7 +313,7 @@ def fit(texts: list[str], labels: list[int]) -> Network:
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     step, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // (2 * len(y))))
     for epoch in range(epochs):
-        logit = window_logits(net, net.projected(net.inputs(pair_words, pair_fold)[0]), idx, length)
+        logit = window_logits(net, net.table(pair_words, pair_fold), idx, length)
         top = np.array([s + int(np.argmax(logit[s:e])) for s, e in zip(starts, np.r_[starts[1:], len(of)], strict=True)])
         spare = rng.integers(0, len(of), len(top))
         pick = np.concatenate([top, spare[y[of[spare]] == 0]])
@@ -324,7 +334,7 @@ def fit(texts: list[str], labels: list[int]) -> Network:
                 net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-7)
                 if k in ("Ew", "Ec"):
                     net.p[k] *= 1 - rate * DECAY
-    logit = window_logits(net, net.projected(net.inputs(pair_words, pair_fold)[0]), idx, length)
+    logit = window_logits(net, net.table(pair_words, pair_fold), idx, length)
     net.calibrate(np.maximum.reduceat(logit, starts).astype(np.float64), y)
     net.word_odds, net.char_odds = net.word_odds[-1:], net.char_odds[-1:]
     return net
