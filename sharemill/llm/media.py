@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, with_value
+from .text import slices
 
 #: Samples in a row of a stored image, and the unit that payloads are padded to.
 WIDTH = 64
@@ -146,7 +147,7 @@ def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Written to the shared folder, as the readers come later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             seen: dict[str, bytes] = {}
             for t in b.column(0).to_pylist():
                 payload = pad((t or "").encode("utf-8", "surrogatepass"))
@@ -190,7 +191,9 @@ def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
     """(id, pos, caption, digest) of every media reference with the columns of `media`; references
     that nothing resolves keep nulls. A digest that many references share is one row of `media`."""
     refs = seqs.select("id", F.explode("items").alias("i")).where("i.kind = 'media'").select("id", "i.pos", "i.caption", "i.digest")
-    return refs.join(media, "digest", "left")
+    refs = materialize(refs.withColumn("__key", F.coalesce("digest", F.lit(""))), "references")
+    table = refs.groupBy("__key").agg(F.count("*").alias("n")).join(media.withColumnRenamed("digest", "__key"), "__key", "left")
+    return with_value(refs, materialize(table, "resolved"), "__key", F.struct("id", "pos")).drop("__key")
 
 
 def document_media(docs: DataFrame) -> DataFrame:

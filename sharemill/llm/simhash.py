@@ -324,12 +324,12 @@ def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFra
     component; repeated rows are kept; an empty table gives an empty result."""
     spark = docs.sparkSession
     own = materialize(sketches(docs, ngram), "sketches")
-    texts = own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands")).where("rep is not null")
+    texts = own.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     texts = materialize(texts, "texts")
-    banded = texts.select("rep", F.explode("bands").alias("band"))
+    banded = texts.where("rep is not null").select("rep", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
     groups = materialize(groups.groupBy("n", "least", "mark").agg(F.min("band").alias("band")), "groups")  # the same texts meet in many bands
-    sets = own.select(F.col("doc_id").alias("rep"), "digest", "fp", "hashes").join(texts.select("digest", "rep"), ["digest", "rep"], "left_semi").select("rep", "fp", "hashes")
+    sets = own.select(F.col("doc_id").alias("rep"), "digest", "fp", "hashes").join(texts.where("rep is not null").select("digest", "rep"), ["digest", "rep"], "left_semi").select("rep", "fp", "hashes")
     star = links_to_least(banded, groups.where(F.col("n") > BLOCK), sets, similarity)
     if star is None:
         members = banded.join(groups.select("band"), "band").select("rep", F.col("rep").alias("comp"), F.xxhash64("band").alias("tile"))
@@ -347,8 +347,8 @@ def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFra
     if star is not None:
         linked = linked.union(star)
     parts = connected_components(linked)
-    class_of = texts.join(parts, texts.rep == parts.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return own.select("doc_id", "digest").join(class_of, "digest", "left").select("doc_id", "component_id")
+    class_of = texts.join(parts, texts.rep == parts.node, "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
+    return with_value(own.select("doc_id", "digest"), class_of, "digest", F.col("doc_id")).select("doc_id", "component_id")
 
 
 #: Ids up to which a list of them is broadcast.
