@@ -37,7 +37,7 @@ def compare_and_set(log: DataFrame, key: str, order: Sequence[str]) -> DataFrame
     """log(key, order..., expected, version) -> adds success and current (the version after it).
 
     A write succeeds on an absent key if expected is 0 or -1, else if expected is the current
-    version and its own is higher. The outcome depends on the ones before, so a key's writes are
+    version and its own is higher; with a null expected it never does. The outcome depends on the ones before, so a key's writes are
     folded in order: Arrow batches of a key's partition, sorted, with the key's state carried over."""
     import pyarrow as pa
 

@@ -13,6 +13,11 @@ def committee(ids: Column) -> Column:
     return F.array_sort(F.array_distinct(ids))
 
 
+def active_or_all(ids: Column, n: int, least: int = 1) -> Column:
+    """The ids in order, or 1..n where there are fewer than `least`."""
+    return F.when(F.size(ids) < least, F.sequence(F.lit(1), F.lit(n))).otherwise(committee(ids))
+
+
 def running_total(df: DataFrame, value: str, span: Column, order: Sequence[str | Column], out: str) -> DataFrame:
     """A running sum over all rows without one task for all: rows are summed within spans of the
     order (a day, say), and spans start from the sum of those before. Spans are few: their sums

@@ -1,4 +1,4 @@
 """Queries of the library and their SQL twins."""
 
-from . import algebra_queries, field_queries, run_queries  # noqa: F401
+from . import algebra_queries, field_queries, run_queries, store_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
