@@ -18,6 +18,16 @@ def active_or_all(ids: Column, n: int, least: int = 1) -> Column:
     return F.when(F.size(ids) < least, F.sequence(F.lit(1), F.lit(n))).otherwise(committee(ids))
 
 
+def placed(members: DataFrame, committee: str, member: str, width: int = 4096) -> DataFrame:
+    """(committee, member, place from 1): members once each, ascending. Ids are dealt into ranges of a
+    fixed width; a range starts after the number of members in those before it."""
+    own = members.select(committee, member).distinct().withColumn("_r", F.floor(F.col(member) / width))
+    n = own.groupBy(committee, "_r").count()
+    before = n.select(committee, "_r", (F.sum("count").over(Window.partitionBy(committee).orderBy("_r")) - F.col("count")).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(committee, "_r").orderBy(member))
+    return own.withColumn("_k", rank).join(before, [committee, "_r"]).select(committee, member, (F.col("_k") + F.col("_n")).alias("place"))
+
+
 def running_total(df: DataFrame, value: str, span: Column, order: Sequence[str | Column], out: str) -> DataFrame:
     """A running sum over all rows without one task for all: rows are summed within spans of the
     order (a day, say), and spans start from the sum of those before. Spans are few: their sums
@@ -58,7 +68,7 @@ def timeline(events: DataFrame, ts: str, order: str, node: str, kind: str) -> Da
     return carried(own, sign, day, [ts, order], "paused", 0).drop("_delta", "_join")
 
 
-def carried(df: DataFrame, value: Column, span: Column, order: Sequence[str], out: str, first: int) -> DataFrame:
+def carried(df: DataFrame, value: Column, span: Column, order: Sequence[str], out: str, first: int | None) -> DataFrame:
     """The last non-null value so far, over all rows, by spans like running_total()."""
     own = df.withColumn("_span", span).withColumn("_v", value)
     at = F.struct(*order)

@@ -40,6 +40,30 @@ class Weights:
         return out + [(n, i, 0, v) for n in ("b1", "b2") for i, v in enumerate(getattr(self, n))]
 
 
+def shapes(w: Weights) -> list[tuple[str, int, int, int]]:
+    """(layer, start, rows, columns) of each layer within one flat vector."""
+    out, at = [], 0
+    for n in ("w1", "b1", "w2", "b2"):
+        v = getattr(w, n)
+        cols = len(v[0]) if n[0] == "w" else 1
+        out.append((n, at, len(v), cols))
+        at += len(v) * cols
+    return out
+
+
+def flat_place(of: list[tuple[str, int, int, int]]) -> Column:
+    """The place of (layer, i, j)."""
+    return F.coalesce(*(F.when(F.col("layer") == n, F.lit(start) + F.col("i") * cols + F.col("j")) for n, start, _, cols in of)).cast("long")
+
+
+def unflattened(flat: DataFrame, of: list[tuple[str, int, int, int]]) -> DataFrame:
+    """flat(pos, y) -> (pos, layer, i, j, y)."""
+    at = F.coalesce(*(F.when(F.col("pos") >= start, F.struct(F.lit(n).alias("layer"), F.lit(start).alias("start"), F.lit(cols).alias("cols"))) for n, start, _, cols in reversed(of)))
+    own = flat.withColumn("_a", at).withColumn("_k", F.col("pos") - F.col("_a.start"))
+    i = F.expr("cast(_k div _a.cols as int)")
+    return own.select("pos", "_a.layer", i.alias("i"), (F.col("_k") - i * F.col("_a.cols")).cast("int").alias("j"), "y")
+
+
 def forward(x: DataFrame, w: Weights, scale: int) -> DataFrame:
     """Adds z1, a1 and z2 to rows with an array x: no join and no shuffle."""
     own = x.withColumn("z1", dense(F.col("x"), w.w1, w.b1, scale))
