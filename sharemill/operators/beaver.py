@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.field import element, modsum, mulmod, submod
 from ..spec import FieldSpec
-from .sharing import at_party, masks, weighted
+from .sharing import at_party, masks, own_share, weighted
 
 
 def triple(key: Sequence[Column], spec: FieldSpec) -> tuple[Column, Column, Column]:
@@ -34,15 +34,17 @@ def _at(n: str, party: int, spec: FieldSpec) -> Column:
 def multiply(x: DataFrame, y: DataFrame, key: Sequence[str], spec: FieldSpec) -> DataFrame:
     """x(key, party, y), y(key, party, y) -> (key, party, y): shares of the products.
 
-    d = x - a and e = y - b are opened in one aggregation that also keeps each party's triple, so
-    both operands and the opening share one shuffle on key."""
+    Each party takes its share of a off its share of x, and of b off that of y; only those
+    differences are opened. Both operands and the opening share one shuffle on key."""
     p, use = spec.p, spec.parties[: spec.t + 1]
     keys = [F.col(k) for k in key]
-    both = x.select(*key, "party", F.col("y").alias("v"), F.lit(0).alias("side")).unionByName(y.select(*key, "party", F.col("y").alias("v"), F.lit(1).alias("side")))
-    both = both.where(F.col("party").isin(use)).withColumn("_w", weighted(F.col("v"), F.col("party"), use, 0, p))
-    opened = both.groupBy(*key).agg(*(modsum(F.when(F.col("side") == s, F.col("_w")).otherwise(0), p).alias(f"_o{s}") for s in (0, 1)))
-    own = opened.withColumns({"_a": element(spec.p, "a", *keys), "_b": element(spec.p, "b", *keys)})
-    own = own.withColumns({"_c": mulmod(F.col("_a"), F.col("_b"), p), "d": submod(F.col("_o0"), F.col("_a"), p), "e": submod(F.col("_o1"), F.col("_b"), p)})
+    a, b, _ = triple(keys, spec)
+    hidden = lambda own, secret, n, side: own.where(F.col("party").isin(use)).select(
+        *key, weighted(submod(F.col("y"), own_share(secret, key, spec, f"triple_{n}"), p), F.col("party"), use, 0, p).alias("_w"), F.lit(side).alias("side")
+    )
+    both = hidden(x, a, "a", 0).unionByName(hidden(y, b, "b", 1))
+    own = both.groupBy(*key).agg(*(modsum(F.when(F.col("side") == s, F.col("_w")).otherwise(0), p).alias(n) for s, n in ((0, "d"), (1, "e"))))
+    own = own.withColumns({"_a": a, "_b": b}).withColumn("_c", mulmod(F.col("_a"), F.col("_b"), p))
     own = own.withColumns({f"_m{n}{k}": m for n in "abc" for k, m in enumerate(masks(spec, f"triple_{n}", *keys))})
     parts = F.array(*(F.struct(F.lit(i).alias("party"), *(_at(n, i, spec).alias(n) for n in "abc")) for i in spec.parties))
     own = own.withColumn("_t", F.explode(parts)).withColumn("_de", mulmod(F.col("d"), F.col("e"), p))

@@ -50,21 +50,22 @@ def reconstruct(shares: DataFrame, key: Sequence[str], spec: FieldSpec, parties:
     return shares.where(F.col("party").isin(use)).groupBy(*key).agg(modsum(weighted(F.col(value), F.col("party"), use, 0, spec.p), spec.p).alias(out))
 
 
-def packed_polynomial(secrets: Sequence[Column], at: int, spec: FieldSpec, label: str, *key: Column) -> Column:
-    """The value at `at` of the polynomial through the secrets at -1..-k and t masks at 1..t."""
+def with_masks(secrets: Sequence[Column], at: int, own_masks: Sequence[Column], spec: FieldSpec) -> Column:
+    """The value at `at` of the polynomial through the secrets at -1..-k and the t masks at 1..t."""
     points = [-j for j in range(1, len(secrets) + 1)] + list(range(1, spec.t + 1))
-    values = [*secrets, *(element(spec.p, label, *key, m) for m in range(1, spec.t + 1))]
     out = F.lit(0).cast("long")
-    for lam, v in zip(basis(points, at, spec.p), values, strict=True):
+    for lam, v in zip(basis(points, at, spec.p), [*secrets, *own_masks], strict=True):
         out = (out + mulmod(v, lam, spec.p)) % spec.p
     return out
 
 
 def packed_share(df: DataFrame, secrets: Sequence[str], key: Sequence[str], spec: FieldSpec, label: str = "packed") -> DataFrame:
-    """A row per party for each row of k secrets: key columns, party, y."""
-    cols, keys = [F.col(s) for s in secrets], [F.col(k) for k in key]
-    rows = F.array(*(F.struct(F.lit(i).alias("party"), packed_polynomial(cols, i, spec, label, *keys).alias("y")) for i in spec.parties))
-    return df.withColumn("_s", F.explode(rows)).select(*key, "_s.party", "_s.y")
+    """A row per party for each row of k secrets: key columns, party, y. Masks are hashed once a row."""
+    cols = [F.col(s) for s in secrets]
+    own = df.withColumns({f"_m{k}": m for k, m in enumerate(masks(spec, label, *map(F.col, key)))})
+    marks = [F.col(f"_m{k}") for k in range(spec.t)]
+    rows = F.array(*(F.struct(F.lit(i).alias("party"), with_masks(cols, i, marks, spec).alias("y")) for i in spec.parties))
+    return own.withColumn("_s", F.explode(rows)).select(*key, "_s.party", "_s.y")
 
 
 def packed_reconstruct(shares: DataFrame, key: Sequence[str], spec: FieldSpec, parties: Sequence[int] | None = None) -> DataFrame:
