@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.field import fixed
+from ..functions.field import fixed, hash60
 from ..operators.model import Weights
 
 
@@ -26,6 +28,69 @@ def head(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(F.col(key) < n)
 
 
+def sample_order(key: str, seed: int) -> Column:
+    """A keyed order of rows, the same on every evaluation."""
+    return hash60(str(seed), F.col(key))
+
+
+def subset(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(key): the first n in a keyed order, or all if there are fewer. Each task keeps n at most."""
+    return df.select(key).orderBy(sample_order(key, seed), key).limit(n)
+
+
+def write_indices(indices: DataFrame, path: str) -> None:
+    """An index of rows that runs share, as Parquet."""
+    indices.write.mode("overwrite").parquet(path)
+
+
+def read_indices(spark: SparkSession, path: str, key: str, all_rows: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """A shared index. Where there is none, the first n by key of all_rows; an error without those."""
+    try:
+        return spark.read.parquet(path).select(key)
+    except AnalysisException:
+        if all_rows is None or n is None:
+            raise FileNotFoundError(f"no index at {path}") from None
+        return head(all_rows.select(key), key, n)
+
+
+def append_run(run: DataFrame, path: str) -> None:
+    """Appends a run's row to a table of runs, CSV with a header in each file."""
+    run.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def checked(values: Column, n: int) -> Column:
+    """An array of exactly n values, or an error."""
+    return F.when(F.size(values) == n, values).otherwise(F.raise_error(F.format_string("%d values, not " + str(n), F.size(values))))
+
+
+def grey_images(spark: SparkSession, path: str, side: int = 28) -> DataFrame:
+    """(path, x array<double>): binary grey maps (P5) of any size, resized to side by side cells by
+    bilinear interpolation between cell centres, 0..max as 0..1."""
+    import numpy as np
+    import pyarrow as pa
+
+    def one(name: str, raw: bytes) -> list[float]:
+        parts = re.match(rb"P5\s+(?:#[^\n]*\s+)*(\d+)\s+(\d+)\s+(\d+)\s", raw)
+        if not parts or int(parts[3]) > 255:
+            raise ValueError(f"{name}: not an 8-bit grey map")
+        w, h, top = (int(parts[k]) for k in (1, 2, 3))
+        cells = np.frombuffer(raw, np.uint8, w * h, parts.end()).reshape(h, w) / top
+        at = lambda n: np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
+        y, x = at(h), at(w)
+        y0, x0 = y.astype(int), x.astype(int)
+        y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), (y - y0)[:, None], x - x0
+        low = cells[y0][:, x0] * (1 - fx) + cells[y0][:, x1] * fx
+        high = cells[y1][:, x0] * (1 - fx) + cells[y1][:, x1] * fx
+        return (low * (1 - fy) + high * fy).ravel().tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [one(p, raw) for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["path", "x"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, x array<double>")
+
+
 def one_hot(label: str, classes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: (c == F.col(label)).cast("int"))
 
