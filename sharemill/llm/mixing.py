@@ -1,35 +1,43 @@
 """Mixing to target weights by iterative proportional fitting: token weights of the cells (source,
-language, topic) are raked to the marginal targets, then documents are sampled with the calibrated
-probabilities of their cells. Only cells are shuffled for the fit, never documents."""
+language, topic) are raked to the marginal targets with no cell above its tokens, then documents
+are sampled with the calibrated probabilities of their cells. The fit takes cells, never documents."""
 
 from __future__ import annotations
 
 import logging
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
-#: Passes over the margins, the power that tempers observed shares into targets, the expected share
-#: of tokens kept where no cell saturates, and the seed of the draw.
-PASSES, TEMPER, RATE, SEED = 8, 0.7, 0.5, 17
+#: Passes over the margins; the power that tempers observed shares into targets; the share of tokens
+#: asked for, and the part of what the scarcest value allows that is taken at most; the seed of the draw.
+PASSES, TEMPER, RATE, ROOM, SEED = 32, 0.7, 0.5, 0.9, 17
 DIMS = ["source", "lang", "topic"]
-#: The largest error of a margin, as a part of its goal, at which a fit is done; passes up to which it
-#: is tried at one rate; what the rate is multiplied by where cells can't give enough.
-TOLERANCE, MOST_PASSES, LOWER = 1e-6, 300, 0.95
+#: The largest error of a margin, as a part of its goal, at which a fit is done, and what the rate is
+#: multiplied by where cells can't give enough together.
+TOLERANCE, LOWER = 1e-6, 0.95
 #: Cells up to which their table is broadcast.
 MOST_CELLS = 100_000
+#: Topics by what a text holds, the first that applies; other texts are prose by their length.
+MARKS = {"legal": ["icens"], "contact": ["@"], "shouting": ["!! "], "table": [" | "], "symbols": ["%%%", "&&&"]}
+LENGTHS = {"long": 4000, "middle": 1000, "short": 0}
 
 
 def topic(text: Column) -> Column:
-    """A coarse kind of text, from the whole text: tabular, symbols, long or short prose."""
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(F.contains(t, F.lit(" | ")), "table").when(F.contains(t, F.lit("%%%")) | F.contains(t, F.lit("&&&")), "symbols")
-        .when(F.length(t) >= 4000, "long").when(F.length(t) >= 1000, "middle").otherwise("short")
-    )
+    """A text's topic, from the whole of it: licences, contacts, shouting, tables, strings of symbols, or
+    prose by its length."""
+    t, out = F.coalesce(text, F.lit("")), None
+    for name, marks in MARKS.items():
+        has = F.contains(t, F.lit(marks[0]))
+        for m in marks[1:]:
+            has = has | F.contains(t, F.lit(m))
+        out = F.when(has, name) if out is None else out.when(has, name)
+    for name, least in LENGTHS.items():
+        out = out.when(F.length(t) >= least, name)
+    return out
 
 
 def n_tokens(text: Column) -> Column:
@@ -41,69 +49,42 @@ def cells(docs: DataFrame, dims: list[str], tokens: str) -> DataFrame:
     return docs.groupBy(*dims).agg(F.sum(tokens).cast("double").alias("tokens"), F.count("*").alias("docs"))
 
 
-def rake(cell: DataFrame, dims: list[str], passes: int = PASSES, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Adds weight: the cells' tokens scaled so that their shares by each of dims meet the targets,
-    the total unchanged. A dimension's targets are given as value -> share, or are the observed
-    shares to the power `temper`, normalised. Values without a target or tokens get no weight."""
-    spark = cell.sparkSession
-    out = cell.withColumn("weight", F.col("tokens"))
-    goals = {}
-    total = cell.agg(F.sum("tokens")).first()[0] or 0.0
-    for d in dims:
-        seen = cell.groupBy(d).agg(F.sum("tokens").alias("own"))
-        if targets and d in targets:
-            given = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "value string, raw double")
-            seen = seen.join(F.broadcast(given), F.col(d).eqNullSafe(F.col("value")), "left").select(d, F.coalesce("raw", F.lit(0.0)).alias("raw"))
-        else:
-            seen = seen.select(d, F.pow(F.col("own") / (total or 1.0), F.lit(temper)).alias("raw"))
-        whole = seen.agg(F.sum("raw")).first()[0] or 1.0
-        goals[d] = seen.select(F.col(d).alias(f"{d}_value"), (F.col("raw") / whole * total).alias(f"{d}_goal"))
-    for d in dims:
-        out = out.join(goals[d], out[d].eqNullSafe(F.col(f"{d}_value")), "left").drop(f"{d}_value")
-    for _ in range(passes):
-        for d in dims:
-            own = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"{d}_goal") / own).otherwise(0.0))
-    return out
-
-
-def capped(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rate: float) -> tuple[np.ndarray, float]:
-    """Probabilities min(1, product of the margins' factors) whose expected tokens meet the shares of
-    rate times all tokens, and the largest error as a part of its goal. A pass solves each margin with
-    full cells held at 1, by Newton steps from below, which end since the sum is concave in the factor."""
-    w, whole = np.full(len(tokens), rate), tokens.sum()
-    error = np.inf
-    for _ in range(MOST_PASSES):
+def calibrated(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rate: float) -> tuple[np.ndarray, float]:
+    """Probabilities of cells whose expected tokens meet shares of rate times all tokens by each margin,
+    and the largest error as a part of its goal. A pass multiplies the weights of each of a margin's
+    values: what full cells (at 1 or more) leave of its goal is for the others; where they hold more
+    than it, all shrink."""
+    w, whole = np.full(len(tokens), float(rate)), tokens.sum()
+    for _ in range(PASSES):
         for k, share in zip(at, shares, strict=True):
-            goal, f = share * rate * whole, np.zeros(len(share))
-            for _ in range(100):
-                x = w * f[k]
-                short = goal - np.bincount(k, np.minimum(1, x) * tokens, len(goal))
-                slope = np.bincount(k, np.where(x < 1, w, 0) * tokens, len(goal))
-                more = np.divide(short, slope, out=np.zeros(len(goal)), where=(slope > 0) & (short > 1e-12 * whole))
-                f += more
-                if not more.any():
-                    break
-            w = np.minimum(w * f[k], 1e100)
-        p = np.minimum(1, w)
-        own = [np.bincount(k, p * tokens, len(share)) for k, share in zip(at, shares, strict=True)]
-        before, error = error, max((np.abs(o[g > 0] / (g[g > 0] * rate * whole) - 1).max(initial=0) for o, g in zip(own, shares, strict=True)), default=0.0)
-        if error <= TOLERANCE or error > 0.9999 * before:
-            break
+            goal, full = share * rate * whole, w >= 1
+            fixed = np.bincount(k, np.where(full, tokens, 0.0), len(share))
+            rest = np.bincount(k, np.where(full, 0.0, w * tokens), len(share))
+            more = np.divide(goal - fixed, rest, out=np.ones(len(share)), where=rest > 0)
+            less = np.divide(goal, fixed, out=np.zeros(len(share)), where=fixed > 0)
+            w = w * np.where(goal > fixed, more, less)[k]
+    p = np.minimum(1, w)
+    error = 0.0
+    for k, share in zip(at, shares, strict=True):
+        goal, own = share * rate * whole, np.bincount(k, p * tokens, len(share))
+        error = max(error, float(np.abs(own[goal > 0] / goal[goal > 0] - 1).max(initial=0)))
     return p, error
 
 
 def fitted(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rate: float) -> tuple[np.ndarray, float, float]:
-    """capped() at the highest rate tried at which the margins hold within TOLERANCE; with that rate
-    and the error. Where no rate helps (no cell is full and they still don't hold), at the rate given."""
-    if not tokens.sum():
+    """calibrated() at the rate asked for or at ROOM of what the scarcest value of a margin allows, if
+    that is less; lowered by steps while the margins don't hold together. With the rate and error."""
+    whole = tokens.sum()
+    if not whole:
         return np.ones(len(tokens)), rate, 0.0
-    first = p, error = capped(tokens, at, shares, rate)
-    now = rate
+    for k, share in zip(at, shares, strict=True):
+        own = np.bincount(k, tokens, len(share))
+        rate = min([rate, *(ROOM * own[share > 0] / (share[share > 0] * whole)).tolist()])
+    p, error = calibrated(tokens, at, shares, rate)
     while error > TOLERANCE and (p >= 1).any():
-        now *= LOWER
-        p, error = capped(tokens, at, shares, now)
-    return (p, now, error) if error <= TOLERANCE else (first[0], rate, first[1])
+        rate *= LOWER
+        p, error = calibrated(tokens, at, shares, rate)
+    return p, rate, error
 
 
 def fit(cell: DataFrame, dims: list[str], rate: float, temper: float, targets: dict | None) -> DataFrame:
@@ -133,24 +114,16 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", doc_id.cast("string"), F.lit(str(seed))).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens", rate: float = RATE, targets: dict | None = None, seed: int = SEED, passes: int = PASSES, temper: float = TEMPER, clip: bool = False, instead: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens", rate: float = RATE, targets: dict | None = None, seed: int = SEED, temper: float = TEMPER, instead: Column | None = None) -> DataFrame:
     """docs with doc_id, dims and a token count -> the same rows with probability and kept.
 
-    A document's probability is its cell's: cells that would need more than 1 are held at 1, and the
-    others are raked to what is left of the targets, at a lower rate where that can't hold otherwise
-    (fitted()). With clip, as op5's SQL has it, it is rate times the raked weight over the tokens, cut
-    at 1, and what is cut is lost. It is drawn by a hash of its id, so a row keeps its fate in any
-    order and on any retry. Null values of a dimension are a value of their own; null ids are drawn by
-    a hash of `instead`, such as the text, and share one draw without it; rows that repeat
-    share theirs; an empty table stays empty; other columns pass through unless they are named
-    probability or kept, which are replaced."""
+    A document's probability is its cell's, as fitted() finds it. It is drawn by a hash of its id, so
+    a row keeps its fate in any order and on any retry. Null values of a dimension are a value of
+    their own; null ids are drawn by a hash of `instead`, such as the text, and share one draw
+    without it; rows that repeat share theirs; an empty table stays empty; other columns pass
+    through unless they are named probability or kept, which are replaced."""
     cell = materialize(cells(docs, dims, tokens), "cells")
-    if clip:
-        raked = materialize(rake(cell, dims, passes, temper, targets), "raked")
-        p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens"))).otherwise(1.0)
-        found = raked.select(*(F.col(d).alias(f"cell_{d}") for d in dims), p.alias("cell_probability"))
-    else:
-        found = materialize(fit(cell, dims, rate, temper, targets), "fitted")
+    found = materialize(fit(cell, dims, rate, temper, targets), "fitted")
     few = found.count() <= MOST_CELLS  # a row per cell; beyond that Spark joins by key and splits skewed ones
     meets = None
     for d in dims:
@@ -163,36 +136,49 @@ def mix(docs: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens", rate:
     return out.select(*names, F.col("cell_probability").alias("probability"), (draw(key, seed) < F.col("cell_probability")).alias("kept"))
 
 
+def margins(mixed: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens") -> DataFrame:
+    """(dim, value, tokens, expected): tokens of mix()'s rows by each value, and those expected to be kept."""
+    values = F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims))
+    own = mixed.select(F.explode(values).alias("m"), F.col(tokens).alias("t"), "probability")
+    return own.groupBy("m.dim", "m.value").agg(F.sum("t").alias("tokens"), F.sum(F.col("t") * F.col("probability")).alias("expected"))
+
+
 def documents_mixed(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source, lang, ...) -> doc_id, source, lang, topic, n_tokens, probability
-    (to 9 decimals) and kept, a row for each of them. By the law that its SQL fixes: with clip."""
-    own = docs.select(F.col("doc_id").cast("long"), "source", "lang", topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"))
-    return mix(own, clip=True).withColumn("probability", F.round("probability", 9))
+    (to 9 decimals) and kept, a row for each of them, as mix() says. Null texts are empty; null ids
+    are drawn by their text; extra columns are dropped."""
+    own = docs.select(F.col("doc_id").cast("long"), "source", "lang", topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"), F.col("text").alias("__text"))
+    return mix(own, instead=F.col("__text")).drop("__text").withColumn("probability", F.round("probability", 9))
 
 
 def sampled(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """The sampled rows of docs(doc_id, text, source, lang, ...), with the columns of docs."""
-    cols = docs.columns
+    """The sampled rows of docs(doc_id, text, source, lang, ...), with the columns of docs: those that
+    mix() keeps. Null texts are empty, null ids are drawn by their text, rows that repeat share their
+    fate, and an empty table stays empty."""
     own = docs.withColumns({"__topic": topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
-    return mix(own, ["source", "lang", "__topic"], "__tokens", rate, instead=F.col("text")).where("kept").select(*cols)
+    return mix(own, ["source", "lang", "__topic"], "__tokens", rate, instead=F.col("text")).where("kept").select(*docs.columns)
 
 
 def oracle() -> str:
-    """The same over DuckDB's view of documents: the raking passes are so many common tables."""
-    ctes = [f"""d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text,
-      CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '%%%') OR contains(coalesce(text, ''), '&&&') THEN 'symbols'
-           WHEN length(coalesce(text, '')) >= 4000 THEN 'long' WHEN length(coalesce(text, '')) >= 1000 THEN 'middle' ELSE 'short' END AS topic,
-      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS BIGINT) AS n_tokens FROM documents)""",
-      f"c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)"]
+    """The same over DuckDB's view of documents: the passes are so many common tables. It takes the
+    first rate that fitted() tries, which is the one it ends with unless the margins can't hold."""
+    text = "coalesce(text, '')"
+    topics = " ".join(f"WHEN {' OR '.join(f'contains({text}, {chr(39)}{m}{chr(39)})' for m in marks)} THEN '{n}'" for n, marks in MARKS.items())
+    topics += " " + " ".join(f"WHEN length({text}) >= {least} THEN '{n}'" for n, least in LENGTHS.items())
+    ctes = [f"""d AS (SELECT doc_id, source, lang, {text} AS text, CASE {topics} END AS topic,
+      CAST(len(regexp_extract_all({text}, '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens FROM documents)""",
+      "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)"]
     for x in DIMS:
-        ctes.append(f"r_{x} AS (SELECT {x}, pow(sum(tokens) / (SELECT sum(tokens) FROM c), {TEMPER}) AS raw FROM c GROUP BY {x})")
-        ctes.append(f"g_{x} AS (SELECT {x}, raw / (SELECT sum(raw) FROM r_{x}) * (SELECT sum(tokens) FROM c) AS goal FROM r_{x})")
-    ctes.append("w0 AS (SELECT c.*, gs.goal AS source_goal, gl.goal AS lang_goal, gt.goal AS topic_goal, tokens AS weight FROM c JOIN g_source gs ON c.source IS NOT DISTINCT FROM gs.source JOIN g_lang gl ON c.lang IS NOT DISTINCT FROM gl.lang JOIN g_topic gt ON c.topic IS NOT DISTINCT FROM gt.topic)")
+        ctes.append(f"r_{x} AS (SELECT {x}, sum(tokens) AS own, pow(sum(tokens) / (SELECT sum(tokens) FROM c), {TEMPER}) AS raw FROM c GROUP BY {x})")
+        ctes.append(f"s_{x} AS (SELECT {x}, own, raw / (SELECT sum(raw) FROM r_{x}) * (SELECT sum(tokens) FROM c) AS part FROM r_{x})")
+    least = ", ".join(f"(SELECT min({ROOM} * own / part) FROM s_{x})" for x in DIMS)
+    ctes.append(f"rate AS (SELECT least({RATE}, {least}) AS rate)")
+    ctes.append("w0 AS (SELECT c.*, " + ", ".join(f"s_{x}.part * rate AS {x}_goal" for x in DIMS) + ", rate AS w FROM c CROSS JOIN rate " + " ".join(f"JOIN s_{x} ON c.{x} IS NOT DISTINCT FROM s_{x}.{x}" for x in DIMS) + ")")
     k = 0
     for _ in range(PASSES):
         for x in DIMS:
             k += 1
-            ctes.append(f"w{k} AS (SELECT source, lang, topic, tokens, source_goal, lang_goal, topic_goal, weight * {x}_goal / sum(weight) OVER (PARTITION BY {x}) AS weight FROM w{k - 1})")
-    draw_sql = f"CAST(concat('0x', substring(md5(concat(CAST(coalesce(d.doc_id, -1) AS VARCHAR), '|{SEED}')), 1, 13)) AS BIGINT) / {float(1 << 52)}"
-    p = f"least(1.0, {RATE} * weight / tokens)"
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round({p}, 9) AS probability, {draw_sql} < {p} AS kept FROM d JOIN w{k} w ON d.source IS NOT DISTINCT FROM w.source AND d.lang IS NOT DISTINCT FROM w.lang AND d.topic = w.topic"
+            fixed, rest = (f"sum(CASE WHEN w >= 1 THEN {a} ELSE {b} END) OVER (PARTITION BY {x})" for a, b in (("tokens", "0.0"), ("0.0", "w * tokens")))
+            ctes.append(f"w{k} AS MATERIALIZED (SELECT source, lang, topic, tokens, source_goal, lang_goal, topic_goal, w * CASE WHEN {x}_goal > f THEN CASE WHEN r > 0 THEN ({x}_goal - f) / r ELSE 1 END ELSE {x}_goal / f END AS w FROM (SELECT *, {fixed} AS f, {rest} AS r FROM w{k - 1}))")
+    draw_sql = f"CAST(concat('0x', substring(md5(concat(coalesce(CAST(d.doc_id AS VARCHAR), concat('text|', d.text)), '|{SEED}')), 1, 13)) AS BIGINT) / {float(1 << 52)}"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(least(1.0, w), 9) AS probability, {draw_sql} < least(1.0, w) AS kept FROM d JOIN w{k} w ON d.source IS NOT DISTINCT FROM w.source AND d.lang IS NOT DISTINCT FROM w.lang AND d.topic = w.topic"
