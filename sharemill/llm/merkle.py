@@ -1,91 +1,124 @@
-"""Document fingerprints: a Merkle tree over pieces of sentences, paragraphs and sections. Roots
-test equality; the branches that differ locate an edit. Built-in functions only."""
+"""Document fingerprints: a Merkle tree whose leaves are pieces of sentences, under paragraphs (lines)
+under sections. Sections end where a paragraph's digest says so, so an edit moves none but its own.
+Roots test equality; branches that differ locate an edit. Built-in functions only."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import shuffle_partitions
 
-#: A piece of a sentence: up to 48 characters, then the sentence's or line's end if it is there.
-PIECE = r"[^.!?\n]{1,48}[.!?\n]*|[.!?\n]+"
-#: Paragraphs (lines) in a section; hex digits of a leaf and of an inner node in the fingerprint.
-SECTION, LEAF_HEX, NODE_HEX = 16, 8, 16
-#: Ranges of doc_id that texts are dealt into, and the most of them, which bounds what is broadcast.
-RANGES_PER_PARTITION, MOST_RANGES = 4, 1 << 16
+#: A piece of a sentence: up to 48 characters, then the sentence's end if it is there.
+PIECE = r"[^.!?]{1,48}[.!?]*|[.!?]+"
+#: A section ends after a paragraph whose digest starts so: one in 16. Hex digits of a leaf and of a
+#: section in the fingerprint.
+CUT, LEAF_HEX, NODE_HEX = "0", 8, 16
+#: Bytes of text to a range of documents, ranges at most, which bounds what is broadcast, and the parts
+#: (by a digest of the text) of a range that one id fills.
+RANGE_BYTES, MOST_RANGES, PARTS_HEX = 64 << 20, 1 << 16, 3
 
 
-def leaves(text: Column) -> Column:
-    """The hashes of the text's pieces, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.substring(F.md5(p.cast("binary")), 1, LEAF_HEX))
+def paragraphs(text: Column) -> Column:
+    """Each line as the hashes of its pieces, one after the other."""
+    leaf = lambda p: F.substring(F.md5(p.cast("binary")), 1, LEAF_HEX)
+    return F.transform(F.split(text, "\n"), lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), leaf), ""))
 
 
-def paragraphs(text: Column) -> Column:
-    """The digests of the text's lines, in order."""
-    return F.transform(F.split(text, "\n"), lambda p: F.sha2(p.cast("binary"), 256))
+def sections(lines: Column) -> Column:
+    """Paragraphs in sections: each a string of its paragraphs, with commas between them."""
+    ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | F.sha2(F.get(lines, i - 1).cast("binary"), 256).startswith(CUT))
+    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
+    return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(lines, a, b - a + 1), ","))
+
+
+def nodes(section_list: Column) -> Column:
+    """The digest of each section: of its paragraphs' digests."""
+    return F.transform(section_list, lambda s: F.sha2(F.array_join(F.transform(F.split(s, ","), lambda p: F.sha2(p.cast("binary"), 256)), "").cast("binary"), 256))
 
 
-def sections(digests: Column) -> Column:
-    """The digests of runs of SECTION paragraph digests, in order."""
-    starts = F.sequence(F.lit(1), F.size(digests), F.lit(SECTION))
-    return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(digests, i, SECTION), "").cast("binary"), 256))
+def fingerprint(section_list: Column, node_list: Column) -> Column:
+    """root:section nodes:leaves, with commas between paragraphs and semicolons between sections."""
+    root = F.sha2(F.array_join(node_list, "").cast("binary"), 256)
+    heads = F.array_join(F.transform(node_list, lambda s: F.substring(s, 1, NODE_HEX)), "")
+    return F.concat_ws(":", root, heads, F.array_join(section_list, ";"))
 
 
-def root(section_digests: Column) -> Column:
-    return F.sha2(F.array_join(section_digests, "").cast("binary"), 256)
+def _below(branches: Column, mark: str) -> Column:
+    return F.array_distinct(F.split(F.array_join(branches, mark), mark))
 
 
-def fingerprint(section_digests: Column, leaf_hashes: Column) -> Column:
-    """root:section nodes:leaves, each level in order."""
-    nodes = F.array_join(F.transform(section_digests, lambda s: F.substring(s, 1, NODE_HEX)), "")
-    return F.concat_ws(":", root(section_digests), nodes, F.array_join(leaf_hashes, ""))
+def _leaves(lines: Column) -> Column:
+    whole = F.array_join(lines, "")
+    n = (F.length(whole) / LEAF_HEX).cast("int")
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(whole, (k - 1) * LEAF_HEX + 1, F.lit(LEAF_HEX))))).otherwise(F.array().cast("array<string>"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of distinct leaves in common, of the larger tree; two empty trees are alike."""
-    most = F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / most)
+def _count(branches: Column) -> Column:
+    """Leaves below some branches."""
+    return F.length(F.regexp_replace(F.array_join(branches, ""), ",", "")) / LEAF_HEX
+
+
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds the likeness of two trees given as section lists: leaves below sections that both have, then
+    below paragraphs that both have of the other sections, then leaves that both have of the other
+    paragraphs, over as many of the larger tree. Branches count once; two empty trees are alike."""
+    c, keep = F.col, df.columns
+    own = df.withColumns({"_s": F.array_intersect(a, b), "_pa": _below(F.array_except(a, b), ","), "_pb": _below(F.array_except(b, a), ",")})
+    own = own.withColumns({"_p": F.array_intersect("_pa", "_pb"), "_la": _leaves(F.array_except("_pa", "_pb")), "_lb": _leaves(F.array_except("_pb", "_pa"))})
+    own = own.withColumn("_n", _count(c("_s")) + _count(c("_p")))
+    most = c("_n") + F.greatest(F.size("_la"), F.size("_lb"))
+    return own.select(*keep, F.when(most == 0, 1.0).otherwise((c("_n") + F.size(F.array_intersect("_la", "_lb"))) / most).alias(out))
 
 
 def changed_sections(a: Column, b: Column) -> Column:
-    """0-based places of the sections whose nodes differ or exist on one side only."""
-    n = F.greatest(F.size(a), F.size(b))
-    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
+    """first:end:other end of the sections that an edit touched, from 0, ends exclusive, in the text's and
+    the edited text's lists; empty for equal trees."""
+    n, m = F.size(a), F.size(b)
+    short = F.least(n, m)
+    first = lambda x, y: F.coalesce(F.get(F.filter(F.sequence(F.lit(0), short - 1), lambda i: F.get(x, i) != F.get(y, i)), F.lit(0)), short)
+    head = first(a, b)
+    tail = F.least(first(F.reverse(a), F.reverse(b)), short - head)
+    place = F.concat_ws(":", head.cast("string"), (n - tail).cast("string"), (m - tail).cast("string"))
+    return F.when((n == m) & (head == n), "").otherwise(place)
 
 
 def trees(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds root, section_digests, leaf_hashes and fingerprint to every row; null texts are empty."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumns({"section_digests": sections(paragraphs(t)), "leaf_hashes": leaves(t)})
-    return own.withColumns({"root": root(F.col("section_digests")), "fingerprint": fingerprint(F.col("section_digests"), F.col("leaf_hashes"))})
+    """Adds sections, nodes and fingerprint to every row; null texts are empty. Columns of these names
+    are replaced."""
+    own = docs.withColumn("sections", sections(paragraphs(F.coalesce(F.col(text_col), F.lit("")))))
+    own = own.withColumn("nodes", nodes(F.col("sections")))
+    return own.withColumn("fingerprint", fingerprint(F.col("sections"), F.col("nodes")))
 
 
-def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
-    """Adds next_<col> of the row that follows by doc_id (after the last: the first), nulls last,
-    equal ids by their text. docs has doc_id, text and cols.
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with next_text of the row that follows by doc_id (after the last: the first),
+    nulls last, equal ids by the MD5 of their text.
 
-    Rows are dealt into ranges of doc_id; a range also gets a copy of the first rows of the next
-    one, so no range needs another. Ranges are even in rows: their borders are quantiles."""
+    Rows are dealt into ranges of doc_id whose number follows from the bytes of text; a range also
+    gets the first row of the next one, so no range needs another. An id that fills a range, or
+    null, has ranges of its own, by its texts' digests. Rows equal in id and text share a range."""
     spark = docs.sparkSession
-    n = min(MOST_RANGES, RANGES_PER_PARTITION * shuffle_partitions(spark))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 4 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    span = _range_of(F.col("doc_id"), cuts)
-    heads = docs.select(span.alias("span"), "doc_id").groupBy("span").agg(F.min("doc_id").alias("head"))
-    firsts = sorted((r["span"], r["head"]) for r in heads.collect())  # a row for each range at most
-    schema = "at long, head long, to long, wraps int"
-    ring = [(s, h, firsts[k - 1][0], int(k == 0)) for k, (s, h) in enumerate(firsts)]
-    ring = spark.createDataFrame(ring, schema)
-    own = docs.withColumn("span", span)
-    copies = F.when(F.col("to").isNull(), F.array(F.struct(F.col("span").alias("span"), F.lit(0).alias("copy"), F.lit(0).alias("wraps")))).otherwise(
-        F.array(F.struct(F.col("span").alias("span"), F.lit(0).alias("copy"), F.lit(0).alias("wraps")), F.struct(F.col("to").alias("span"), F.lit(1).alias("copy"), F.col("wraps").alias("wraps")))
-    )
-    meets = (own.span == ring.at) & own.doc_id.eqNullSafe(ring["head"])
-    dealt = own.join(F.broadcast(ring), meets, "left").withColumn("c", F.explode(copies)).select(*docs.columns, "c.*")
-    w = Window.partitionBy("span").orderBy("wraps", F.col("doc_id").asc_nulls_last(), "text", "copy")
-    nxt = {f"next_{c}": F.lead(c).over(w) for c in cols}
-    return dealt.withColumns(nxt).where("copy = 0").drop("span", "copy", "wraps")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(shuffle_partitions(spark), math.ceil(size / RANGE_BYTES))
+    n = min(MOST_RANGES, 4 * tasks)
+    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 4 * n)).first()[0] or []
+    hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    cuts = sorted({*found, *hot, *(v + 1 for v in hot)})
+    digest = F.md5(F.col("text").cast("binary"))
+    part = F.conv(F.substring("digest", 1, PARTS_HEX), 16, 10).cast("long")
+    span = _range_of(F.col("doc_id"), cuts) * 16**PARTS_HEX + F.when(F.col("doc_id").isNull() | F.array_contains(F.lit(hot).cast("array<bigint>"), F.col("doc_id")), part).otherwise(0)
+    own = docs.select("doc_id", "text", digest.alias("digest"))
+    own = own.select("*", span.alias("span"), F.lit(0).alias("copy"), F.lit(0).alias("wraps"))
+    heads = own.groupBy("span").agg(F.min(F.struct("doc_id", "digest", "text")).alias("h"))  # one row a range
+    spans = sorted(r[0] for r in heads.select("span").collect())  # MOST_RANGES and the hot ids' parts at most
+    ring = spark.createDataFrame([(s, spans[k - 1], int(k == 0)) for k, s in enumerate(spans)], "at long, to long, wraps int")
+    ahead = heads.join(F.broadcast(ring), F.col("span") == F.col("at")).select("h.doc_id", "h.text", "h.digest", F.col("to").alias("span"), F.lit(1).alias("copy"), "wraps")
+    w = Window.partitionBy("span").orderBy("wraps", F.col("doc_id").asc_nulls_last(), "digest", "copy")
+    dealt = own.unionByName(ahead).repartition(tasks, "span")
+    return dealt.withColumn("next_text", F.lead("text").over(w)).where("copy = 0").select("doc_id", "text", "next_text")
 
 
 def _range_of(key: Column, cuts: list[int]) -> Column:
@@ -102,54 +135,52 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text ends with the first floor(n_chars / 2) characters of the next document in
     place of as many of its own. Null texts are empty; a table of one row is its own next; rows
-    with a null doc_id come last; repeated ids follow each other by text; an empty table gives no
-    rows; extra columns are ignored."""
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(own, ["text"])
-    n = F.length("text")
+    with a null doc_id come last; repeated ids follow each other by their texts' MD5; an empty
+    table gives no rows; extra columns are ignored."""
+    both = with_next(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
-    out = both.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), leaves(F.col("next_text")).alias("next_leaves"))
-    out = out.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_leaves",
-        sections(paragraphs(F.col("text"))).alias("s"), leaves(F.col("text")).alias("l"),
-        sections(paragraphs(F.col("edited"))).alias("es"), leaves(F.col("edited")).alias("el"),
-    )
+    out = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    tree = lambda c: sections(paragraphs(F.col(c)))
+    out = out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), tree("text").alias("s"), tree("edited").alias("e"), tree("next_text").alias("x"))
+    out = with_likeness(with_likeness(out, "s", "e", "near_edited"), "s", "x", "near_next")
     c = F.col
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(c("s"), c("l")).alias("fingerprint"), fingerprint(c("es"), c("el")).alias("edited_fingerprint"),
-        likeness(c("l"), c("el")).alias("near_edited"), likeness(c("l"), c("next_leaves")).alias("near_next"),
-        F.array_join(changed_sections(c("s"), c("es")).cast("array<string>"), ",").alias("changed_sections"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(c("s"), nodes(c("s"))).alias("fingerprint"), fingerprint(c("e"), nodes(c("e"))).alias("edited_fingerprint"),
+        "near_edited", "near_next", changed_sections(c("s"), c("e")).alias("changed_sections"),
     )
 
 
-ORACLE = rf"""
+def _oracle() -> str:
+    lines = lambda t: f"list_transform(string_split({t}, chr(10)), lambda l: array_to_string(list_transform(regexp_extract_all(l, '{PIECE}'), lambda p: substring(md5(p), 1, {LEAF_HEX})), ''))"
+    ends = lambda c: f"list_filter(generate_series(1, len({c})), lambda i: i = len({c}) OR starts_with(sha256({c}[i]), '{CUT}'))"
+    cut = lambda c, n: f"list_transform(generate_series(1, len({n})), lambda k: array_to_string({c}[CASE WHEN k = 1 THEN 1 ELSE {n}[k - 1] + 1 END:{n}[k]], ','))"
+    node = lambda s: f"list_transform({s}, lambda q: sha256(array_to_string(list_transform(string_split(q, ','), lambda p: sha256(p)), '')))"
+    print_ = lambda s, d: f"sha256(array_to_string({d}, '')) || ':' || array_to_string(list_transform({d}, lambda q: substring(q, 1, {NODE_HEX})), '') || ':' || array_to_string({s}, ';')"
+    minus = lambda x, y: f"list_filter(list_distinct({x}), lambda q: NOT list_contains({y}, q))"
+    count = lambda b: f"length(replace(array_to_string({b}, ''), ',', '')) // {LEAF_HEX}"
+    leaves = lambda b: f"list_distinct(list_transform(generate_series(1, length(array_to_string({b}, '')) // {LEAF_HEX}), lambda k: substring(array_to_string({b}, ''), (k - 1) * {LEAF_HEX} + 1, {LEAF_HEX})))"
+    below = lambda b: f"list_distinct(string_split(array_to_string({b}, ','), ','))"
+    ctes, near = [], {}
+    for n, y in (("e", "es"), ("x", "xs")):
+        ctes.append(f"p{n} AS (SELECT rid, list_intersect(list_distinct(ss), list_distinct({y})) AS c, {below(minus('ss', y))} AS a, {below(minus(y, 'ss'))} AS b FROM s)")
+        ctes.append(f"l{n} AS (SELECT rid, {count('c')} + {count('list_intersect(a, b)')} AS n, {leaves(minus('a', 'b'))} AS a, {leaves(minus('b', 'a'))} AS b FROM p{n})")
+        near[n] = f"(SELECT CASE WHEN n + greatest(len(a), len(b)) = 0 THEN 1.0 ELSE (n + len(list_intersect(a, b))) / CAST(n + greatest(len(a), len(b)) AS DOUBLE) END FROM l{n} WHERE l{n}.rid = s.rid)"
+    head = "coalesce(list_filter(generate_series(1, least(len(ss), len(es))), lambda i: ss[i] <> es[i])[1] - 1, least(len(ss), len(es)))"
+    tail = "coalesce(list_filter(generate_series(1, least(len(ss), len(es))), lambda i: ss[len(ss) + 1 - i] <> es[len(es) + 1 - i])[1] - 1, least(len(ss), len(es)))"
+    return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (
-  SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id NULLS LAST, text)) AS next_text FROM d
-),
-e AS (
-  SELECT doc_id, text, next_text, length(text) AS n_chars,
-         substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM n
-),
-h AS (
-  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-         list_transform(string_split(text, chr(10)), lambda p: sha256(p)) AS pd,
-         list_transform(string_split(edited, chr(10)), lambda p: sha256(p)) AS epd,
-         list_transform(regexp_extract_all(text, '{PIECE}'), lambda p: substring(md5(p), 1, {LEAF_HEX})) AS l,
-         list_transform(regexp_extract_all(edited, '{PIECE}'), lambda p: substring(md5(p), 1, {LEAF_HEX})) AS el,
-         list_transform(regexp_extract_all(next_text, '{PIECE}'), lambda p: substring(md5(p), 1, {LEAF_HEX})) AS nl FROM e
-),
-s AS (
-  SELECT *, list_transform(generate_series(1, len(pd), {SECTION}), lambda i: sha256(array_to_string(pd[i:i + {SECTION} - 1], ''))) AS sd,
-         list_transform(generate_series(1, len(epd), {SECTION}), lambda i: sha256(array_to_string(epd[i:i + {SECTION} - 1], ''))) AS esd FROM h
-)
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256,
-       sha256(array_to_string(sd, '')) || ':' || array_to_string(list_transform(sd, lambda x: substring(x, 1, {NODE_HEX})), '') || ':' || array_to_string(l, '') AS fingerprint,
-       sha256(array_to_string(esd, '')) || ':' || array_to_string(list_transform(esd, lambda x: substring(x, 1, {NODE_HEX})), '') || ':' || array_to_string(el, '') AS edited_fingerprint,
-       CASE WHEN greatest(len(list_distinct(l)), len(list_distinct(el))) = 0 THEN 1.0
-            ELSE len(list_intersect(list_distinct(l), list_distinct(el))) / CAST(greatest(len(list_distinct(l)), len(list_distinct(el))) AS DOUBLE) END AS near_edited,
-       CASE WHEN greatest(len(list_distinct(l)), len(list_distinct(nl))) = 0 THEN 1.0
-            ELSE len(list_intersect(list_distinct(l), list_distinct(nl))) / CAST(greatest(len(list_distinct(l)), len(list_distinct(nl))) AS DOUBLE) END AS near_next,
-       array_to_string(list_transform(list_filter(generate_series(0, greatest(len(sd), len(esd)) - 1), lambda i: sd[i + 1] IS DISTINCT FROM esd[i + 1]), lambda i: CAST(i AS VARCHAR)), ',') AS changed_sections
-FROM s
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, row_number() OVER w AS rid FROM d WINDOW w AS (ORDER BY doc_id NULLS LAST, md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM n),
+h AS (SELECT *, {lines('text')} AS sl, {lines('edited')} AS el, {lines('next_text')} AS xl FROM e),
+k AS (SELECT *, {ends('sl')} AS sn, {ends('el')} AS en, {ends('xl')} AS xn FROM h),
+s AS (SELECT *, {cut('sl', 'sn')} AS ss, {cut('el', 'en')} AS es, {cut('xl', 'xn')} AS xs FROM k),
+{', '.join(ctes)},
+c AS (SELECT rid, {head} AS head, {tail} AS tail FROM s)
+SELECT s.doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {print_('ss', node('ss'))} AS fingerprint, {print_('es', node('es'))} AS edited_fingerprint,
+  {near['e']} AS near_edited, {near['x']} AS near_next,
+  CASE WHEN len(ss) = len(es) AND head = len(ss) THEN '' ELSE concat(head, ':', len(ss) - least(tail, least(len(ss), len(es)) - head), ':', len(es) - least(tail, least(len(ss), len(es)) - head)) END AS changed_sections
+FROM s JOIN c ON c.rid = s.rid
 """
+
+
+ORACLE = _oracle()
