@@ -8,12 +8,11 @@ from ..functions import field as fd
 from ..operators import linalg, model, nonlinear, sharing, spatial
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
-from .registry import MLP, P, S, SOFTMAX, W1, W2, X, fix, h, lift, mod, msum, mul, pade, query, rs
+from .registry import MLP, ORACLES, P, QUERIES, S, SOFTMAX, W1, W2, X, fix, h, lift, mod, msum, mul, pade, query, rs
 
 ONE = FieldSpec()
 W = model.Weights.start(64, 8, 10, S)
 KERNEL = [[model.hash60("kernel", i, j) % 7 - 3 for j in range(3)] for i in range(3)]
-HUNDRED = 100
 
 
 def cells(spark, d):
@@ -33,12 +32,6 @@ def classes(df, col, name="y"):
     return df.select("vec_id", F.posexplode_outer(col).alias("class", name))
 
 
-@query(f"WITH {X} SELECT a.vec_id AS i, b.vec_id AS j, {msum(mul(mod('a.y'), mod('b.y')))} AS y FROM x a JOIN x b ON a.j = b.j WHERE a.vec_id < {HUNDRED} AND b.vec_id < {HUNDRED} GROUP BY a.vec_id, b.vec_id")
-def matmul_raw(spark, d):
-    own = cells(spark, d).where(F.col("vec_id") < HUNDRED).withColumn("y", fd.field(F.col("y"), P))
-    return linalg.matmul(own.select(F.col("vec_id").alias("i"), F.col("j").alias("k"), "y"), own.select(F.col("j").alias("k"), F.col("vec_id").alias("j"), "y"), P)
-
-
 @query(f"WITH {MLP} SELECT vec_id, CAST(i AS INT) AS i, z AS y FROM z1")
 def matmul_fixed_point(spark, d):
     own = vectors(spark, d, S).withColumn("z", linalg.dense(F.col("x"), W.w1, W.b1, S))
@@ -62,68 +55,36 @@ def packed_matvec_public(spark, d):
     return sharing.reconstruct(by_party, ["vec_id", "i"], ONE, out="y")
 
 
-_SMALL = f"s AS (SELECT * FROM x WHERE vec_id < 50 AND j < 8)"
-_CHUNK = 8
-
-
-def small(spark, d):
-    return cells(spark, d).where((F.col("vec_id") < 50) & (F.col("j") < _CHUNK)).select(F.col("vec_id").alias("i"), "j", fd.field(F.col("y"), P).alias("y"))
-
-
-@query(f"WITH {X}, {_SMALL} SELECT a.vec_id, CAST(a.j AS INT) AS i, CAST(b.j AS INT) AS j, {rs('a.y * b.y', S)} AS y FROM s a JOIN s b ON a.vec_id = b.vec_id")
-def outer_product(spark, d):
-    own = vectors(spark, d, S).where(F.col("vec_id") < 50).withColumn("x", F.slice("x", 1, _CHUNK))
-    rows = own.select("vec_id", "x", F.posexplode_outer("x").alias("i", "a")).select("vec_id", "i", "a", F.posexplode_outer("x").alias("j", "b"))
-    return rows.select("vec_id", "i", "j", fd.rescale(F.col("a") * F.col("b"), S).alias("y"))
-
-
-@query(f"WITH {X}, {_SMALL} SELECT CAST(j AS INT) AS i, vec_id AS j, {mod('y')} AS y FROM s")
-def transpose(spark, d):
-    return linalg.transpose(small(spark, d))
-
-
-@query(f"WITH {X}, {_SMALL} SELECT vec_id AS i, CAST(j AS INT) AS j, ({mod('y')} + {mod('y')}) % {P} AS y FROM s")
-def matrix_add(spark, d):
-    return linalg.add(small(spark, d), small(spark, d), P)
-
-
-@query(f"WITH {X}, {_SMALL} SELECT vec_id AS i, CAST(j AS INT) AS j, {mul(mod('y'), 777)} AS y FROM s")
-def matrix_scale(spark, d):
-    return linalg.scale_by(small(spark, d), 777, P)
-
-
-#: The queries above keep the id subsets that their SQL fixes. Those named _all take every vector and
-#: every component; joins and sums in SQL are too slow for them, so tests compare brute force.
 def every(spark, d):
     return cells(spark, d).select(F.col("vec_id").alias("i"), "j", fd.field(F.col("y"), P).alias("y"))
 
 
-@query()
-def matmul_raw_all(spark, d):
+@query(f"WITH {X} SELECT CAST(a.j AS INT) AS i, CAST(b.j AS INT) AS j, {msum(mul(mod('a.y'), mod('b.y')))} AS y FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.j, b.j")
+def matmul_raw(spark, d):
     """The product of the transposed matrix with itself: as large as the components are many."""
     own = vectors(spark, d, S).select(F.transform("x", lambda v: fd.field(v, P)).alias("x"))
     rows = own.select("x", F.posexplode_outer("x").alias("i", "a")).select("i", "a", F.posexplode_outer("x").alias("j", "b"))
     return rows.groupBy("i", "j").agg(fd.modsum(fd.mulmod(F.col("a"), F.col("b"), P), P).alias("y"))
 
 
-@query()
-def outer_product_all(spark, d):
+@query(f"WITH {X} SELECT a.vec_id, CAST(a.j AS INT) AS i, CAST(b.j AS INT) AS j, {rs('a.y * b.y', S)} AS y FROM x a JOIN x b ON a.vec_id = b.vec_id")
+def outer_product(spark, d):
     rows = vectors(spark, d, S).select("vec_id", "x", F.posexplode_outer("x").alias("i", "a")).select("vec_id", "i", "a", F.posexplode_outer("x").alias("j", "b"))
     return rows.select("vec_id", "i", "j", fd.rescale(F.col("a") * F.col("b"), S).alias("y"))
 
 
-@query()
-def transpose_all(spark, d):
+@query(f"WITH {X} SELECT CAST(j AS INT) AS i, vec_id AS j, {mod('y')} AS y FROM x")
+def transpose(spark, d):
     return linalg.transpose(every(spark, d))
 
 
-@query()
-def matrix_add_all(spark, d):
+@query(f"WITH {X} SELECT vec_id AS i, CAST(j AS INT) AS j, ({mod('y')} + {mod('y')}) % {P} AS y FROM x")
+def matrix_add(spark, d):
     return linalg.add(every(spark, d), every(spark, d), P)
 
 
-@query()
-def matrix_scale_all(spark, d):
+@query(f"WITH {X} SELECT vec_id AS i, CAST(j AS INT) AS j, {mul(mod('y'), 777)} AS y FROM x")
+def matrix_scale(spark, d):
     return linalg.scale_by(every(spark, d), 777, P)
 
 
@@ -274,7 +235,7 @@ def mse_gradient(spark, d):
 
 @query(f"WITH {MLP}, q AS (SELECT z2.vec_id, y - CASE WHEN e.label = z2.class THEN {S} ELSE 0 END AS v FROM z2 JOIN embeddings e ON e.vec_id = z2.vec_id) SELECT vec_id, {msum(mul(mod('v'), mod('v')))} AS loss FROM q GROUP BY vec_id")
 def mse_loss(spark, d):
-    own = classes(logits(spark, d), "z2").join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    own = logits(spark, d).select("vec_id", "label", F.posexplode_outer("z2").alias("class", "y"))
     v = fd.field(F.col("y") - F.when(F.col("class") == F.col("label"), F.lit(S)).otherwise(F.lit(0)), P)
     return own.withColumn("v", v).groupBy("vec_id").agg(fd.modsum(fd.mulmod(F.col("v"), F.col("v"), P), P).alias("loss"))
 
@@ -353,7 +314,7 @@ def mlp_eval_metrics(spark, d):
     return own.agg(F.round(F.avg("hit"), 6).alias("accuracy"), F.round(F.avg("ce"), 6).alias("loss"), F.max("m").alias("max_logit"), F.round(F.avg("ent"), 6).alias("entropy"), F.round(F.avg("a"), 3).alias("mean_abs"))
 
 
-_GRADS = f"""{SOFTMAX.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id < 64)')},
+_GRADS = f"""{SOFTMAX},
 d2 AS (SELECT sm.vec_id, class, CAST(prob - CASE WHEN e.label = sm.class THEN {S} ELSE 0 END AS BIGINT) AS g FROM sm JOIN embeddings e ON e.vec_id = sm.vec_id),
 da AS (SELECT d2.vec_id, w2.j, {rs('CAST(sum(d2.g * w2.w) AS BIGINT)', S)} AS g FROM d2 JOIN w2 ON w2.i = d2.class GROUP BY d2.vec_id, w2.j),
 d1 AS (SELECT da.vec_id, da.j AS i, CASE WHEN z1.z > 0 THEN da.g ELSE 0 END AS g FROM da JOIN z1 ON z1.vec_id = da.vec_id AND z1.i = da.j),
@@ -365,31 +326,19 @@ UNION ALL SELECT 'b2', class, 0, sum(g) FROM d2 GROUP BY class)"""
 
 @query(f"WITH {_GRADS} SELECT layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(y AS BIGINT) AS y FROM gr")
 def mlp_gradients(spark, d):
-    return model.gradients(vectors(spark, d, S).where(F.col("vec_id") < 64), W, S)
+    return model.gradients(vectors(spark, d, S), W, S)
 
 
 _RATE = round(0.05 * S)
 
 
 @query(f"""WITH {_GRADS}, w AS (SELECT 'w1' AS layer, i, j, w AS v FROM w1 UNION ALL SELECT 'w2', i, j, w FROM w2 UNION ALL SELECT 'b1', i, 0, 0 FROM range(8) r(i) UNION ALL SELECT 'b2', i, 0, 0 FROM range(10) r(i))
-SELECT w.layer, CAST(w.i AS INT) AS i, CAST(w.j AS INT) AS j, CAST(w.v - {rs(f'CAST(gr.y AS BIGINT) * {_RATE}', S * 64)} AS BIGINT) AS y FROM w JOIN gr ON gr.layer = w.layer AND gr.i = w.i AND gr.j = w.j""")
+SELECT w.layer, CAST(w.i AS INT) AS i, CAST(w.j AS INT) AS j, CAST(w.v - {rs(f'CAST(gr.y AS BIGINT) * {_RATE}', f'({S} * (SELECT count(*) FROM embeddings))')} AS BIGINT) AS y FROM w JOIN gr ON gr.layer = w.layer AND gr.i = w.i AND gr.j = w.j""")
 def mlp_sgd_step(spark, d):
-    rows = spark.createDataFrame(W.rows(), "layer string, i int, j int, v long")
-    g = mlp_gradients(spark, d)
-    return rows.join(g, ["layer", "i", "j"]).select("layer", "i", "j", (F.col("v") - fd.rescale(F.col("y") * _RATE, S * 64)).alias("y"))
-
-
-@query()
-def mlp_gradients_all(spark, d):
-    return model.gradients(vectors(spark, d, S), W, S)
-
-
-@query()
-def mlp_sgd_step_all(spark, d):
     """One step over all rows: the summed gradients are divided by the number of rows."""
     rows = spark.createDataFrame(W.rows(), "layer string, i int, j int, v long")
     n = max(1, table(spark, d, "embeddings").count())
-    g = rows.join(mlp_gradients_all(spark, d), ["layer", "i", "j"], "left")
+    g = rows.join(mlp_gradients(spark, d), ["layer", "i", "j"], "left")
     return g.select("layer", "i", "j", (F.col("v") - fd.rescale(F.coalesce("y", F.lit(0).cast("long")) * _RATE, S * n)).alias("y"))
 
 
@@ -399,3 +348,8 @@ def mlp_train_epochs(spark, d):
     own = vectors(spark, d, S).withColumnRenamed("vec_id", "id")
     w = model.train(own, W, S, 0.05, 256, 2)
     return spark.createDataFrame(w.rows(), "layer string, i int, j int, y long")
+
+
+#: Names that these had while others of the shorter name kept a subset.
+for _name in ("matmul_raw", "outer_product", "transpose", "matrix_add", "matrix_scale", "mlp_gradients", "mlp_sgd_step"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

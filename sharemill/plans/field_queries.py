@@ -218,8 +218,10 @@ def field_average(spark, d):
     return own.select("key", "total", "n", by.alias("y"))
 
 
-@query("SELECT CAST(20 * 5 AS BIGINT) AS num, CAST(20 AS BIGINT) AS quarter, CAST(25 AS BIGINT) AS ratio")
+@query(f"SELECT o_orderkey, {mod(fix('o_totalprice', 100))} AS num, {mul(mod(fix('o_totalprice', 100)), pow(5, -1, P))} AS fifth, {mul(mod(fix('o_totalprice', 100)), pow(4, -1, P))} AS quarter FROM orders")
 def field_division(spark, d):
+    """Values divided by public numbers in the field: times their inverses."""
     from ..functions.lagrange import inverse
 
-    return spark.range(1).select(F.lit(100).cast("long").alias("num"), fd.mulmod(F.lit(100).cast("long"), inverse(5, P), P).alias("quarter"), fd.mulmod(F.lit(100).cast("long"), inverse(4, P61), P).alias("ratio"))
+    own = table(spark, d, "orders").select("o_orderkey", fd.field(fd.fixed(F.col("o_totalprice"), 100), P).alias("num"))
+    return own.withColumns({"fifth": fd.mulmod(F.col("num"), inverse(5, P), P), "quarter": fd.mulmod(F.col("num"), inverse(4, P), P)})

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "sharemill-streams")
+    """The folder that the cluster names; a local one only where none is set and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or "file://" + os.path.join(tempfile.gettempdir(), "sharemill-streams")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
