@@ -8,8 +8,8 @@ from ..functions import field as fd
 from ..operators import division, model, packed, plain, sharing, spatial
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
-from .algebra_queries import logits
-from .registry import MLP, P, S, X, fix, h, mod, query, rs
+from .algebra_queries import W, logits
+from .registry import MLP, P, S, X, fix, h, mod, mul, query, rs
 
 THREE = FieldSpec(n=5, k=3)
 ONE = FieldSpec()
@@ -151,3 +151,45 @@ def secret_inverse(spark, d):
     inverse = division.inverse_by_mask(shares, ["c_custkey"], ONE)
     back = sharing.reconstruct(inverse, ["c_custkey"], ONE, out="i")
     return own.join(back, "c_custkey").select("c_custkey", fd.mulmod(F.col("s"), F.col("i"), P).alias("product"))
+
+
+@query(f"WITH {MLP} SELECT vec_id, CAST(i AS INT) AS i, z AS y FROM z1")
+def packed_dense1(spark, d):
+    """The first layer over packed rows: they are unpacked to lane shares, public weights are applied to
+    each party's shares, and only the outputs are opened."""
+    lanes = packed.to_lanes(packed_vector_share(spark, d), ["vec_id"], THREE).where(F.col("party") <= THREE.t + 1)
+    columns = F.lit([[v % P for v in col] for col in zip(*W.w1, strict=True)]).cast("array<array<bigint>>")
+    terms = lanes.select("vec_id", "party", "y", F.posexplode_outer(F.get(columns, F.col("idx"))).alias("i", "w"))
+    parts = terms.groupBy("vec_id", "i", "party").agg(fd.modsum(fd.mulmod(F.col("y"), F.col("w"), P), P).alias("y"))
+    opened = sharing.reconstruct(parts, ["vec_id", "i"], THREE, out="z")
+    return opened.select("vec_id", "i", fd.rescale(fd.lift(F.col("z"), P), S).alias("y"))
+
+
+def _refresh_sql(label: str) -> str:
+    return " + ".join(f"CAST({mul(h(chr(39) + label + chr(39), 'layer', 'i', 'j', k, 1), 'party')} AS HUGEINT)" for k in (1, 2, 3))
+
+
+@query(f"""WITH {MLP}, r AS (SELECT 'w1' AS layer, i, j, w FROM w1 UNION ALL SELECT 'w2', i, j, w FROM w2), s AS (SELECT layer, i, j, party, ({mod('w')} + {mul(h(chr(39) + 'weights' + chr(39), 'layer', 'i', 'j', 1), 'party')}) % {P} AS y FROM r, range(1, 4) p(party)),
+e AS (SELECT s.*, epoch, y + CASE WHEN epoch >= 2 THEN {_refresh_sql('epoch2')} ELSE 0 END + CASE WHEN epoch >= 4 THEN {_refresh_sql('epoch4')} ELSE 0 END AS v FROM s, range(1, 5) q(epoch))
+SELECT CAST(epoch AS INT) AS epoch, layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(party AS INT) AS party, CAST(v % {P} AS BIGINT) AS y FROM e""")
+def weights_refresh(spark, d):
+    """Shares of a model's weights over four epochs, refreshed in every second one."""
+    own = spark.createDataFrame([r for r in W.rows() if r[0][0] == "w"], "layer string, i int, j int, v long").withColumn("s", fd.field(F.col("v"), P)).drop("v")
+    key = ["layer", "i", "j"]
+    shares, out = sharing.share(own, "s", key, ONE, "weights"), None
+    for epoch in range(1, 5):
+        if epoch % 2 == 0:
+            shares = sharing.refresh(shares, key, ONE, f"epoch{epoch}")
+        now = shares.select(F.lit(epoch).alias("epoch"), *key, "party", "y")
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+@query()
+def hybrid_update(spark, d):
+    """A step in doubles over all embeddings, its weights shared again; opened as (layer, i, j, y)."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    w = plain.train(own, plain.he_start(_SHAPE), 0.05, max(1, own.count()), 1)
+    rows = spark.createDataFrame(plain.rows(w), "layer string, i int, j int, v double").select("layer", "i", "j", fd.encode(F.col("v"), ONE, "rint").alias("s"))
+    back = sharing.reconstruct(sharing.share(rows, "s", ["layer", "i", "j"], ONE, "hybrid"), ["layer", "i", "j"], ONE)
+    return back.select("layer", "i", "j", fd.lift(F.col("secret"), P).alias("y"))

@@ -294,6 +294,14 @@ def sampler_stream(spark, d):
     return streams.run(streams.sampler(streams.events(spark, d)), "sampler")
 
 
+@query("""WITH n AS (SELECT user_id AS node, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx, (SELECT max(ts) FROM events) AS fin FROM events)
+SELECT node, ts + INTERVAL 36 HOUR AS failed_at, nx AS recovered_at FROM n WHERE coalesce(nx, fin) > ts + INTERVAL 36 HOUR""")
+def failure_stream(spark, d):
+    """The failures found as a stream, by each node's timer."""
+    own = streams.run(streams.failures(streams.events(spark, d), "user_id", 36), "failures")
+    return own.select("node", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("failed_at", "recovered_at")))
+
+
 #: Names that these had while others of the shorter name kept a subset.
 for _name in ("kvs_get_batch", "batch_tag"):
     QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

@@ -54,3 +54,32 @@ def membership(stream: DataFrame) -> DataFrame:
     """Per node: whether its last join or drop was a join."""
     kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 0)
     return stream.where(kind.isNotNull()).groupBy("user_id").agg(F.max_by(kind, F.struct("ts", "event_id")).alias("active"))
+
+
+def failures(stream: DataFrame, node: str, timeout_hours: int) -> DataFrame:
+    """(node, failed_at, recovered_at): silences longer than the timeout. A node's state is its last
+    beat; a timer on event time fires when the watermark passes the timeout, reports the node with a
+    null recovered_at and drops its state. Beats behind the watermark are late and left out."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    gap = timeout_hours * 3_600_000_000
+
+    def watch(key, frames, state):
+        out, (id_,) = [], key
+        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            out.append((id_, last + gap, None))
+            state.remove()
+        else:
+            for us in sorted(t for f in frames for t in f["us"].tolist()):
+                if last is not None and us > last + gap:
+                    out.append((id_, last + gap, us))
+                last = us if last is None else max(last, us)
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["node", "failed", "recovered"]).astype("Int64")
+
+    own = stream.select(F.col(node).cast("long").alias("node"), F.col("ts").cast("timestamp").alias("ts")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", "0 seconds")
+    found = own.groupBy("node").applyInPandasWithState(watch, "node long, failed long, recovered long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("node", F.timestamp_micros("failed").alias("failed_at"), F.timestamp_micros("recovered").alias("recovered_at"))
