@@ -142,10 +142,11 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     out = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     tree = lambda c: sections(paragraphs(F.col(c)))
     out = out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), tree("text").alias("s"), tree("edited").alias("e"), tree("next_text").alias("x"))
+    out = out.withColumns({"sn": nodes(F.col("s")), "en": nodes(F.col("e"))})
     out = with_likeness(with_likeness(out, "s", "e", "near_edited"), "s", "x", "near_next")
     c = F.col
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(c("s"), nodes(c("s"))).alias("fingerprint"), fingerprint(c("e"), nodes(c("e"))).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(c("s"), c("sn")).alias("fingerprint"), fingerprint(c("e"), c("en")).alias("edited_fingerprint"),
         "near_edited", "near_next", changed_sections(c("s"), c("e")).alias("changed_sections"),
     )
 

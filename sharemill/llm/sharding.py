@@ -14,6 +14,8 @@ from .store import materialize
 
 #: The ring has 2^RING_BITS cells; a shard has VNODES places on it. Both bound what is sent to the driver.
 RING_BITS, VNODES = 15, 64
+#: Ranks of a repeated row that are written out at a time.
+BLOCK = 1 << 14
 
 
 def ring(n_shards: int, vnodes: int = VNODES, bits: int = RING_BITS) -> np.ndarray:
@@ -86,8 +88,11 @@ def assign(docs: DataFrame, n_shards: int = 24, vnodes: int = VNODES) -> DataFra
     # the plan has a row for each cell and a few for each full shard: bounded by the ring, not by rows
     parts = ranked.join(F.broadcast(by), meets).select(
         "doc_id", "size", "text_crc32", "shard", "base", "lo",
-        F.explode(F.sequence(F.greatest("first", "lo"), F.least(F.expr("first + n"), F.col("hi")) - 1)).alias("rank"),
+        F.greatest("first", "lo").alias("from"), (F.least(F.expr("first + n"), F.col("hi")) - 1).alias("upto"),
     )
+    # a row that repeats has an array of blocks, and each of those one of ranks, so no array gets long
+    parts = parts.withColumn("block", F.explode(F.sequence("from", "upto", F.lit(BLOCK).cast("long"))))
+    parts = parts.withColumn("rank", F.explode(F.sequence("block", F.least(F.col("block") + BLOCK - 1, F.col("upto")))))
     return parts.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"),
         (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
