@@ -203,3 +203,33 @@ def test_stages_in_turn(spark, sf):
     packed = P.run(spark, sf)
     assert packed.agg({"length": "sum"}).first()[0] > 0
     assert [re.sub(r"\W", "", n) for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
+
+
+def written(spark, tmp_path, docs, labels):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    d = written(spark, tmp_path, empty(spark), [])
+    assert P.run(spark, d).count() == 0
+
+
+def test_run_on_edge_rows(spark, tmp_path):
+    """Each stage takes what the one before kept, with nulls, empty and long texts, repeats and clashes."""
+    df = frame(spark)
+    d = written(spark, tmp_path, df, [(4, 1, 0), (5, 1, 1), (None, 1, 1), (6, None, None)])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = P.drop_toxic(spark, docs, d)
+    assert kept.columns == df.columns and kept.count() == df.count()  # one label of each kind: nothing is near 0.7
+    once = P.drop_near_duplicates(spark, kept, d)
+    ids = Counter(r.doc_id for r in once.collect())
+    assert ids[6] == 1 and ids[7] == 0 and ids[0] == 1 and ids[2] == 0
+    clean = P.redact_secrets(spark, once, d)
+    assert Counter(r.doc_id for r in clean.collect()) == ids and {r.kept for r in clean.collect()} <= {1, None}
+    mixed = P.mix_sources(spark, clean, d)
+    assert mixed.columns == df.columns and 0 < mixed.count() <= clean.count()
+    packed = P.pack_windows(spark, mixed, d).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
+    assert P.run(spark, d).agg({"length": "sum"}).first()[0] == sum(r.length for r in packed)
