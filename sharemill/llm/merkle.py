@@ -27,11 +27,15 @@ def paragraphs(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), leaf), ""))
 
 
-def sections(lines: Column) -> Column:
-    """Paragraphs in sections: each a string of its paragraphs, with commas between them."""
+def with_sections(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Adds the text's sections: each a string of its paragraphs, with commas between them. What is read
+    again and again within a function over elements is a column first, so it is made once."""
+    keep, lines = [c for c in df.columns if c != out], F.col("__lines")
+    own = df.withColumn("__lines", paragraphs(F.col(text_col)))
     ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | F.sha2(F.get(lines, i - 1).cast("binary"), 256).startswith(CUT))
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(lines, a, b - a + 1), ","))
+    own = own.withColumn("__ends", ends)
+    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice("__ends", F.lit(1), F.size("__ends") - 1), lambda e: e + 1))
+    return own.select(*keep, F.zip_with(starts, F.col("__ends"), lambda a, b: F.array_join(F.slice(lines, a, b - a + 1), ",")).alias(out))
 
 
 def nodes(section_list: Column) -> Column:
@@ -51,9 +55,7 @@ def _below(branches: Column, mark: str) -> Column:
 
 
 def _leaves(lines: Column) -> Column:
-    whole = F.array_join(lines, "")
-    n = (F.length(whole) / LEAF_HEX).cast("int")
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(whole, (k - 1) * LEAF_HEX + 1, F.lit(LEAF_HEX))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(lines, ""), F.lit(f".{{{LEAF_HEX}}}"), F.lit(0)))
 
 
 def _count(branches: Column) -> Column:
@@ -78,9 +80,9 @@ def changed_sections(a: Column, b: Column) -> Column:
     the edited text's lists; empty for equal trees."""
     n, m = F.size(a), F.size(b)
     short = F.least(n, m)
-    first = lambda x, y: F.coalesce(F.get(F.filter(F.sequence(F.lit(0), short - 1), lambda i: F.get(x, i) != F.get(y, i)), F.lit(0)), short)
-    head = first(a, b)
-    tail = F.least(first(F.reverse(a), F.reverse(b)), short - head)
+    first = lambda differ: F.coalesce(F.get(F.filter(F.sequence(F.lit(0), short - 1), differ), F.lit(0)), short)
+    head = first(lambda i: F.get(a, i) != F.get(b, i))
+    tail = F.least(first(lambda i: F.get(a, n - 1 - i) != F.get(b, m - 1 - i)), short - head)
     place = F.concat_ws(":", head.cast("string"), (n - tail).cast("string"), (m - tail).cast("string"))
     return F.when((n == m) & (head == n), "").otherwise(place)
 
@@ -88,7 +90,7 @@ def changed_sections(a: Column, b: Column) -> Column:
 def trees(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds sections, nodes and fingerprint to every row; null texts are empty. Columns of these names
     are replaced."""
-    own = docs.withColumn("sections", sections(paragraphs(F.coalesce(F.col(text_col), F.lit("")))))
+    own = with_sections(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))), "__text", "sections").drop("__text")
     own = own.withColumn("nodes", nodes(F.col("sections")))
     return own.withColumn("fingerprint", fingerprint(F.col("sections"), F.col("nodes")))
 
@@ -140,8 +142,10 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     both = with_next(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
     out = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    tree = lambda c: sections(paragraphs(F.col(c)))
-    out = out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), tree("text").alias("s"), tree("edited").alias("e"), tree("next_text").alias("x"))
+    out = out.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    for text, name in (("text", "s"), ("edited", "e"), ("next_text", "x")):
+        out = with_sections(out, text, name)
+    out = out.select("doc_id", "n_chars", "edited_sha256", "s", "e", "x")
     out = out.withColumns({"sn": nodes(F.col("s")), "en": nodes(F.col("e"))})
     out = with_likeness(with_likeness(out, "s", "e", "near_edited"), "s", "x", "near_next")
     c = F.col
