@@ -28,10 +28,28 @@ def placed(members: DataFrame, committee: str, member: str, width: int = 4096) -
     return own.withColumn("_k", rank).join(before, [committee, "_r"]).select(committee, member, (F.col("_k") + F.col("_n")).alias("place"))
 
 
+#: Rows aimed at in a span of time, and spans at most.
+SPAN_ROWS, MOST_SPANS = 1 << 20, 1 << 14
+
+
+def spans(df: DataFrame, ts: str) -> Column:
+    """A number that rises with ts and splits the rows into about even parts: how many of some quantiles
+    of ts lie at or below it. Rows of one instant share a span; nulls come first."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    n = min(MOST_SPANS, -(-df.count() // SPAN_ROWS))
+    found = df.agg(F.percentile_approx(us, [k / n for k in range(1, n)], 4 * n)).first()[0] if n > 1 else None
+    cuts = sorted(set(found or []))
+    if not cuts:
+        return F.lit(0)
+    steps, at = F.lit([1 << b for b in reversed(range(len(cuts).bit_length()))]), F.lit(cuts).cast("array<bigint>")
+    lower = lambda k, step: F.when((k + step <= len(cuts)) & (F.get(at, k + step - 1) <= us), k + step).otherwise(k)
+    return F.aggregate(steps, F.lit(0), lower)
+
+
 def running_total(df: DataFrame, value: str, span: Column, order: Sequence[str | Column], out: str) -> DataFrame:
     """A running sum over all rows without one task for all: rows are summed within spans of the
-    order (a day, say), and spans start from the sum of those before. Spans are few: their sums
-    are the only rows that meet, and they are broadcast up to a checked number."""
+    order, and spans start from the sum of those before. Spans are MOST_SPANS at most, and their sums
+    are the only rows that meet."""
     own = df.withColumn("_span", span)
     sums = own.groupBy("_span").agg(F.sum(value).alias("_sum"))
     starts = sums.select("_span", F.coalesce(F.sum("_sum").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
@@ -56,16 +74,16 @@ def timeline(events: DataFrame, ts: str, order: str, node: str, kind: str) -> Da
     """events of kind join, drop or reshare_complete -> adds n_active, paused and epoch after each.
 
     A node is active after its last join unless it dropped since; a drop pauses, a completed
-    reshare resumes; epochs count joins. Each is a per-node or running sum, by days."""
+    reshare resumes; epochs count joins. Each is a per-node or running sum, by spans of time."""
     mine = Window.partitionBy(node).orderBy(ts, order)
     state = F.when(F.col(kind) == "join", 1).when(F.col(kind) == "drop", 0)
     was = F.coalesce(F.last(state, ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = events.withColumn("_delta", F.coalesce(state, was) - was).withColumn("_join", (F.col(kind) == "join").cast("int"))
-    day = F.to_date(ts)
-    own = running_total(own, "_delta", day, [ts, order], "n_active")
-    own = running_total(own, "_join", day, [ts, order], "epoch")
+    span = spans(events, ts)
+    own = running_total(own, "_delta", span, [ts, order], "n_active")
+    own = running_total(own, "_join", span, [ts, order], "epoch")
     sign = F.when(F.col(kind) == "drop", 1).when(F.col(kind) == "reshare_complete", 0)
-    return carried(own, sign, day, [ts, order], "paused", 0).drop("_delta", "_join")
+    return carried(own, sign, span, [ts, order], "paused", 0).drop("_delta", "_join")
 
 
 def carried(df: DataFrame, value: Column, span: Column, order: Sequence[str], out: str, first: int | None) -> DataFrame:

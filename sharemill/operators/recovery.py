@@ -48,10 +48,10 @@ def decisions(timeline: DataFrame, kind: str, t: int, s: int) -> DataFrame:
 
 def recoveries(decided: DataFrame, ts: str, order: str, span: Column) -> DataFrame:
     """A row per pause: seq, n_active, resumed_at of the next resume (null: none came), wall_sec and
-    success. The next resume is the last one so far when read backwards, by spans of time."""
+    success. The next resume is the last one so far when read backwards, by spans."""
     own = running_total(decided.withColumn("_p", (F.col("action") == "pause_reshare").cast("int")), "_p", span, [ts, order], "seq")
-    own = own.withColumns({"_back": -F.unix_micros(F.col(ts).cast("timestamp")), "_id": -F.col(order), "_day": -F.datediff(span, F.lit("1970-01-01"))})
-    own = carried(own, F.when(F.col("action") == "resume", -F.col("_back")), F.col("_day"), ["_back", "_id"], "_resume", None)
+    own = own.withColumns({"_back": -F.unix_micros(F.col(ts).cast("timestamp")), "_id": -F.col(order), "_late": -span})
+    own = carried(own, F.when(F.col("action") == "resume", -F.col("_back")), F.col("_late"), ["_back", "_id"], "_resume", None)
     wall = (F.col("_resume") + F.col("_back")) / 1e6
     rows = own.where("action = 'pause_reshare'")
     return rows.select(order, "seq", "n_active", F.round(wall, 3).alias("wall_sec"), F.col("_resume").isNotNull().alias("success"))

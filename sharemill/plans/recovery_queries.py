@@ -83,7 +83,7 @@ SELECT event_id, seq, n_active, round(epoch_us(r - ts) / 1e6, 3) AS wall_sec, r
 def recovery_events(spark, d):
     """Every pause with how long it took until a resume."""
     own = recovery.decisions(timeline(spark, d), "kind", _T, _S)
-    return recovery.recoveries(own, "ts", "event_id", F.to_date("ts"))
+    return recovery.recoveries(own, "ts", "event_id", membership.spans(table(spark, d, "events"), "ts"))
 
 
 @query(f"WITH {_TL} SELECT DISTINCT n_active FROM t")

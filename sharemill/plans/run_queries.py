@@ -111,13 +111,13 @@ def membership_timeline(spark, d):
 
 @query("WITH e AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'PAUSED_RESHARE' WHEN 'purchase' THEN 'TRAINING' END AS to_state FROM events WHERE event_type IN ('error', 'purchase')), f AS (SELECT event_id, coalesce(lag(to_state) OVER (ORDER BY ts, event_id), 'TRAINING') AS from_state, to_state FROM e) SELECT * FROM f WHERE from_state <> to_state")
 def state_transitions(spark, d):
-    """Where the state changes: the state before is the last one so far, by days."""
+    """Where the state changes: the state before is the last one so far, by spans of time."""
     to = F.when(F.col("event_type") == "error", "PAUSED_RESHARE").when(F.col("event_type") == "purchase", "TRAINING")
-    own = table(spark, d, "events").select("event_id", "ts", to.alias("to_state")).where("to_state is not null").withColumn("day", F.to_date("ts"))
-    ends = own.groupBy("day").agg(F.max_by("to_state", F.struct("ts", "event_id")).alias("end"))
-    starts = ends.select("day", F.coalesce(F.lag("end").over(Window.orderBy("day")), F.lit("TRAINING")).alias("start"))
-    w = Window.partitionBy("day").orderBy("ts", "event_id")
-    own = own.withColumn("before", F.lag("to_state").over(w)).join(starts, "day")
+    own = table(spark, d, "events").select("event_id", "ts", to.alias("to_state")).where("to_state is not null").withColumn("span", membership.spans(table(spark, d, "events"), "ts"))
+    ends = own.groupBy("span").agg(F.max_by("to_state", F.struct("ts", "event_id")).alias("end"))
+    starts = ends.select("span", F.coalesce(F.lag("end").over(Window.orderBy("span")), F.lit("TRAINING")).alias("start"))
+    w = Window.partitionBy("span").orderBy("ts", "event_id")
+    own = own.withColumn("before", F.lag("to_state").over(w)).join(starts, "span")
     return own.select("event_id", F.coalesce("before", "start").alias("from_state"), "to_state").where("from_state <> to_state")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sharemill.operators import division, kv, packed, plain, recovery, sharing
+from sharemill.operators import division, kv, membership, packed, plain, recovery, sharing
 from sharemill.plans.catalogue import QUERIES
 from sharemill.sources import tables
 from sharemill.spec import P61, FieldSpec
@@ -130,3 +130,18 @@ def test_pieces_without_a_query(spark):
     own = sharing.share(spark.createDataFrame([(1, 77)], "id long, s long"), "s", ["id"], spec)
     same = sharing.reshare(own, ["id"], spec, [1, 2, 3], [3, 2, 1])
     assert sharing.reconstruct(same, ["id"], spec).first().secret == 77 and sorted(r.y for r in same.collect()) != sorted(r.y for r in own.collect())
+
+
+@pytest.mark.parametrize("name", ["membership_timeline", "state_transitions", "recovery_events"])
+def test_spans_of_time_do_not_change_results(spark, sf, monkeypatch, name):
+    whole = sorted(QUERIES[name](spark, sf).collect())
+    monkeypatch.setattr(membership, "SPAN_ROWS", 60)
+    assert sorted(QUERIES[name](spark, sf).collect()) == whole
+
+
+def test_spans_rise_with_time(spark, sf, monkeypatch):
+    monkeypatch.setattr(membership, "SPAN_ROWS", 50)
+    df = tables.table(spark, sf, "events")
+    rows = df.select("ts", membership.spans(df, "ts").alias("s")).orderBy("ts").collect()
+    assert [r.s for r in rows] == sorted(r.s for r in rows) and len({r.s for r in rows}) >= 15
+    assert df.limit(0).select(membership.spans(df.limit(0), "ts")).count() == 0
