@@ -96,7 +96,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        for b in batches:
+        for b in slices(batches, "html"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([items(x) for x in b.column(1).to_pylist()], kind)], names=["id", "items"])
 
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id long, items array<{ITEM}>")
@@ -188,23 +188,37 @@ def payload(text: Column) -> Column:
 
 
 def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
-    """(id, pos, caption, digest) of every media reference with the columns of `media`; references
-    that nothing resolves keep nulls. A digest that many references share is one row of `media`."""
-    refs = seqs.select("id", F.explode("items").alias("i")).where("i.kind = 'media'").select("id", "i.pos", "i.caption", "i.digest")
+    """(id, pos, caption, digest, n_items) of every media reference with the columns of `media`;
+    references that nothing resolves keep nulls. A digest that many references share is one row of
+    `media`; rows of a hot digest are dealt over tasks."""
+    refs = seqs.select("id", F.size("items").alias("n_items"), F.explode("items").alias("i")).where("i.kind = 'media'").select("id", "i.pos", "i.caption", "i.digest", "n_items")
     refs = materialize(refs.withColumn("__key", F.coalesce("digest", F.lit(""))), "references")
     table = refs.groupBy("__key").agg(F.count("*").alias("n")).join(media.withColumnRenamed("digest", "__key"), "__key", "left")
     return with_value(refs, materialize(table, "resolved"), "__key", F.struct("id", "pos")).drop("__key")
 
 
+def escaped(text: Column) -> Column:
+    """Text as HTML's character data."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def page_of(doc_id: Column, text: Column) -> Column:
+    """A page of a document: its id, its first line, a figure of the text's stored image, its other lines."""
+    t = F.coalesce(text, F.lit(""))
+    lines = lambda x: F.concat(F.lit("<p>"), F.replace(escaped(x), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    first = F.substring_index(t, "\n", 1)
+    figure = F.concat(F.lit("<figure><img src='media:"), F.sha2(payload(text), 256), F.lit("'><figcaption>"), F.octet_length(t).cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return F.concat(F.lit("<article><h1>"), F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit("</h1>"), lines(first), figure, lines(F.substr(t, F.length(first) + 2)), F.lit("</article>"))
+
+
 def document_media(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, caption, pos. Every text is stored as an image and shown by
-    a page of its own that refers to it. Null texts are empty: 64 zero bytes. Equal texts share one
-    stored image; ids may be null or repeat; an empty table gives no rows."""
+    media_bytes, media_sha256, feature, pos, caption, n_items. Every text is stored as an image, and
+    shown by a page of its own that has the image between the text's lines: pos is the image's place
+    among the page's n_items. Null texts are empty: 64 zero bytes. Equal texts share one stored image;
+    ids may be null or repeat; an empty table gives no rows; extra columns are ignored."""
     stored = store(docs)
-    n = F.length(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
-    page = F.format_string("<article><h1>%s</h1><figure><img src='media:%s'><figcaption>%d bytes</figcaption></figure></article>", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(payload(F.col("text")), 256), n)
-    pages = docs.select(F.col("doc_id").cast("long").alias("page_id"), page.alias("html"))
+    pages = docs.select(F.col("doc_id").cast("long").alias("page_id"), page_of(F.col("doc_id").cast("long"), F.col("text")).alias("html"))
     found = resolve(sequences(pages), read_back(stored))
     bytes_ = F.regexp_extract("caption", r"(\d+) bytes", 1).cast("long")
-    return found.select(F.col("id").alias("doc_id"), bytes_.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return found.select(F.col("id").alias("doc_id"), bytes_.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_items")
