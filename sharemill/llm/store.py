@@ -23,11 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/sharemill/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what this session wrote, once its results are read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that a lost executor
-    never makes Spark compute it again. The files stay until the folder is cleared."""
+    never makes Spark compute it again. The files stay until forget() or the folder is cleared: a
+    result that is read later still needs them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sharemill/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

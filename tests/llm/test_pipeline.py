@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -233,3 +234,13 @@ def test_run_on_edge_rows(spark, tmp_path):
     packed = P.pack_windows(spark, mixed, d).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
     assert P.run(spark, d).agg({"length": "sum"}).first()[0] == sum(r.length for r in packed)
+
+
+def test_what_a_session_wrote_can_be_deleted(spark):
+    from sharemill.llm import store
+
+    before = store.session_dir(spark)
+    assert store.materialize(spark.range(5), "five").count() == 5 and os.path.isdir(before)
+    store.forget(spark)
+    assert not os.path.exists(before)
+    assert store.materialize(spark.range(6), "six").count() == 6
