@@ -122,6 +122,24 @@ def refresh(shares: DataFrame, key: Sequence[str], spec: FieldSpec, label: str =
     return shares.withColumn("y", y)
 
 
+def refresh_messages(keys: DataFrame, key: Sequence[str], spec: FieldSpec, label: str = "refresh") -> DataFrame:
+    """What parties send each other for a refresh: (key, sender, party, part), the value of each sender's
+    zero polynomial at each receiver. Masks are hashed once for all receivers."""
+    sent = keys.select(*key, F.explode(F.lit(spec.parties)).alias("sender"))
+    own = sent.withColumns({f"_m{k}": element(spec.p, label, *map(F.col, key), F.col("sender"), k) for k in range(1, spec.t + 1)})
+    rows = F.array(*(F.struct(F.lit(j).alias("party"), at_party(F.lit(0).cast("long"), j, [F.col(f"_m{k}") for k in range(1, spec.t + 1)], spec.p).alias("part")) for j in spec.parties))
+    return own.select(*key, "sender", F.explode(rows).alias("s")).select(*key, "sender", "s.party", "s.part")
+
+
+def refresh_received(shares: DataFrame, messages: DataFrame, key: Sequence[str], spec: FieldSpec) -> DataFrame:
+    """(key, party, y, complete): each party adds what it received to its share if exactly all parties
+    sent, one value each; otherwise it keeps its share. One aggregation."""
+    both = shares.select(*key, "party", "y", F.lit(None).cast("int").alias("sender"), F.lit(None).cast("long").alias("part")).unionByName(messages.select(*key, "party", F.lit(None).cast("long").alias("y"), "sender", "part"))
+    exact = (F.array_sort(F.collect_set("sender")) == F.lit(spec.parties)) & (F.count("sender") == spec.n)
+    own = both.groupBy(*key, "party").agg(F.max("y").alias("_y"), modsum(F.coalesce("part", F.lit(0).cast("long")), spec.p).alias("_d"), exact.alias("complete"))
+    return own.select(*key, "party", F.when(F.col("complete"), (F.col("_y") + F.col("_d")) % spec.p).otherwise(F.col("_y")).alias("y"), "complete")
+
+
 def reshare(shares: DataFrame, key: Sequence[str], spec: FieldSpec, old: Sequence[int], new: Sequence[int]) -> DataFrame:
     """The same committee refreshes; a changed one redistributes from the lowest t + 1 common
     members. (key, party, y)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import logs
+from ..operators import logs, metrics
 from ..sources.tables import sample_order, subset, table
 from .registry import query
 from .run_queries import parsed
@@ -111,3 +111,11 @@ def random_minibatch(spark, d):
     """64 rows without replacement, or all if there are fewer, in a keyed order."""
     own = subset(table(spark, d, "embeddings"), "vec_id", 64, 5)
     return own.select("vec_id", (F.row_number().over(Window.orderBy(sample_order("vec_id", 5), "vec_id")) - 1).cast("long").alias("pos"))  # 64 rows
+
+
+@query("WITH r AS (SELECT user_id % 5 + 1 AS node, count(*) AS iters, sum(value) AS total, max(value) AS peak FROM events GROUP BY 1) SELECT node, concat('[BENCHMARK] role=node', node, ' phase=runtime wall_sec=', printf('%.6f', total), ' iters=', iters, ' peak=', printf('%.2f', peak)) AS line FROM r")
+def runtime_lines(spark, d):
+    """A summary line for each node, that log_parse's rule reads."""
+    by = table(spark, d, "events").groupBy((F.col("user_id") % 5 + 1).alias("node")).agg(F.count("*").alias("iters"), F.sum("value").alias("total"), F.max("value").alias("peak"))
+    line = metrics.encode(F.concat(F.lit("node"), F.col("node").cast("string")), F.lit("runtime"), F.col("total"), iters=F.col("iters"), peak=F.format_string("%.2f", "peak"))
+    return by.select("node", line.alias("line"))

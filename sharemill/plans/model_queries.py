@@ -8,8 +8,8 @@ from ..functions import field as fd
 from ..operators import division, model, packed, plain, sharing, spatial
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
-from .algebra_queries import W, logits
-from .registry import MLP, P, S, X, fix, h, mod, mul, query, rs
+from .algebra_queries import W, logits, probabilities
+from .registry import MLP, P, S, SOFTMAX, X, fix, h, mod, mul, query, rs
 
 THREE = FieldSpec(n=5, k=3)
 ONE = FieldSpec()
@@ -193,3 +193,40 @@ def hybrid_update(spark, d):
     rows = spark.createDataFrame(plain.rows(w), "layer string, i int, j int, v double").select("layer", "i", "j", fd.encode(F.col("v"), ONE, "rint").alias("s"))
     back = sharing.reconstruct(sharing.share(rows, "s", ["layer", "i", "j"], ONE, "hybrid"), ["layer", "i", "j"], ONE)
     return back.select("layer", "i", "j", fd.lift(F.col("secret"), P).alias("y"))
+
+
+@query(f"WITH v AS (SELECT o_orderkey, greatest(least({rs('(' + fix('o_totalprice', 100) + ' - 15000000) * 3', 1000)}, 40000), -40000) AS v FROM orders) SELECT o_orderkey, CAST(party AS INT) AS party, ({mod('v')} + {mul(h(chr(39) + 'divided' + chr(39), 'o_orderkey', 1), 'party')}) % {P} AS y FROM v, range(1, 4) r(party)")
+def divide_reshare(spark, d):
+    """Opened values times a factor, divided to the nearest, clipped, and shared again."""
+    v = fd.clip(fd.rescale((fd.fixed(F.col("o_totalprice"), 100) - 15000000) * 3, 1000), -40000, 40000)
+    own = table(spark, d, "orders").select("o_orderkey", fd.field(v, P).alias("s"))
+    return sharing.share(own, "s", ["o_orderkey"], ONE, "divided")
+
+
+@query(f"""WITH {_D}, e AS (SELECT vec_id, class, z, exp(z - avg(z) OVER (PARTITION BY vec_id)) AS e FROM d), p AS (SELECT vec_id, class, z, e / greatest(sum(e) OVER (PARTITION BY vec_id), 1e-12) AS p FROM e),
+t AS (SELECT vec_id, class FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, class) = 1),
+q AS (SELECT vec_id, sum((z - CASE WHEN label = class THEN 1 ELSE 0 END) * (z - CASE WHEN label = class THEN 1 ELSE 0 END)) / 10 AS mse FROM d JOIN embeddings b USING (vec_id) GROUP BY vec_id)
+SELECT round(avg(CASE WHEN t.class = b.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(-ln(greatest(p.p, 1e-12))), 6) AS loss, round(avg(q.mse), 6) AS mse FROM embeddings b JOIN t USING (vec_id) JOIN p ON p.vec_id = b.vec_id AND p.class = b.label JOIN q ON q.vec_id = b.vec_id""")
+def plain_eval(spark, d):
+    """Accuracy and both losses in doubles, by the softmax that is shifted by the mean."""
+    own = doubles(spark, d).withColumn("p", plain.softmax_mean(F.col("z"), 10))
+    off = F.transform("z", lambda v, c: v - F.when(c == F.col("label"), 1.0).otherwise(0.0))
+    squares = F.aggregate(F.transform(off, lambda v: v * v), F.lit(0.0), lambda s, v: s + v) / 10
+    own = own.select((model.argmax(F.col("z")) == F.col("label")).cast("double").alias("hit"), (-F.log(F.greatest(F.get("p", F.col("label")), F.lit(1e-12)))).alias("ce"), squares.alias("mse"))
+    return own.agg(F.round(F.avg("hit"), 6).alias("accuracy"), F.round(F.avg("ce"), 6).alias("loss"), F.round(F.avg("mse"), 6).alias("mse"))
+
+
+@query(f"WITH {SOFTMAX} SELECT sm.vec_id, CAST(class AS INT) AS class, {rs(f'CAST(prob - CASE WHEN e.label = sm.class THEN {S} ELSE 0 END AS BIGINT)', 3)} AS y FROM sm JOIN embeddings e ON e.vec_id = sm.vec_id")
+def ce_gradient_temperature(spark, d):
+    """Probabilities less the label, over a temperature of 3."""
+    g = F.transform("p", lambda v, c: fd.rescale(v - F.when(c == F.col("label"), F.lit(S)).otherwise(F.lit(0)), 3))
+    return probabilities(spark, d).select("vec_id", F.posexplode_outer(g).alias("class", "y"))
+
+
+@query(f"WITH {MLP}, g AS (SELECT z2.vec_id, class, y - CASE WHEN e.label = z2.class THEN {S} ELSE 0 END AS g FROM z2 JOIN embeddings e USING (vec_id)) SELECT CAST(g.class AS INT) AS i, CAST(x.j AS INT) AS j, CAST(sum({rs('g.g * x.y', S)}) AS BIGINT) AS y FROM g JOIN x ON x.vec_id = g.vec_id GROUP BY g.class, x.j")
+def layer_backward(spark, d):
+    """The gradient of one layer from inputs to classes: each output's gradient times each input, every
+    product rounded, summed over all samples."""
+    own = logits(spark, d).select(F.transform("z2", lambda v, c: v - F.when(c == F.col("label"), F.lit(S)).otherwise(F.lit(0))).alias("g"), "x")
+    rows = own.select("x", F.posexplode_outer("g").alias("i", "g")).select("i", "g", F.posexplode_outer("x").alias("j", "v"))
+    return rows.groupBy("i", "j").agg(F.sum(fd.rescale(F.col("g") * F.col("v"), S)).alias("y"))

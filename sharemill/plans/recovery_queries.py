@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import field as fd
 from ..operators import membership, messages, model, recovery, sharing
 from ..sources.tables import table
+from ..spec import FieldSpec
 from .algebra_queries import W
 from .field_queries import FIVE, lam_sql, orders, shares_sql
-from .registry import W1, W2, msum, mul, query
+from .registry import P, W1, W2, h, msum, mul, query
 from .run_queries import _TL, timeline
 
 OLD, NEW = [1, 2, 3, 4, 5], [2, 3, 5, 6]
@@ -141,3 +142,18 @@ def mailbox_first(spark, d):
 def committee_members(spark, d):
     """Members in order with how many before them they connect to: each to the ones ahead only."""
     return membership.placed(table(spark, d, "events").select(F.col("event_type").alias("committee"), F.col("user_id").alias("member")), "committee", "member").withColumn("connects", F.col("place") - 1)
+
+
+_LOST = "CAST(concat('0x', substr(sha256(concat_ws('|', 'lost', CAST(o_orderkey AS VARCHAR), CAST(sender AS VARCHAR), CAST(party AS VARCHAR))), 1, 8)) AS BIGINT) % 20 = 0"
+
+
+@query(f"""WITH {shares_sql(3)}, m AS (SELECT o_orderkey, sender, party, {mul(h("'refresh'", 'o_orderkey', 'sender', 1), 'party')} AS part FROM orders, range(1, 4) a(sender), range(1, 4) b(party)),
+g AS (SELECT o_orderkey, party, {msum('part')} AS d, count(*) AS n FROM m WHERE NOT {_LOST} GROUP BY o_orderkey, party)
+SELECT sh.o_orderkey, CAST(sh.party AS INT) AS party, CASE WHEN coalesce(n, 0) = 3 THEN (y + d) % {P} ELSE y END AS y, coalesce(n, 0) = 3 AS complete FROM sh LEFT JOIN g ON g.o_orderkey = sh.o_orderkey AND g.party = sh.party""")
+def refresh_by_messages(spark, d):
+    """A refresh as messages, of which a keyed hash loses some: those whose receivers miss one keep theirs."""
+    one = FieldSpec()
+    shares = sharing.share(orders(spark, d), "s", ["o_orderkey"], one)
+    lost = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("lost"), *(F.col(c).cast("string") for c in ("o_orderkey", "sender", "party"))).cast("binary"), 256), 1, 8), 16, 10).cast("long") % 20 == 0
+    sent = sharing.refresh_messages(table(spark, d, "orders"), ["o_orderkey"], one).where(~lost)
+    return sharing.refresh_received(shares, sent, ["o_orderkey"], one)
