@@ -162,9 +162,10 @@ def _triple_sql(idx: str) -> str:
     return f"{one(a, 'a')} AS a, {one(b, 'b')} AS b, {one(mul(a, b), 'c')} AS c"
 
 
-@query(f"SELECT r.idx, CAST(party AS INT) AS party, {_triple_sql('r.idx')} FROM range(2000) r(idx), range(1, 4) q(party)")
+@query(f"SELECT r.idx, CAST(party AS INT) AS party, {_triple_sql('r.idx')} FROM (SELECT o_orderkey AS idx FROM orders) r, range(1, 4) q(party)")
 def beaver_triples(spark, d):
-    return beaver.triples(spark.range(2000).withColumnRenamed("id", "idx"), ["idx"], ONE)
+    """A triple for each order."""
+    return beaver.triples(table(spark, d, "orders").select(F.col("o_orderkey").alias("idx")), ["idx"], ONE)
 
 
 @query(f"SELECT o_orderkey, {mul(mod(fix('o_totalprice')), mod(fix('c_acctbal')))} AS product FROM orders JOIN customer ON o_custkey = c_custkey")
