@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sharemill.operators import division, kv, membership, packed, plain, recovery, sharing
+from sharemill.operators import division, kv, membership, model, packed, plain, recovery, sharing
 from sharemill.plans.catalogue import QUERIES
 from sharemill.sources import tables
 from sharemill.spec import P61, FieldSpec
@@ -145,3 +145,56 @@ def test_spans_rise_with_time(spark, sf, monkeypatch):
     rows = df.select("ts", membership.spans(df, "ts").alias("s")).orderBy("ts").collect()
     assert [r.s for r in rows] == sorted(r.s for r in rows) and len({r.s for r in rows}) >= 15
     assert df.limit(0).select(membership.spans(df.limit(0), "ts")).count() == 0
+
+
+def near(v, d):
+    return (1 if v >= 0 else -1) * ((2 * abs(v) + d) // (2 * d))
+
+
+def loop_gradients(rows, w, scale):
+    """Python's integers, a row and a weight at a time."""
+    out = {}
+
+    def add(layer, i, j, v):
+        out[layer, i, j] = out.get((layer, i, j), 0) + v
+
+    for x, label in rows:
+        z1 = [near(sum(a * b for a, b in zip(r, x, strict=True)), scale) + b1 for r, b1 in zip(w.w1, w.b1, strict=True)]
+        a1 = [max(v, 0) for v in z1]
+        z2 = [near(sum(a * b for a, b in zip(r, a1, strict=True)), scale) + b2 for r, b2 in zip(w.w2, w.b2, strict=True)]
+        c = [max(min(v - max(z2), 4 * scale), -4 * scale) for v in z2]
+        e = []
+        for v in c:
+            square, half = near(near(v * v, scale), 12), near(v, 2)
+            e.append(max(1, min(55 * scale, near((square + half + scale) * scale, square - half + scale))))
+        p = [max(0, min(scale, near(v * scale, sum(e)))) for v in e]
+        p[p.index(max(p))] += scale - sum(p)
+        d2 = [v - (scale if k == label else 0) for k, v in enumerate(p)]
+        d1 = [near(sum(d2[k] * w.w2[k][j] for k in range(len(d2))), scale) if z1[j] > 0 else 0 for j in range(len(z1))]
+        for layer, d, a in (("w1", d1, x), ("w2", d2, a1)):
+            for i, g in enumerate(d):
+                for j, v in enumerate(a):
+                    add(layer, i, j, near(g * v, scale))
+        for layer, d in (("b1", d1), ("b2", d2)):
+            for i, g in enumerate(d):
+                add(layer, i, 0, g)
+    return out
+
+
+def test_training_in_fixed_point_is_a_loop_over_batches(spark):
+    scale, rng = 1 << 16, np.random.default_rng(8)
+    rows = [(k, [int(v) for v in rng.integers(-scale, scale, 5)], int(k % 3)) for k in range(41)]
+    start = model.Weights.start(5, 4, 3, scale)
+    got = model.train(spark.createDataFrame(rows, "id long, x array<long>, label int").repartition(3), start, scale, 0.05, 16, 2)
+    w = start
+    for epoch in range(2):
+        turn = {k: int(hashlib.sha256(f"{2026 + epoch}|{k}".encode()).hexdigest()[:15], 16) % 3 for k, *_ in rows}
+        rate = round(0.05 * 0.95**epoch * scale)
+        for b in range(3):
+            g = loop_gradients([(x, label) for k, x, label in rows if turn[k] == b], w, scale)
+            take = lambda n, i, j, v: v - near(rate * g[n, i, j], scale * 16)  # noqa: B023, E731
+            w = model.Weights(
+                [[take("w1", i, j, v) for j, v in enumerate(r)] for i, r in enumerate(w.w1)], [take("b1", i, 0, v) for i, v in enumerate(w.b1)],
+                [[take("w2", i, j, v) for j, v in enumerate(r)] for i, r in enumerate(w.w2)], [take("b2", i, 0, v) for i, v in enumerate(w.b2)],
+            )
+    assert got == w and got != start
