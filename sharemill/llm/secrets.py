@@ -107,8 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, found
-    (array of structs). One row per input row: null texts are empty, repeated rows repeat, null
+    """docs(doc_id, text, ...) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans. One row per input row: null texts are empty, repeated rows repeat, null
     ids stay, an empty table gives no rows, extra columns are ignored."""
     own = scan(docs)
     parts = own.where((F.size("weak") > 0)).select("key", F.explode(F.array_distinct(F.concat("base", "weak"))).alias("s")).select("key", "s.*").distinct()
