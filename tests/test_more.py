@@ -198,3 +198,11 @@ def test_training_in_fixed_point_is_a_loop_over_batches(spark):
                 [[take("w2", i, j, v) for j, v in enumerate(r)] for i, r in enumerate(w.w2)], [take("b2", i, 0, v) for i, v in enumerate(w.b2)],
             )
     assert got == w and got != start
+
+
+def test_a_step_in_doubles_is_shared_and_opened_again(spark, sf):
+    own = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    w = plain.train(own, plain.he_start((64, 8, 10)), 0.05, own.count(), 1)
+    want = {(n, i, j): round(v * (1 << 16)) for n, i, j, v in plain.rows(w)}  # both round halves to even
+    got = {(r.layer, r.i, r.j): r.y for r in QUERIES["hybrid_update"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) <= 1 for k, v in want.items())
