@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpy_lm, media, merkle, mixing, packing, secrets, sharding, simhash, token_counts, toxicity
+from . import hpy_lm, manifest, media, merkle, mixing, packing, secrets, sharding, simhash, token_counts, toxicity, vector_graph, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,22 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tamper_checked(documents(spark, sf_dir))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 _ALL = (
     op1_edit_aware_token_counts, op2_simhash_near_dedup, op3_pitman_yor_scores, op4_bounded_space_packing, op5_rake_and_sample, op6_bounded_ring_sharding,
     op7_interleaved_media, op8_toxicity_gru, op9_merkle_fingerprints, op10_linked_secrets,
+    op11_merkle_manifest, op12_embedding_near_dedup, op13_tsqr_whitening,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op5_rake_and_sample": mixing.oracle(), "op9_merkle_fingerprints": merkle.ORACLE}
+ORACLES = {"op5_rake_and_sample": mixing.oracle(), "op9_merkle_fingerprints": merkle.ORACLE, "op11_merkle_manifest": manifest.ORACLE, "op12_embedding_near_dedup": vector_graph.ORACLE}
