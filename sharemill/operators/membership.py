@@ -58,16 +58,18 @@ def running_total(df: DataFrame, value: str, span: Column, order: Sequence[str |
     return joined.withColumn(out, F.col("_in") + F.col("_start")).drop("_span", "_in", "_start")
 
 
-def failures(beats: DataFrame, node: str, ts: str, timeout_hours: int, end: Column | None = None) -> DataFrame:
+def failures(beats: DataFrame, node: str, ts: str, timeout_hours: int, end: Column | None = None, grace_end: Column | None = None) -> DataFrame:
     """(node, failed_at, recovered_at): silences longer than the timeout; recovered_at is null for
-    nodes that were still silent at the end of the log."""
+    nodes that were still silent at the end of the log. Nothing fails before grace_end: who is silent
+    then, and long enough, fails at its end."""
     w = Window.partitionBy(node).orderBy(ts)
     gap = F.expr(f"INTERVAL {timeout_hours} HOURS")
     rows = beats.select(node, ts, F.lead(ts).over(w).alias("next"))
     if end is None:
         end = F.lit(beats.agg(F.max(ts)).first()[0]).cast("timestamp_ntz")
-    late = F.coalesce(F.col("next"), end) > F.col(ts) + gap
-    return rows.where(late).select(node, (F.col(ts) + gap).alias("failed_at"), F.col("next").alias("recovered_at"))
+    failed = F.col(ts) + gap if grace_end is None else F.greatest(F.col(ts) + gap, grace_end)
+    late = F.coalesce(F.col("next"), end) > failed
+    return rows.where(late).select(node, failed.alias("failed_at"), F.col("next").alias("recovered_at"))
 
 
 def timeline(events: DataFrame, ts: str, order: str, node: str, kind: str) -> DataFrame:
@@ -78,12 +80,18 @@ def timeline(events: DataFrame, ts: str, order: str, node: str, kind: str) -> Da
     mine = Window.partitionBy(node).orderBy(ts, order)
     state = F.when(F.col(kind) == "join", 1).when(F.col(kind) == "drop", 0)
     was = F.coalesce(F.last(state, ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = events.withColumn("_delta", F.coalesce(state, was) - was).withColumn("_join", (F.col(kind) == "join").cast("int"))
+    own = events.withColumn("_delta", F.coalesce(state, was) - was)
+    return totals(own, ts, order, kind, "_delta").drop("_delta")
+
+
+def totals(events: DataFrame, ts: str, order: str, kind: str, delta: str) -> DataFrame:
+    """Adds n_active, paused and epoch after each event, from what it changes."""
     span = spans(events, ts)
-    own = running_total(own, "_delta", span, [ts, order], "n_active")
+    own = events.withColumn("_join", (F.col(kind) == "join").cast("int"))
+    own = running_total(own, delta, span, [ts, order], "n_active")
     own = running_total(own, "_join", span, [ts, order], "epoch")
     sign = F.when(F.col(kind) == "drop", 1).when(F.col(kind) == "reshare_complete", 0)
-    return carried(own, sign, span, [ts, order], "paused", 0).drop("_delta", "_join")
+    return carried(own, sign, span, [ts, order], "paused", 0).drop("_join")
 
 
 def carried(df: DataFrame, value: Column, span: Column, order: Sequence[str], out: str, first: int | None) -> DataFrame:

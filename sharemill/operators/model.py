@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.field import rescale
+from ..sources import batches
+from ..spec import safe
 from .linalg import dense
 from .nonlinear import relu, relu_backward, softmax
 
@@ -39,6 +42,18 @@ class Weights:
         out = [(n, i, j, v) for n in ("w1", "w2") for i, row in enumerate(getattr(self, n)) for j, v in enumerate(row)]
         return out + [(n, i, 0, v) for n in ("b1", "b2") for i, v in enumerate(getattr(self, n))]
 
+    def of_rows(self, rows: Sequence) -> Weights:
+        """Weights of this shape from rows (layer, i, j, y), all of them."""
+        if len(rows) != len(self.rows()):
+            raise ValueError(f"{len(rows)} weights, not {len(self.rows())}")
+        own = {n: [list(r) if n[0] == "w" else r for r in getattr(self, n)] for n in ("w1", "b1", "w2", "b2")}
+        for r in rows:
+            if r["layer"][0] == "w":
+                own[r["layer"]][r["i"]][r["j"]] = r["y"]
+            else:
+                own[r["layer"]][r["i"]] = r["y"]
+        return Weights(**own)
+
 
 def shapes(w: Weights) -> list[tuple[str, int, int, int]]:
     """(layer, start, rows, columns) of each layer within one flat vector."""
@@ -103,18 +118,50 @@ def step(w: Weights, grads: list, rate: int, scale: int, batch: int) -> Weights:
     return Weights(own["w1"].tolist(), own["b1"].tolist(), own["w2"].tolist(), own["b2"].tolist())
 
 
-def train(x: DataFrame, w: Weights, scale: int, rate: float, batch: int, epochs: int, seed: int = 2026, decay: float = 0.95) -> Weights:
-    """Minibatches of a keyed shuffle per epoch, each one job; only gradients of the model's size
-    reach the driver. x(id, x, label)."""
-    n = x.count()
-    for epoch in range(epochs):
-        turn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed + epoch)), F.col("id").cast("string")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
-        groups = max(1, -(-n // batch))
-        own = x.withColumn("_b", F.pmod(turn, F.lit(groups)))
-        for b in range(groups):
-            rows = own.where(F.col("_b") == b)
-            grads = gradients(rows, w, scale).collect()
-            w = step(w, grads, round(rate * decay**epoch * scale), scale, batch)
+class Paused(RuntimeError):
+    """A run that stopped between steps: its commits stay, and the same call goes on from the last."""
+
+
+def recovered(reason: str, n_active: int, t: int = 1, s: int = 1) -> bool:
+    """Whether a pause ends with the same batch tried again: the members that are left must be safe."""
+    return reason in ("dropout", "rejoin") and safe(t, s, n_active)
+
+
+def train(
+    x: DataFrame, w: Weights, scale: int, rate: float, batch: int, epochs: int, seed: int = 2026, decay: float = 0.95,
+    base: str | None = None, pauses: Callable[[int], tuple[str, int] | None] | None = None, stop_after: int | None = None,
+) -> Weights:
+    """Minibatches of a keyed order per epoch, slices of exactly `batch` rows (the last is shorter), each
+    one job over its own rows; a step divides by the rows that it had. Only gradients of the model's
+    size reach the driver. x(id, x, label).
+
+    Under base lie the epoch's rows, clustered by batch, and the weights after each step: a call
+    with the same base goes on after the last commit. pauses(step) may name a reason and the members
+    left; a pause that recovered() ends tries the same batch again, another one raises Paused, as
+    does stop_after, a number of steps. An empty table leaves the weights as they are."""
+    spark = x.sparkSession
+    own = x.select("id", "x", "label")
+    n = own.count()
+    groups = -(-n // batch)
+    home = base or batches.new_folder(spark, "model")
+    schema = own.withColumns({"batch": F.lit(0).cast("long"), "pos": F.lit(0)}).schema
+    found = batches.last_commit(spark, home)
+    at = 0
+    if found:
+        at, w = found[0], w.of_rows(spark.read.parquet(found[1]).collect())
+    for k, now in enumerate(range(at, groups * epochs)):
+        epoch, b = divmod(now, groups)
+        if stop_after is not None and k == stop_after:
+            raise Paused(f"stopped before step {now}")
+        if pauses and (pause := pauses(now)) and not recovered(*pause):
+            raise Paused(f"step {now}: {pause[0]} with {pause[1]} members")
+        path = batches.cluster(own, home, batch, seed, epoch)
+        rows = min(batch, n - b * batch)
+        grads = gradients(batches.read_batch(spark, path, b, batch, schema), w, scale).collect()
+        w = step(w, grads, round(rate * decay**epoch * scale), scale, rows)
+        batches.commit(spark, home, now + 1, w.rows(), "layer string, i int, j int, y long")
+    if base is None:
+        batches.delete(spark, home)
     return w
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import batches
 from .model import hash60
 
 #: The sum below which a softmax divides by this instead.
@@ -88,18 +89,21 @@ def summed_gradients(rows: DataFrame, w: dict[str, np.ndarray], **how: object) -
 
 
 def train(x: DataFrame, w: dict[str, np.ndarray], rate: float, batch: int, epochs: int, seed: int = 2026, decay: float = 0.95, clip: float | None = None, **how: object) -> dict[str, np.ndarray]:
-    """x(id, x, label): minibatches of a keyed order per epoch, one job each; the rate decays by epoch
-    and mean gradients are cut at `clip`. An empty table leaves the weights as they are."""
-    n = x.count()
+    """x(id, x, label): slices of exactly `batch` rows in a keyed order per epoch, stored once an epoch and
+    read one at a time, one job each; the rate decays by epoch and mean gradients are cut at `clip`.
+    An empty table leaves the weights as they are."""
+    spark, own = x.sparkSession, x.select("id", "x", "label")
+    n = own.count()
     w = {k: v.copy() for k, v in w.items()}
-    for epoch in range(epochs):
-        turn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed + epoch)), F.col("id").cast("string")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
-        groups = -(-n // batch)
-        for b in range(groups):
-            g, rows = summed_gradients(x.where(F.pmod(turn, F.lit(groups)) == b), w, **how)
+    home, schema = batches.new_folder(spark, "plain"), own.withColumns({"batch": F.lit(0).cast("long"), "pos": F.lit(0)}).schema
+    for epoch in range(epochs if n else 0):
+        path = batches.cluster(own, home, batch, seed, epoch)
+        for b in range(-(-n // batch)):
+            g, rows = summed_gradients(batches.read_batch(spark, path, b, batch, schema), w, **how)
             for k in w:
-                own = g[k] / max(1, rows)
-                w[k] -= rate * decay**epoch * (np.clip(own, -clip, clip) if clip else own)
+                mean = g[k] / max(1, rows)
+                w[k] -= rate * decay**epoch * (np.clip(mean, -clip, clip) if clip else mean)
+        batches.delete(spark, path)
     return w
 
 

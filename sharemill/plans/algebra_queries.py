@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from ..functions import field as fd
-from ..operators import linalg, model, nonlinear, sharing, spatial
+from ..operators import blocks, linalg, model, nonlinear, sharing, spatial
+from ..sources import batches
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
-from .registry import MLP, ORACLES, P, QUERIES, S, SOFTMAX, W1, W2, X, fix, h, lift, mod, msum, mul, pade, query, rs
+from .registry import MLP, P, S, SOFTMAX, W1, W2, X, fix, h, lift, mod, msum, mul, pade, query, rs
 
 ONE = FieldSpec()
 W = model.Weights.start(64, 8, 10, S)
@@ -61,10 +64,29 @@ def every(spark, d):
 
 @query(f"WITH {X} SELECT CAST(a.j AS INT) AS i, CAST(b.j AS INT) AS j, {msum(mul(mod('a.y'), mod('b.y')))} AS y FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.j, b.j")
 def matmul_raw(spark, d):
-    """The product of the transposed matrix with itself: as large as the components are many."""
-    own = vectors(spark, d, S).select(F.transform("x", lambda v: fd.field(v, P)).alias("x"))
-    rows = own.select("x", F.posexplode_outer("x").alias("i", "a")).select("i", "a", F.posexplode_outer("x").alias("j", "b"))
-    return rows.groupBy("i", "j").agg(fd.modsum(fd.mulmod(F.col("a"), F.col("b"), P), P).alias("y"))
+    """The product of the transposed matrix with itself, by blocks: as large as the components are many."""
+    own = vectors(spark, d, S)
+    tall = blocks.of_rows(own, "vec_id", "x", 64, ONE)
+    found = blocks.plain_product(blocks.of_rows(own, "vec_id", "x", 64, ONE, transposed=True), tall, ONE)
+    return blocks.cells(found).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "y")
+
+
+SOLD = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"""WITH {X}, l AS (SELECT l_partkey, unnest([0, 1, 2, 3]) AS c, unnest([{', '.join(f'sum(CAST({fix(c)} AS HUGEINT))' for c in SOLD)}]) AS v FROM lineitem GROUP BY l_partkey),
+s AS (SELECT x.j AS i, l.c AS j, sum(CAST(x.y AS HUGEINT) * l.v) % {P} AS y FROM x JOIN l ON l.l_partkey = x.vec_id GROUP BY x.j, l.c),
+f AS (SELECT i, j, CASE WHEN y < 0 THEN y + {P} ELSE y END AS y FROM s)
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {rs(lift('y'), S)} AS y FROM f""")
+def matrix_product_shared(spark, d):
+    """Both matrices are shared: embeddings, transposed, times what was sold of the part of that number
+    (zero for vectors without one). Products come from matrix triples, a block at a time; the sum
+    is opened and divided by the scale once."""
+    sold = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array(*(F.sum(fd.fixed(F.col(c), S)) for c in SOLD)).alias("v"))
+    x = blocks.shared(blocks.of_rows(vectors(spark, d, S), "vec_id", "x", 64, ONE, transposed=True), "x", ONE)
+    y = blocks.shared(blocks.of_rows(sold, "l_partkey", "v", len(SOLD), ONE), "y", ONE)
+    out = blocks.cells(blocks.opened(blocks.product(x, y, ONE), ONE))
+    return out.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), fd.rescale(fd.lift(F.col("y"), P), S).alias("y"))
 
 
 @query(f"WITH {X} SELECT a.vec_id, CAST(a.j AS INT) AS i, CAST(b.j AS INT) AS j, {rs('a.y * b.y', S)} AS y FROM x a JOIN x b ON a.vec_id = b.vec_id")
@@ -88,13 +110,17 @@ def matrix_scale(spark, d):
     return linalg.scale_by(every(spark, d), 777, P)
 
 
-@query(f"""WITH a AS (SELECT i, k, {h("'A'", 'i', 'k')} AS y FROM range(20) r(i), range(12) q(k)), b AS (SELECT k, j, {h("'B'", 'k', 'j')} AS y FROM range(12) r(k), range(16) q(j))
-SELECT a.i, b.j, {msum(mul('a.y', 'b.y'))} AS y FROM a JOIN b USING (k) GROUP BY a.i, b.j""")
+@query(f"""WITH a AS (SELECT s_suppkey, i, k, {h("'A'", 's_suppkey', 'i', 'k')} AS y FROM supplier, range(3) r(i), range(4) q(k)), b AS (SELECT s_suppkey, k, j, {h("'B'", 's_suppkey', 'k', 'j')} AS y FROM supplier, range(4) r(k), range(2) q(j))
+SELECT s_suppkey, CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j, {msum(mul('a.y', 'b.y'))} AS y FROM a JOIN b USING (s_suppkey, k) GROUP BY s_suppkey, a.i, b.j""")
 def matrix_triple(spark, d):
-    grid = lambda n, m, a, b: spark.range(n * m).select(F.expr(f"id div {m}").alias(a), (F.col("id") % m).alias(b))
-    a = grid(20, 12, "i", "k").withColumn("y", fd.hash60("A", F.col("i"), F.col("k")))
-    b = grid(12, 16, "k", "j").withColumn("y", fd.hash60("B", F.col("k"), F.col("j")))
-    return linalg.matmul(a, b, P)
+    """A triple of small matrices for each supplier, 3 by 4 times 4 by 2: C = A B, from keyed hashes."""
+    own = table(spark, d, "supplier").select("s_suppkey")
+    key = F.col("s_suppkey")
+    grid = lambda name, n, m: F.array(*(F.array(*(fd.hash60(name, key, i, j) for j in range(m))) for i in range(n)))
+    own = own.withColumns({"a": grid("A", 3, 4), "b": grid("B", 4, 2)})
+    cell = lambda i, j: [fd.mulmod(F.get(F.get("a", F.lit(i)), F.lit(k)), F.get(F.get("b", F.lit(k)), F.lit(j)), P) for k in range(4)]
+    rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), ((c[0] + c[1]) % P + (c[2] + c[3]) % P).alias("y")) for i in range(3) for j in range(2) for c in [cell(i, j)]]
+    return own.select("s_suppkey", F.explode(F.array(*rows)).alias("r")).select("s_suppkey", "r.i", "r.j", (F.col("r.y") % P).alias("y"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, {mod(fix('o_totalprice'))} AS a, {mod(fix('o_totalprice - 150000'))} AS b, {mod('o_orderkey % 3')} AS c FROM orders)
@@ -350,6 +376,22 @@ def mlp_train_epochs(spark, d):
     return spark.createDataFrame(w.rows(), "layer string, i int, j int, y long")
 
 
-#: Names that these had while others of the shorter name kept a subset.
-for _name in ("matmul_raw", "outer_product", "transpose", "matrix_add", "matrix_scale", "mlp_gradients", "mlp_sgd_step"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
+@query()
+def mlp_train_resumed(spark, d):
+    """The same two epochs by a run that stops after its first step and another that goes on from the
+    last commit; the weights equal those of mlp_train_epochs."""
+    own = vectors(spark, d, S).withColumnRenamed("vec_id", "id")
+    base = batches.new_folder(spark, "resumed")
+    with contextlib.suppress(model.Paused):
+        model.train(own, W, S, 0.05, 256, 2, base=base, stop_after=1)
+    w = model.train(own, W, S, 0.05, 256, 2, base=base)
+    batches.delete(spark, base)
+    return spark.createDataFrame(w.rows(), "layer string, i int, j int, y long")
+
+
+@query(f"WITH o AS (SELECT event_id, row_number() OVER (ORDER BY {h(2026, 'event_id')}, event_id) - 1 AS n FROM events) SELECT CAST(n // 64 AS BIGINT) AS batch, CAST(n % 64 AS INT) AS pos, event_id AS id FROM o")
+def stored_batches(spark, d):
+    """Batches as the store holds them: written once in the epoch's order, 64 rows each."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), "value")
+    path = batches.cluster(rows, batches.new_folder(spark, "batches"), 64, 2026, 0)
+    return spark.read.parquet(path).select("batch", "pos", "id")

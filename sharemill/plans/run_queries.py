@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import field as fd
 from ..operators import kv, membership, metrics
 from ..sources.tables import table
-from ..streaming import streams
-from .registry import ORACLES, QUERIES, query
+from ..streaming import folds, streams
+from .registry import query
 
 VERSION = "o_orderkey % 50"
 _LOG = f"g AS (SELECT o_orderkey, o_custkey AS key, o_orderdate AS ts, {VERSION} AS version, CAST(round(o_totalprice * 100) AS BIGINT) AS value FROM orders)"
@@ -302,6 +302,50 @@ def failure_stream(spark, d):
     return own.select("node", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("failed_at", "recovered_at")))
 
 
-#: Names that these had while others of the shorter name kept a subset.
-for _name in ("kvs_get_batch", "batch_tag"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
+_GRACE = "TIMESTAMP '2024-01-05'"
+
+
+@query(f"""WITH n AS (SELECT user_id AS node, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx, (SELECT max(ts) FROM events) AS fin FROM events),
+f AS (SELECT node, greatest(ts + INTERVAL 36 HOUR, {_GRACE}) AS failed_at, nx AS recovered_at, fin FROM n)
+SELECT node, failed_at, recovered_at FROM f WHERE coalesce(recovered_at, fin) > failed_at""")
+def failure_grace_stream(spark, d):
+    """Failures as a stream that is muted until the grace period ends, over several micro-batches."""
+    own = streams.run(streams.failures(streams.events(spark, d), "user_id", 36, 1_704_412_800_000_000), "failures_grace")
+    return own.select("node", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("failed_at", "recovered_at")))
+
+
+@query(f"""WITH n AS (SELECT user_id AS node, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx, (SELECT max(ts) FROM events) AS fin FROM events),
+f AS (SELECT node, greatest(ts + INTERVAL 36 HOUR, {_GRACE}) AS failed_at, nx AS recovered_at, fin FROM n)
+SELECT node, failed_at, recovered_at FROM f WHERE coalesce(recovered_at, fin) > failed_at""")
+def failure_grace(spark, d):
+    beats = table(spark, d, "events").withColumnRenamed("user_id", "node")
+    return membership.failures(beats, "node", "ts", 36, grace_end=F.lit("2024-01-05").cast("timestamp_ntz"))
+
+
+#: A last row for replays: far behind all others, so that time moves past them and their timers.
+_END = {"event_id": -1, "ts": "2100-01-01 00:00:00", "user_id": -1, "event_type": folds.TICK}
+
+
+@query(f"WITH {_TL} SELECT event_id, n_active, paused, epoch FROM t")
+def membership_fold_stream(spark, d):
+    """membership_timeline from files that arrive out of order: nodes are folded in state, behind a
+    watermark, and the running numbers follow from the table that the stream wrote."""
+    stream, late = streams.replayed(table(spark, d, "events"), "ts", mixed=True, end=_END)
+    kind = F.when(F.col("event_type") == "signup", "join").when(F.col("event_type") == "error", "drop").when(F.col("event_type") == "purchase", "reshare_complete").when(F.col("event_type") == folds.TICK, folds.TICK)
+    deltas = streams.run(folds.membership(stream, "ts", "event_id", "user_id", kind, late), "membership_fold")
+    own = deltas.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
+    return membership.totals(own, "ts", "event_id", "kind", "delta").select("event_id", "n_active", "paused", "epoch")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, value, event_type = 'purchase' AS take, lag(ts) OVER w AS before, lag(event_type) OVER w = 'purchase' AS taken FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, count_if(before IS NULL OR taken OR before + INTERVAL 24 HOUR < ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS box FROM e),
+b AS (SELECT user_id, box, max(event_id) FILTER (take) AS by_id FROM s GROUP BY user_id, box),
+p AS (SELECT user_id, box, event_type, max_by(event_id, (ts, event_id)) AS id FROM s WHERE NOT take GROUP BY user_id, box, event_type)
+SELECT p.user_id AS context, p.event_type AS sender, p.id, CAST(e.value AS DOUBLE) AS value, CASE WHEN by_id IS NULL THEN 'evicted' ELSE 'taken' END AS how, by_id AS taken_by FROM p JOIN b USING (user_id, box) JOIN events e ON e.event_id = p.id""")
+def mailbox_stream(spark, d):
+    """A context for each user: other events put a value by their type, a purchase takes what is there,
+    and what nobody takes within 24 hours of the last event is evicted."""
+    stream, late = streams.replayed(table(spark, d, "events"), "ts", mixed=True, end=_END)
+    kind = F.when(F.col("event_type") == "purchase", "take").otherwise(F.col("event_type"))
+    own = streams.run(folds.mailbox(stream, "ts", "event_id", "user_id", kind, F.col("value"), late, 24), "mailbox")
+    return own.withColumn("value", F.col("value").cast("double"))

@@ -19,9 +19,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "file://" + os.path.join(tempfile.gettempdir(), "sharemill-streams")
 
 
+#: Files that a replay is cut into, each a micro-batch.
+FILES = 6
+
+
+def replayed(df: DataFrame, ts: str, files: int = FILES, mixed: bool = False, end: dict | None = None) -> tuple[DataFrame, str]:
+    """df as a stream of several files by time, one a micro-batch, and how late its rows come at most: in
+    order, or mixed, each pair of neighbours exchanged. end: values of a last row that comes after all
+    others, to move time on."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/streams/replay-{uuid.uuid4().hex}"
+    df.repartitionByRange(files, ts).write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    found = sorted((str(f.getPath()) for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.rpartition("/")[2])
+    if mixed:
+        found = [found[k ^ 1] if k ^ 1 < len(found) else found[k] for k in range(len(found))]
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    bounds = {r.f.rpartition("/")[2]: r for r in spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min(us).alias("lo"), F.max(us).alias("hi")).collect()}  # a row for each file
+    late, latest = 0, None
+    for b in (bounds[n] for n in (p.rpartition("/")[2] for p in found) if n in bounds):
+        if b.lo is not None:
+            late, latest = max(late, latest - b.lo if latest is not None else 0), max(b.hi, latest if latest is not None else b.hi)
+    if end:
+        last = df.limit(0).unionByName(spark.createDataFrame([tuple(end.values())], list(end)), allowMissingColumns=True).select(*(F.col(c).cast(df.schema[c].dataType) for c in df.columns))
+        last.coalesce(1).write.mode("append").parquet(path)
+        now = {str(f.getPath()) for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")}
+        found += sorted(now - set(found))
+    for k, p in enumerate(found):  # files are read by their time
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(p), 1_600_000_000_000 + 60_000 * k, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), f"{late // 1_000_000 + 1} seconds"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events in order, over several micro-batches."""
+    return replayed(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts")[0]
+
+
+#: What keeps the state of transformWithState.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the micro-batches of the last run did, by its name: rows in, and rows of state after.
+PROGRESS: dict[str, list[tuple[int, int]]] = {}
 
 
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -30,11 +70,17 @@ def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{base}/table").start()
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/table")).start()
-    query.awaitTermination()
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{base}/table").start()
+        else:
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/table")).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    PROGRESS[name] = [(p["numInputRows"], sum(o["numRowsTotal"] for o in p["stateOperators"])) for p in query.recentProgress]
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
@@ -56,10 +102,11 @@ def membership(stream: DataFrame) -> DataFrame:
     return stream.where(kind.isNotNull()).groupBy("user_id").agg(F.max_by(kind, F.struct("ts", "event_id")).alias("active"))
 
 
-def failures(stream: DataFrame, node: str, timeout_hours: int) -> DataFrame:
-    """(node, failed_at, recovered_at): silences longer than the timeout. A node's state is its last
-    beat; a timer on event time fires when the watermark passes the timeout, reports the node with a
-    null recovered_at and drops its state. Beats behind the watermark are late and left out."""
+def failures(stream: DataFrame, node: str, timeout_hours: int, grace_end_us: int = 0) -> DataFrame:
+    """(node, failed_at, recovered_at): silences longer than the timeout, found from grace_end_us on. A
+    node's state is its last beat; a timer on event time fires when the watermark passes the timeout,
+    reports the node with a null recovered_at and drops its state. Beats behind the watermark are
+    late and left out."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -68,16 +115,17 @@ def failures(stream: DataFrame, node: str, timeout_hours: int) -> DataFrame:
     def watch(key, frames, state):
         out, (id_,) = [], key
         last = state.get[0] if state.exists else None
+        fails = lambda t: max(t + gap, grace_end_us)
         if state.hasTimedOut:
-            out.append((id_, last + gap, None))
+            out.append((id_, fails(last), None))
             state.remove()
         else:
             for us in sorted(t for f in frames for t in f["us"].tolist()):
-                if last is not None and us > last + gap:
-                    out.append((id_, last + gap, us))
+                if last is not None and us > fails(last):
+                    out.append((id_, fails(last), us))
                 last = us if last is None else max(last, us)
             state.update((last,))
-            state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(fails(last) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["node", "failed", "recovered"]).astype("Int64")
 
     own = stream.select(F.col(node).cast("long").alias("node"), F.col("ts").cast("timestamp").alias("ts")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", "0 seconds")

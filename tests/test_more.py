@@ -20,9 +20,9 @@ def test_training_in_doubles_is_a_loop_over_batches(spark):
     got = plain.train(df, start, 0.1, 25, 3, clip=0.05, temperature=2.0, limit=4.0)
     w = {k: v.copy() for k, v in start.items()}
     for epoch in range(3):
-        turn = {k: int(hashlib.sha256(f"{2026 + epoch}|{k}".encode()).hexdigest()[:15], 16) % 3 for k, *_ in rows}
+        order = sorted(rows, key=lambda r: int(hashlib.sha256(f"{2026 + epoch}|{r[0]}".encode()).hexdigest()[:15], 16))  # noqa: B023
         for b in range(3):
-            own = [r for r in rows if turn[r[0]] == b]
+            own = order[25 * b : 25 * b + 25]
             g = plain.batch_gradients(np.array([r[1] for r in own]), np.array([r[2] for r in own]), w, temperature=2.0, limit=4.0)
             for k in w:
                 w[k] -= 0.1 * 0.95**epoch * np.clip(g[k] / len(own), -0.05, 0.05)
@@ -188,11 +188,12 @@ def test_training_in_fixed_point_is_a_loop_over_batches(spark):
     got = model.train(spark.createDataFrame(rows, "id long, x array<long>, label int").repartition(3), start, scale, 0.05, 16, 2)
     w = start
     for epoch in range(2):
-        turn = {k: int(hashlib.sha256(f"{2026 + epoch}|{k}".encode()).hexdigest()[:15], 16) % 3 for k, *_ in rows}
+        order = sorted(rows, key=lambda r: int(hashlib.sha256(f"{2026 + epoch}|{r[0]}".encode()).hexdigest()[:15], 16))  # noqa: B023
         rate = round(0.05 * 0.95**epoch * scale)
         for b in range(3):
-            g = loop_gradients([(x, label) for k, x, label in rows if turn[k] == b], w, scale)
-            take = lambda n, i, j, v: v - near(rate * g[n, i, j], scale * 16)  # noqa: B023, E731
+            own = order[16 * b : 16 * b + 16]  # 16, 16 and 9 rows
+            g = loop_gradients([(x, label) for k, x, label in own], w, scale)
+            take = lambda n, i, j, v: v - near(rate * g[n, i, j], scale * len(own))  # noqa: B023, E731
             w = model.Weights(
                 [[take("w1", i, j, v) for j, v in enumerate(r)] for i, r in enumerate(w.w1)], [take("b1", i, 0, v) for i, v in enumerate(w.b1)],
                 [[take("w2", i, j, v) for j, v in enumerate(r)] for i, r in enumerate(w.w2)], [take("b2", i, 0, v) for i, v in enumerate(w.b2)],

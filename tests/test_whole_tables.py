@@ -43,19 +43,19 @@ def got(spark, folder, name, *keys):
 def test_products_take_every_vector_and_component(spark, folder, table):
     x = np.array([r[2] for r in table], dtype=object)
     gram = x.T @ x
-    assert got(spark, folder, "matmul_raw_all", "i", "j") == {(i, j): gram[i, j] % P for i in range(M) for j in range(M)}
-    assert got(spark, folder, "outer_product_all", "vec_id", "i", "j") == {(v, i, j): near(r[i] * r[j], S) for v, _, r in table for i in range(M) for j in range(M)}
+    assert got(spark, folder, "matmul_raw", "i", "j") == {(i, j): gram[i, j] % P for i in range(M) for j in range(M)}
+    assert got(spark, folder, "outer_product", "vec_id", "i", "j") == {(v, i, j): near(r[i] * r[j], S) for v, _, r in table for i in range(M) for j in range(M)}
 
 
 def test_matrices_take_every_vector_and_component(spark, folder, table):
     cells = {(v, j): y for v, _, r in table for j, y in enumerate(r)}
-    assert got(spark, folder, "transpose_all", "j", "i") == {k: y % P for k, y in cells.items()}
-    assert got(spark, folder, "matrix_add_all", "i", "j") == {k: 2 * y % P for k, y in cells.items()}
-    assert got(spark, folder, "matrix_scale_all", "i", "j") == {k: 777 * y % P for k, y in cells.items()}
+    assert got(spark, folder, "transpose", "j", "i") == {k: y % P for k, y in cells.items()}
+    assert got(spark, folder, "matrix_add", "i", "j") == {k: 2 * y % P for k, y in cells.items()}
+    assert got(spark, folder, "matrix_scale", "i", "j") == {k: 777 * y % P for k, y in cells.items()}
 
 
 def test_gradients_sum_over_every_row(spark, folder, table):
-    got_g = got(spark, folder, "mlp_gradients_all", "layer", "i", "j")
+    got_g = got(spark, folder, "mlp_gradients", "layer", "i", "j")
     probs = {r.vec_id: r.p for r in A.probabilities(spark, folder).select("vec_id", "p").collect()}
     w = A.W
     want = dict.fromkeys([(n, i, j) for n, i, j, _ in w.rows()], 0)
@@ -72,13 +72,13 @@ def test_gradients_sum_over_every_row(spark, folder, table):
                     want["w" + layer, i, j] += near(g * y, S)
     assert got_g == want
     step = {(n, i, j): v - near(want[n, i, j] * round(0.05 * S), S * N) for n, i, j, v in w.rows()}
-    assert got(spark, folder, "mlp_sgd_step_all", "layer", "i", "j") == step
+    assert got(spark, folder, "mlp_sgd_step", "layer", "i", "j") == step
     assert model.step(w, [{"layer": n, "i": i, "j": j, "y": y} for (n, i, j), y in want.items()], round(0.05 * S), S, N).w1[3][5] == step["w1", 3, 5]
 
 
 def test_every_customer_has_a_status(spark, sf):
     keys = sorted(r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect())
-    rows = QUERIES["kvs_get_batch_all"](spark, sf).collect()
+    rows = QUERIES["kvs_get_batch"](spark, sf).collect()
     assert sorted(r.key for r in rows) == keys and all(r.status in ("MISSING", "STALE", "OK") for r in rows)
 
 
@@ -87,4 +87,4 @@ def test_every_batch_has_a_tag_of_its_real_ids(spark, sf):
     for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
         ids[r.l_orderkey].add(r.l_partkey)
     want = {k: hashlib.sha256(("v1:" + ",".join(map(str, sorted(v)))).encode()).hexdigest()[:16] for k, v in ids.items()}
-    assert {r.batch: r.tag for r in QUERIES["batch_tag_all"](spark, sf).collect()} == want
+    assert {r.batch: r.tag for r in QUERIES["batch_tag"](spark, sf).collect()} == want
