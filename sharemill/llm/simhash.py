@@ -11,11 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize, shuffle_partitions, with_value
+from .store import columns_of, materialize, shuffle_partitions, unused, with_value
 from .text import SEED, shingle_hashes, simhash, slices, words
 
 #: Fingerprints up to which a shard is searched, and fingerprints of a larger one drawn to place the
@@ -213,21 +213,26 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def sketches(docs: DataFrame, ngram: int) -> DataFrame:
-    """(doc_id, digest of the words, fp, bands, hashes) for every row."""
-    schema = "doc_id long, digest string, fp long, bands array<long>, hashes binary"
-    types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    """(doc_id, mark, digest of the words, fp, bands, hashes) for every row."""
+    schema = "doc_id long, mark string, digest string, fp long, bands array<long>, hashes binary"
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, mark, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1), strict=True):
                 w = words(text.as_py())
                 h = shingle_hashes(w, ngram)
-                out.append((doc_id, xxhash.xxh3_128_hexdigest(b" ".join(w)), simhash(np.unique(h)), *sketch(h)))
+                out.append((doc_id, mark, xxhash.xxh3_128_hexdigest(b" ".join(w)), simhash(np.unique(h)), *sketch(h)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split(" ")[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_mark().alias("mark")).mapInArrow(run, schema)
+
+
+def row_mark() -> Column:
+    """What tells rows apart: a digest of id and text, equal for rows that repeat."""
+    return F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.coalesce("text", F.lit("")))).cast("binary"))
 
 
 def alike(fps: np.ndarray, sets: list[np.ndarray], similarity: float, comp: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -312,24 +317,19 @@ def tiles(banded: DataFrame, groups: DataFrame, parts: DataFrame) -> DataFrame:
     return own.withColumn("mine", mine).select("rep", "comp", F.explode(F.when(F.col("near"), near).otherwise(far)).alias("tile"))
 
 
-def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, component_id) for every row: texts whose sets of n-word
-    shingles are at least so similar (Jaccard) are linked, and links are followed.
-
-    At this similarity 64-bit SimHashes differ in up to 17 bits, a radius at which no ball of a
-    vantage-point tree prunes anything. Texts therefore become candidates by bands of least
-    shingle hashes; SimHash then puts near pairs first, and the sets decide. Equal word sequences are one text from the start. Groups larger than BLOCK first meet
-    their least text; those connected by that aren't compared with each other, and the rest meets
-    all in pairs of blocks. Null and empty texts are alike; null ids are kept and never name a
-    component; repeated rows are kept; an empty table gives an empty result."""
+def classed(docs: DataFrame, ngram: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows, and the different word sequences (digest, n, least, best, component):
+    a component's sequences are connected. The nodes are numbers of sequences, never ids, so texts
+    that share an id and texts without one are classed like others."""
     spark = docs.sparkSession
-    own = materialize(sketches(docs, ngram), "sketches")
-    texts = own.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    texts = materialize(texts, "texts")
-    banded = texts.where("rep is not null").select("rep", F.explode("bands").alias("band"))
+    own = materialize(sketches(docs, ngram).withColumn("place", F.monotonically_increasing_id()), "sketches")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "mark"))
+    texts = own.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), best.alias("best"), F.min("place").alias("place"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    texts = materialize(texts.withColumn("rep", F.monotonically_increasing_id()), "texts")
+    banded = texts.select("rep", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
     groups = materialize(groups.groupBy("n", "least", "mark").agg(F.min("band").alias("band")), "groups")  # the same texts meet in many bands
-    sets = own.select(F.col("doc_id").alias("rep"), "digest", "fp", "hashes").join(texts.where("rep is not null").select("digest", "rep"), ["digest", "rep"], "left_semi").select("rep", "fp", "hashes")
+    sets = own.select("place", "digest", "fp", "hashes").join(texts.select("digest", "place", "rep"), ["digest", "place"]).select("rep", "fp", "hashes")
     star = links_to_least(banded, groups.where(F.col("n") > BLOCK), sets, similarity)
     if star is None:
         members = banded.join(groups.select("band"), "band").select("rep", F.col("rep").alias("comp"), F.xxhash64("band").alias("tile"))
@@ -347,22 +347,48 @@ def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFra
     if star is not None:
         linked = linked.union(star)
     parts = connected_components(linked)
-    class_of = texts.join(parts, texts.rep == parts.node, "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
-    return with_value(own.select("doc_id", "digest"), class_of, "digest", F.col("doc_id")).select("doc_id", "component_id")
+    return own, texts.join(parts, texts.rep == parts.node, "left").select("digest", "n", "least", "best", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, component_id) for every row: texts whose sets of n-word
+    shingles are at least so similar (Jaccard) are linked, and links are followed.
+
+    At this similarity 64-bit SimHashes differ in up to 17 bits, a radius at which no ball of a
+    vantage-point tree prunes anything. Texts therefore become candidates by bands of least
+    shingle hashes; SimHash then puts near pairs first, and the sets decide. Equal word sequences are one text from the start. Groups larger than BLOCK first meet
+    their least text; those connected by that aren't compared with each other, and the rest meets
+    all in pairs of blocks. Null and empty texts are alike; a component is named by its least id (null
+    only where none of its rows has one); repeated rows are kept; an empty table gives an empty result."""
+    own, texts = classed(docs, ngram, similarity)
+    named = texts.groupBy("component").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
+    class_of = with_value(texts.select("digest", F.col("n").alias("rows"), "rep", "component"), named, "component", F.col("rep"))
+    class_of = class_of.select("digest", F.col("rows").alias("n"), "component_id")
+    return with_value(own.select("doc_id", "digest", "place"), class_of, "digest", F.col("place")).select("doc_id", "component_id")
 
 
-#: Ids up to which a list of them is broadcast.
+#: Rows up to which a list of their marks is broadcast.
 MOST_IDS = 1_000_000
 
 
 def deduplicated(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs with one document of each group of similar texts: that of the least id.
-    Rows without an id stay; of rows that repeat an id one stays. Columns are those of docs."""
-    found = materialize(similar(docs, ngram, similarity), "classes")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if n := twice.count():
-        few = F.broadcast(twice) if n <= MOST_IDS else twice
-        docs = docs.join(few, "doc_id", "left_anti").select(docs.columns).union(docs.join(few, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    few = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
-    return docs.join(few, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs with exactly one row of each group of similar texts: the least by doc_id (nulls
+    last), then by the digest of its words. Different texts that share an id, and texts without one,
+    are groups like others, so none of them is lost. Of rows that repeat id and text the least by all
+    columns stays. Columns are those of docs, whatever their names."""
+    own, texts = classed(docs, ngram, similarity)
+    best = texts.select("component", F.struct("best.null_last", "best.doc_id", "digest", "best.mark").alias("best"))
+    kept = best.groupBy("component").agg(F.min("best").alias("best")).select("best.mark")
+    marks = own.groupBy("mark").agg(F.count("*").alias("n"))
+    kept = materialize(marks.join(kept.withColumn("kept", F.lit(True)), "mark", "left"), "kept")
+    gone, twice = kept.where("kept is null"), kept.where("kept and n > 1")
+    few = lambda t: F.broadcast(t) if t.count() <= MOST_IDS else t
+    name, mark = unused("mark", docs.columns), unused("repeats", docs.columns)
+    listed = few(gone.select(F.col("mark").alias(name), F.lit(False).alias(mark)).union(twice.select("mark", F.lit(True))))
+    met = docs.withColumn(name, row_mark()).join(listed, name, "left")
+    once = met.where(F.col(mark).isNull()).select(columns_of(docs))
+    if twice.isEmpty():
+        return once
+    row = F.struct(*columns_of(docs))
+    least = met.where(F.col(mark)).groupBy(name).agg(F.min_by(row, F.to_json(row)).alias(mark))
+    return once.union(least.select(*(F.col(mark)[c].alias(c) for c in docs.columns)))

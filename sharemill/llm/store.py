@@ -63,3 +63,16 @@ def with_value(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> D
     dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
     copies = table.drop("n").join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name made of name that none of the columns has, in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns by their whole names, with dots too."""
+    return [F.col(f"`{c}`") for c in df.columns]
