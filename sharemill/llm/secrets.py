@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import columns_of, materialize, unused
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -95,13 +95,18 @@ def linked(weak: DataFrame, parts: DataFrame) -> DataFrame:
     return out
 
 
+def digest(doc_id: Column, text: Column) -> Column:
+    """Names a document: rows of one id and text share it, no others do."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, key, base array, weak array; key names equal documents'
     ids and texts alike. Written to the shared folder: it is small, and read twice."""
     text = F.coalesce(F.col("text"), F.lit(""))
     f = found_in(F.col("t"))
     own = docs.select(F.col("doc_id").cast("long"), text.alias("t")).select(
-        "doc_id", F.xxhash64("doc_id", "t").alias("key"), F.concat(f["assign"], f["access"], f["hex"]).alias("base"), F.concat(f["key"], f["account"], f["endpoint"]).alias("weak")
+        "doc_id", digest(F.col("doc_id"), F.col("t")).alias("key"), F.concat(f["assign"], f["access"], f["hex"]).alias("base"), F.concat(f["key"], f["account"], f["endpoint"]).alias("weak")
     )
     return materialize(own, "spans")
 
@@ -140,23 +145,23 @@ def merged(ordered: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of find_secrets() in text replaced by MARK, and n_chars following where
     there is such a column. Every row stays; null texts stay null."""
-    t = F.coalesce(F.col("text"), F.lit(""))
     f = found_in(F.col("text"))
     base = lambda: F.concat(f["assign"], f["access"], f["hex"])
     weak = F.concat(f["key"], f["account"], f["endpoint"])
-    key = F.xxhash64(F.col("doc_id").cast("long"), t)
-    parts = materialize(docs.select(key.alias("key"), F.explode(F.when(F.size(weak) > 0, F.concat(base(), weak)).otherwise(F.array().cast(f"array<{SPAN}>"))).alias("s")).select("key", "s.*").distinct(), "parts")
-    more = linked(parts.where(F.col("kind").isin(*NEEDS)), parts).groupBy("key").agg(F.collect_set(F.struct("start", "stop", "kind")).alias("more"))
+    key = digest(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    none = F.array().cast(f"array<{SPAN}>")
+    parts = materialize(docs.select(key.alias("key"), F.explode(F.when(F.size(weak) > 0, F.concat(base(), weak)).otherwise(none)).alias("s")).select("key", "s.*").distinct(), "parts")
+    k, b, m, t = (unused(n, docs.columns) for n in ("key", "base", "more", "redacted"))
+    more = linked(parts.where(F.col("kind").isin(*NEEDS)), parts).groupBy("key").agg(F.collect_set(F.struct("start", "stop", "kind")).alias(m)).withColumnRenamed("key", k)
     more = materialize(more, "linked")
     few = F.broadcast(more) if more.count() <= MOST_LINKED else more
-    own = docs.select("*", key.alias("__key"), base().alias("__base")).join(few, F.col("__key") == F.col("key"), "left")
-    spans_ = merged(in_order(F.concat(F.coalesce("__base", F.array().cast(f"array<{SPAN}>")), F.coalesce("more", F.array().cast(f"array<{SPAN}>")))))
-    own = own.withColumn("__spans", spans_)
-    stops = F.concat(F.array(F.lit(0)), F.col("__spans.stop"))
-    starts = F.concat(F.col("__spans.start"), F.array(F.length("text")))
-    kept = F.zip_with(stops, starts, lambda a, b: F.col("text").substr(a + 1, b - a))
-    new = F.when(F.size("__spans") > 0, F.array_join(kept, MARK)).otherwise(F.col("text"))
-    own = own.withColumn("text", new)
+    own = docs.select("*", key.alias(k), base().alias(b)).join(few, k, "left")
+    own = own.withColumn(b, merged(in_order(F.concat(F.coalesce(b, none), F.coalesce(m, none)))))
+    stops = F.concat(F.array(F.lit(0)), F.col(f"{b}.stop"))
+    starts = F.concat(F.col(f"{b}.start"), F.array(F.length("text")))
+    gaps = F.zip_with(stops, starts, lambda lo, hi: F.col("text").substr(lo + 1, hi - lo))
+    own = own.withColumn(t, F.when(F.size(b) > 0, F.array_join(gaps, MARK)).otherwise(F.col("text")))
+    new = {"text": F.col(t)}
     if "n_chars" in docs.columns:
-        own = own.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return own.select(*docs.columns)
+        new["n_chars"] = F.when(F.size(b) > 0, F.length(t).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return own.select(*(new[c].alias(c) if c in new else col for c, col in zip(docs.columns, columns_of(docs), strict=True)))

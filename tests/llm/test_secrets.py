@@ -22,8 +22,8 @@ def parts(text):
     base = [(s, secrets.KINDS[k], e) for s, k, e in brute(text)]
     weak = [(m.start(), "key", m.end()) for m in re.finditer(secrets.KEY, text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
     weak += [(m.start(), "account", m.end()) for m in re.finditer(secrets.ACCOUNT, text)] + [(m.start(), "endpoint", m.end()) for m in re.finditer(secrets.ENDPOINT, text)]
-    near = lambda s, role: any(secrets.ROLE[k] == role and abs(s - s2) <= secrets.SCOPE for s2, k, _ in base + weak)
-    return base, [w for w in weak if all(near(w[0], r) for r in secrets.NEEDS[w[1]])]
+    near = lambda w, role: any(secrets.ROLE[k] == role and max(w[0], s) - min(w[2], e) <= secrets.SCOPE for s, k, e in base + weak)
+    return base, [w for w in weak if all(near(w, r) for r in secrets.NEEDS[w[1]])]
 
 
 def fmt(spans):
@@ -40,7 +40,7 @@ MORE = [
 
 
 def test_matches_brute_force(spark, sf):
-    docs = frame(spark, sf).unionByName(spark.createDataFrame(MORE, "doc_id long, text string"), allowMissingColumns=True)
+    docs = frame(spark, sf).unionByName(spark.createDataFrame(MORE + [(1000 + g[0], g[1]) for g in GAPS], "doc_id long, text string"), allowMissingColumns=True)
     got = secrets.find_secrets(docs).collect()
     rows = docs.collect()
     want = []
