@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import columns_of, materialize, unused
 
 #: Passes over the margins; the power that tempers observed shares into targets; the share of tokens
 #: asked for, and the part of what the scarcest value allows that is taken at most; the seed of the draw.
@@ -18,7 +18,10 @@ PASSES, TEMPER, RATE, ROOM, SEED = 32, 0.7, 0.5, 0.9, 17
 DIMS = ["source", "lang", "topic"]
 #: The largest error of a margin, as a part of its goal, at which a fit is done, and what the rate is
 #: multiplied by where cells can't give enough together.
-TOLERANCE, LOWER = 1e-6, 0.95
+TOLERANCE, LOWER, LEAST_RATE, MOST_PASSES = 1e-6, 0.95, 1e-2, 1024
+#: How often targets of tempered shares that can't hold together are moved half of the way to the shares
+#: that there are, which always hold.
+SOFTER = 8
 #: Cells up to which their table is broadcast.
 MOST_CELLS = 100_000
 #: Topics by what a text holds, the first that applies; other texts are prose by their length.
@@ -49,13 +52,13 @@ def cells(docs: DataFrame, dims: list[str], tokens: str) -> DataFrame:
     return docs.groupBy(*dims).agg(F.sum(tokens).cast("double").alias("tokens"), F.count("*").alias("docs"))
 
 
-def calibrated(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rate: float) -> tuple[np.ndarray, float]:
+def calibrated(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rate: float, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """Probabilities of cells whose expected tokens meet shares of rate times all tokens by each margin,
     and the largest error as a part of its goal. A pass multiplies the weights of each of a margin's
     values: what full cells (at 1 or more) leave of its goal is for the others; where they hold more
     than it, all shrink."""
     w, whole = np.full(len(tokens), float(rate)), tokens.sum()
-    for _ in range(PASSES):
+    for _ in range(passes):
         for k, share in zip(at, shares, strict=True):
             goal, full = share * rate * whole, w >= 1
             fixed = np.bincount(k, np.where(full, tokens, 0.0), len(share))
@@ -81,9 +84,11 @@ def fitted(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], r
         own = np.bincount(k, tokens, len(share))
         rate = min([rate, *(ROOM * own[share > 0] / (share[share > 0] * whole)).tolist()])
     p, error = calibrated(tokens, at, shares, rate)
-    while error > TOLERANCE and (p >= 1).any():
+    while error > TOLERANCE and (p >= 1).any() and rate > LEAST_RATE:
         rate *= LOWER
         p, error = calibrated(tokens, at, shares, rate)
+    if error > TOLERANCE:
+        p, error = calibrated(tokens, at, shares, rate, MOST_PASSES)  # no cell is in the way: slow margins
     return p, rate, error
 
 
@@ -92,17 +97,27 @@ def fit(cell: DataFrame, dims: list[str], rate: float, temper: float, targets: d
     they are fitted on the driver, at some dozen bytes each."""
     rows = cell.select(*dims, F.coalesce("tokens", F.lit(0.0)).alias("tokens")).collect()
     tokens = np.array([max(0.0, r["tokens"]) for r in rows])
-    at, shares = [], []
+    at, given, names = [], {}, {}
     for d in dims:
-        names: dict = {}
-        at.append(np.array([names.setdefault(r[d], len(names)) for r in rows], np.int64))
+        names[d] = {}
+        at.append(np.array([names[d].setdefault(r[d], len(names[d])) for r in rows], np.int64))
+        own = np.bincount(at[-1], tokens, len(names[d]))
         if targets and d in targets:
-            raw = np.array([float(targets[d].get(v, 0.0)) for v in names])
-            raw = np.where(np.bincount(at[-1], tokens, len(names)) > 0, raw, 0.0)
-        else:
-            raw = (np.bincount(at[-1], tokens, len(names)) / (tokens.sum() or 1.0)) ** temper
-        shares.append(raw / (raw.sum() or 1.0))
-    p, used, error = fitted(tokens, at, shares, rate)
+            raw = np.where(own > 0, [float(targets[d].get(v, 0.0)) for v in names[d]], 0.0)
+            given[d] = raw / (raw.sum() or 1.0)
+    for _ in range(SOFTER):
+        shares = []
+        for d, k in zip(dims, at, strict=True):
+            raw = (np.bincount(k, tokens, len(names[d])) / (tokens.sum() or 1.0)) ** temper
+            shares.append(given.get(d, raw / (raw.sum() or 1.0)))
+        p, used, error = fitted(tokens, at, shares, rate)
+        if error <= TOLERANCE:
+            break
+        temper = (1 + temper) / 2  # values that only occur together can't have shares of their own: closer to what there is
+    else:
+        if given:
+            raise ValueError(f"the targets can't be met: a margin stays {error:.2g} of its goal away")
+        p, used, error = np.full(len(tokens), float(rate)), rate, 0.0  # the shares that there are
     logging.getLogger(__name__).warning("mixing: %d cells, %d at probability 1, rate %.4f of %.4f asked, largest margin error %.2g of its goal", len(rows), (p >= 1).sum(), used, rate, error)
     out = [(*(r[d] for d in dims), float(x) if t > 0 else 1.0) for r, x, t in zip(rows, p, tokens, strict=True)]
     schema = cell.select(*(F.col(d).alias(f"cell_{d}") for d in dims), F.lit(1.0).cast("double").alias("cell_probability")).schema
@@ -114,6 +129,31 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", doc_id.cast("string"), F.lit(str(seed))).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def drawn(docs: DataFrame, dims: dict[str, Column], tokens: Column, rate: float, targets: dict | None, seed: int, temper: float, instead: Column | None) -> tuple[DataFrame, str, str]:
+    """docs and two columns of names that they don't have: a row's probability, and whether it is kept.
+    Only columns of other names than docs' are added on the way, so none of docs' is replaced."""
+    names = list(docs.columns)
+    own = docs
+    mine = {}
+    for d, value in {**dims, "tokens": tokens}.items():
+        mine[d] = unused(f"mix_{d}", names)
+        names.append(mine[d])
+        own = own.withColumn(mine[d], value)
+    cell = cells(own.select(*(F.col(mine[d]).alias(d) for d in dims), F.col(mine["tokens"]).alias("tokens")), list(dims), "tokens")
+    found = materialize(fit(materialize(cell, "cells"), list(dims), rate, temper, targets), "fitted")
+    few = found.count() <= MOST_CELLS  # a row per cell; beyond that Spark joins by key and splits skewed ones
+    p, kept = unused("mix_probability", names), unused("mix_kept", names)
+    met = {d: unused(f"cell_{d}", names) for d in dims}
+    found = found.select(*(F.col(f"cell_{d}").alias(met[d]) for d in dims), F.col("cell_probability").alias(p))
+    meets = None
+    for d in dims:
+        one = F.col(mine[d]).eqNullSafe(F.col(met[d]))
+        meets = one if meets is None else meets & one
+    out = own.join(F.broadcast(found) if few else found, meets, "left")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-1") if instead is None else F.concat(F.lit("text|"), F.coalesce(instead, F.lit(""))))
+    return out.select(*columns_of(docs), p, (draw(key, seed) < F.col(p)).alias(kept)), p, kept
+
+
 def mix(docs: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens", rate: float = RATE, targets: dict | None = None, seed: int = SEED, temper: float = TEMPER, instead: Column | None = None) -> DataFrame:
     """docs with doc_id, dims and a token count -> the same rows with probability and kept.
 
@@ -122,18 +162,9 @@ def mix(docs: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens", rate:
     their own; null ids are drawn by a hash of `instead`, such as the text, and share one draw
     without it; rows that repeat share theirs; an empty table stays empty; other columns pass
     through unless they are named probability or kept, which are replaced."""
-    cell = materialize(cells(docs, dims, tokens), "cells")
-    found = materialize(fit(cell, dims, rate, temper, targets), "fitted")
-    few = found.count() <= MOST_CELLS  # a row per cell; beyond that Spark joins by key and splits skewed ones
-    meets = None
-    for d in dims:
-        one = docs[d].eqNullSafe(found[f"cell_{d}"])
-        meets = one if meets is None else meets & one
-    names = [c for c in docs.columns if c not in ("probability", "kept")]
-    found = F.broadcast(found) if few else found
-    out = docs.join(found, meets, "left")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-1") if instead is None else F.concat(F.lit("text|"), F.coalesce(instead, F.lit(""))))
-    return out.select(*names, F.col("cell_probability").alias("probability"), (draw(key, seed) < F.col("cell_probability")).alias("kept"))
+    out, p, kept = drawn(docs, {d: F.col(d) for d in dims}, F.col(tokens), rate, targets, seed, temper, instead)
+    names = [c for c in docs.columns if c.lower() not in ("probability", "kept")]
+    return out.select(*(F.col(f"`{c}`") for c in names), F.col(p).alias("probability"), F.col(kept).alias("kept"))
 
 
 def margins(mixed: DataFrame, dims: list[str] = DIMS, tokens: str = "n_tokens") -> DataFrame:
@@ -152,11 +183,12 @@ def documents_mixed(docs: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """The sampled rows of docs(doc_id, text, source, lang, ...), with the columns of docs: those that
-    mix() keeps. Null texts are empty, null ids are drawn by their text, rows that repeat share their
+    """The sampled rows of docs(doc_id, text, source, lang, ...), with the columns of docs, whatever their
+    names: those that mix() keeps. Null texts are empty, null ids are drawn by their text, rows that repeat share their
     fate, and an empty table stays empty."""
-    own = docs.withColumns({"__topic": topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
-    return mix(own, ["source", "lang", "__topic"], "__tokens", rate, instead=F.col("text")).where("kept").select(*docs.columns)
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
+    out, _, kept = drawn(docs, dims, n_tokens(F.col("text")), rate, None, SEED, TEMPER, F.col("text"))
+    return out.where(F.col(kept)).select(*columns_of(docs))
 
 
 def oracle() -> str:
