@@ -5,6 +5,7 @@ Roots test equality; branches that differ locate an edit. Built-in functions onl
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,17 +14,19 @@ from .store import shuffle_partitions
 
 #: A piece of a sentence: up to 48 characters, then the sentence's end if it is there.
 PIECE = r"[^.!?]{1,48}[.!?]*|[.!?]+"
-#: A section ends after a paragraph whose digest starts so: one in 16. Hex digits of a leaf and of a
-#: section in the fingerprint.
-CUT, LEAF_HEX, NODE_HEX = "0", 8, 16
+#: A section ends after a paragraph whose digest starts so: one in 16. Hex digits of a leaf's digest, all of
+#: which go upward, and those of a leaf and of a section that the fingerprint prints.
+CUT, LEAF_HEX, PRINTED_HEX, NODE_HEX = "0", 32, 8, 16
 #: Bytes of text to a range of documents, ranges at most, which bounds what is broadcast, and the parts
 #: (by a digest of the text) of a range that one id fills.
 RANGE_BYTES, MOST_RANGES, PARTS_HEX = 64 << 20, 1 << 16, 3
+#: Parts of an id for each range that it fills, and ranges to a task.
+HOT_PARTS, SPREAD = 4, 8
 
 
 def paragraphs(text: Column) -> Column:
     """Each line as the hashes of its pieces, one after the other."""
-    leaf = lambda p: F.substring(F.md5(p.cast("binary")), 1, LEAF_HEX)
+    leaf = lambda p: F.md5(p.cast("binary"))
     return F.transform(F.split(text, "\n"), lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), leaf), ""))
 
 
@@ -44,10 +47,12 @@ def nodes(section_list: Column) -> Column:
 
 
 def fingerprint(section_list: Column, node_list: Column) -> Column:
-    """root:section nodes:leaves, with commas between paragraphs and semicolons between sections."""
+    """root:section nodes:leaves, with commas between paragraphs and semicolons between sections. The root
+    is of whole digests; leaves and nodes are printed short."""
     root = F.sha2(F.array_join(node_list, "").cast("binary"), 256)
     heads = F.array_join(F.transform(node_list, lambda s: F.substring(s, 1, NODE_HEX)), "")
-    return F.concat_ws(":", root, heads, F.array_join(section_list, ";"))
+    leaves = F.regexp_replace(F.array_join(section_list, ";"), f"([0-9a-f]{{{PRINTED_HEX}}})[0-9a-f]{{{LEAF_HEX - PRINTED_HEX}}}", "$1")
+    return F.concat_ws(":", root, heads, leaves)
 
 
 def _below(branches: Column, mark: str) -> Column:
@@ -105,17 +110,22 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(shuffle_partitions(spark), math.ceil(size / RANGE_BYTES))
-    n = min(MOST_RANGES, 4 * tasks)
+    n = min(MOST_RANGES, SPREAD * tasks)
     found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 4 * n)).first()[0] or []
     hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
     cuts = sorted({*found, *hot, *(v + 1 for v in hot)})
     digest = F.md5(F.col("text").cast("binary"))
-    part = F.conv(F.substring("digest", 1, PARTS_HEX), 16, 10).cast("long")
-    span = _range_of(F.col("doc_id"), cuts) * 16**PARTS_HEX + F.when(F.col("doc_id").isNull() | F.array_contains(F.lit(hot).cast("array<bigint>"), F.col("doc_id")), part).otherwise(0)
+    # an id has as many parts as ranges of rows, by HOT_PARTS: all ids together a multiple of the ranges
+    ranges = Counter(found)
+    many = [min(16**PARTS_HEX, HOT_PARTS * ranges[v]) for v in hot]
+    mine = F.get(F.lit(many).cast("array<bigint>"), F.array_position(F.lit(hot).cast("array<bigint>"), F.col("doc_id")).cast("int") - 1)
+    mine = F.when(F.col("doc_id").isNull(), 16**PARTS_HEX).otherwise(F.coalesce(mine, F.lit(1)))
+    part = F.floor(F.conv(F.substring("digest", 1, PARTS_HEX), 16, 10).cast("long") * mine / 16**PARTS_HEX)
+    span = _range_of(F.col("doc_id"), cuts) * 16**PARTS_HEX + part
     own = docs.select("doc_id", "text", digest.alias("digest"))
     own = own.select("*", span.alias("span"), F.lit(0).alias("copy"), F.lit(0).alias("wraps"))
     heads = own.groupBy("span").agg(F.min(F.struct("doc_id", "digest", "text")).alias("h"))  # one row a range
-    spans = sorted(r[0] for r in heads.select("span").collect())  # MOST_RANGES and the hot ids' parts at most
+    spans = sorted(r[0] for r in heads.select("span").collect())  # HOT_PARTS times MOST_RANGES and one id's parts at most
     ring = spark.createDataFrame([(s, spans[k - 1], int(k == 0)) for k, s in enumerate(spans)], "at long, to long, wraps int")
     ahead = heads.join(F.broadcast(ring), F.col("span") == F.col("at")).select("h.doc_id", "h.text", "h.digest", F.col("to").alias("span"), F.lit(1).alias("copy"), "wraps")
     w = Window.partitionBy("span").orderBy("wraps", F.col("doc_id").asc_nulls_last(), "digest", "copy")
@@ -156,11 +166,11 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    lines = lambda t: f"list_transform(string_split({t}, chr(10)), lambda l: array_to_string(list_transform(regexp_extract_all(l, '{PIECE}'), lambda p: substring(md5(p), 1, {LEAF_HEX})), ''))"
+    lines = lambda t: f"list_transform(string_split({t}, chr(10)), lambda l: array_to_string(list_transform(regexp_extract_all(l, '{PIECE}'), lambda p: md5(p)), ''))"
     ends = lambda c: f"list_filter(generate_series(1, len({c})), lambda i: i = len({c}) OR starts_with(sha256({c}[i]), '{CUT}'))"
     cut = lambda c, n: f"list_transform(generate_series(1, len({n})), lambda k: array_to_string({c}[CASE WHEN k = 1 THEN 1 ELSE {n}[k - 1] + 1 END:{n}[k]], ','))"
     node = lambda s: f"list_transform({s}, lambda q: sha256(array_to_string(list_transform(string_split(q, ','), lambda p: sha256(p)), '')))"
-    print_ = lambda s, d: f"sha256(array_to_string({d}, '')) || ':' || array_to_string(list_transform({d}, lambda q: substring(q, 1, {NODE_HEX})), '') || ':' || array_to_string({s}, ';')"
+    print_ = lambda s, d: f"sha256(array_to_string({d}, '')) || ':' || array_to_string(list_transform({d}, lambda q: substring(q, 1, {NODE_HEX})), '') || ':' || regexp_replace(array_to_string({s}, ';'), '([0-9a-f]{{{PRINTED_HEX}}})[0-9a-f]{{{LEAF_HEX - PRINTED_HEX}}}', '\\1', 'g')"
     minus = lambda x, y: f"list_filter(list_distinct({x}), lambda q: NOT list_contains({y}, q))"
     count = lambda b: f"length(replace(array_to_string({b}, ''), ',', '')) // {LEAF_HEX}"
     leaves = lambda b: f"list_distinct(list_transform(generate_series(1, length(array_to_string({b}, '')) // {LEAF_HEX}), lambda k: substring(array_to_string({b}, ''), (k - 1) * {LEAF_HEX} + 1, {LEAF_HEX})))"
