@@ -38,3 +38,41 @@ def stability(daily: DataFrame, order: str, loss: str, most_growth: float, most:
     growth = F.col(loss) / F.lag(loss).over(w)
     flagged = daily.withColumn("growth", growth).withColumn("flag", F.coalesce(F.col("growth") > most_growth, F.lit(False)) | (F.col(loss) > most))
     return flagged.withColumn("aborted", F.max("flag").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+#: Groups' rows that a task holds before it passes them on, and parts in which a group is brought together.
+MOST_HELD, PARTS = 1 << 16, 64
+
+
+def k_least(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
+    """The k rows of each group that are least by order (nulls last), without sorting a group: tasks keep k
+    rows a group and pass those on, which meet in PARTS and then at once."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def least(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(group, "ascending"), (order, "ascending")])
+        keys, seen, last, keep = t.column(group).to_pylist(), 0, object(), []
+        for g in keys:
+            seen, last = (seen + 1 if g == last else 1), g
+            keep.append(seen <= k)
+        return t.filter(pa.array(keep, pa.bool_()))
+
+    names = df.columns
+
+    def held(batches):
+        kept, part = None, TaskContext.get().partitionId() % PARTS
+        out = lambda t: t.append_column("part", pa.array([part] * t.num_rows, pa.int32()))
+        for b in batches:
+            own = pa.Table.from_batches([b])
+            kept = least(own if kept is None else pa.concat_tables([kept, own]))
+            if kept.num_rows > MOST_HELD:
+                yield from out(kept).combine_chunks().to_batches()
+                kept = None
+        if kept is not None:
+            yield from out(kept).combine_chunks().to_batches()
+
+    schema = df.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    some = df.mapInArrow(held, schema + ",part:int")
+    some = some.groupBy(group, "part").applyInArrow(lambda t: least(t.select(names)), schema)
+    return some.groupBy(group).applyInArrow(least, schema)

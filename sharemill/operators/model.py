@@ -168,3 +168,10 @@ def train(
 def argmax(v: Column) -> Column:
     """The first place of the largest."""
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+
+
+def means(x: DataFrame) -> DataFrame:
+    """x(label, x array<long>) -> (layer, i, j, v): the mean vector of each label, to the nearest, as a
+    layer's weights."""
+    cells = x.select(F.col("label").alias("i"), F.posexplode_outer("x").alias("j", "y"))
+    return cells.groupBy("i", "j").agg(F.sum("y").alias("s"), F.count("*").alias("n")).select(F.lit("w").alias("layer"), "i", "j", rescale(F.col("s"), F.col("n")).alias("v"))

@@ -198,11 +198,12 @@ def rescale_variants(spark, d):
     return table(spark, d, "orders").select("o_orderkey", fd.rescale(v, 1000).alias("nearest"), fd.rescale_floor(v, 1000).alias("floored"))
 
 
-@query("""WITH f AS (SELECT CAST(t AS INT) AS t, CAST(s AS INT) AS s, CAST(n AS INT) AS n FROM range(0, 4) a(t), range(1, 6) b(s), range(1, 17) c(n))
-SELECT t, s, n, 2 * (t + s - 1) < n AS safe, CAST(greatest(1, least(16, (n - 2 * t + 1) // 2)) AS INT) AS max_k FROM f""")
+@query("""WITH m AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(DISTINCT user_id) AS n FROM events GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, CAST(t AS INT) AS t, CAST(s AS INT) AS s, n, 2 * (t + s - 1) < n AS safe, CAST(greatest(1, least(16, (n - 2 * t + 1) // 2)) AS INT) AS max_k FROM m, range(0, 4) a(t), range(1, 6) b(s)""")
 def safety_bound(spark, d):
-    # twenty (t, s) pairs times sixteen party counts: a fixed grid of literals
-    grid = spark.range(4 * 5 * 16).select((F.col("id") % 4).cast("int").alias("t"), (F.expr("id div 4") % 5 + 1).cast("int").alias("s"), (F.expr("id div 20") + 1).cast("int").alias("n"))
+    """For each day's active users as parties: whether thresholds and packings are safe, and the most."""
+    days = table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count_distinct("user_id").alias("n"))
+    grid = days.withColumn("t", F.explode(F.lit([0, 1, 2, 3]))).withColumn("s", F.explode(F.lit([1, 2, 3, 4, 5])))
     return grid.withColumns({"safe": 2 * (F.col("t") + F.col("s") - 1) < F.col("n"), "max_k": F.greatest(F.lit(1), F.least(F.lit(16), F.expr("cast((n - 2 * t + 1) div 2 as int)")))})
 
 

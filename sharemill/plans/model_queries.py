@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import field as fd
@@ -9,7 +11,7 @@ from ..operators import division, model, packed, plain, sharing, spatial
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
 from .algebra_queries import W, logits, probabilities
-from .registry import MLP, P, S, SOFTMAX, X, fix, h, mod, mul, query, rs
+from .registry import MEANS, MLP, P, S, SOFTMAX, X, fix, h, mod, mul, query, rs
 
 THREE = FieldSpec(n=5, k=3)
 ONE = FieldSpec()
@@ -124,15 +126,18 @@ def client_inference(spark, d):
 _SHAPE = (64, 8, 10)
 
 
-def _he_sql(n: int, rows: int, cols: int) -> str:
+def _he_sql(n: int, rows: str, cols: int) -> str:
     u = lambda k: f"(({h(chr(39) + 'he' + chr(39), chr(39) + f'w{n}' + chr(39), 'a.i', 'b.j', k)} + 0.5) / {1 << 60}::DOUBLE)"
-    return f"SELECT 'w{n}' AS layer, CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j, round(sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}) * sqrt(2.0 / {cols}), 9) AS v FROM range({rows}) a(i), range({cols}) b(j)"
+    return f"SELECT 'w{n}' AS layer, CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j, round(sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}) * sqrt(2.0 / {cols}), 9) AS v FROM (SELECT label AS i FROM {rows}) a, range({cols}) b(j)"
 
 
-@query(f"{_he_sql(1, 8, 64)} UNION ALL {_he_sql(2, 10, 8)} UNION ALL SELECT 'b1', CAST(i AS INT), 0, 0.0 FROM range(8) r(i) UNION ALL SELECT 'b2', CAST(i AS INT), 0, 0.0 FROM range(10) r(i)")
+@query(f"WITH l AS (SELECT DISTINCT label FROM embeddings) {_he_sql(1, 'l', 64)}")
 def he_weights(spark, d):
-    own = [(n, i, j, round(v, 9)) for n, i, j, v in plain.rows(plain.he_start(_SHAPE))]
-    return spark.createDataFrame(own, "layer string, i int, j int, v double")
+    """First weights of a layer with an output for each label, scaled by its inputs."""
+    labels = table(spark, d, "embeddings").select(F.col("label").alias("i")).distinct()
+    u = lambda k: (fd.hash60("he", "w1", F.col("i"), F.col("j"), k) + 0.5) / float(1 << 60)
+    v = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1)) * math.sqrt(2.0 / 64)
+    return labels.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(63)))).select(F.lit("w1").alias("layer"), "i", "j", F.round(v, 9).alias("v"))
 
 
 @query()
@@ -169,12 +174,12 @@ def _refresh_sql(label: str) -> str:
     return " + ".join(f"CAST({mul(h(chr(39) + label + chr(39), 'layer', 'i', 'j', k, 1), 'party')} AS HUGEINT)" for k in (1, 2, 3))
 
 
-@query(f"""WITH {MLP}, r AS (SELECT 'w1' AS layer, i, j, w FROM w1 UNION ALL SELECT 'w2', i, j, w FROM w2), s AS (SELECT layer, i, j, party, ({mod('w')} + {mul(h(chr(39) + 'weights' + chr(39), 'layer', 'i', 'j', 1), 'party')}) % {P} AS y FROM r, range(1, 4) p(party)),
+@query(f"""WITH {X}, {MEANS}, s AS (SELECT layer, i, j, party, ({mod('w')} + {mul(h(chr(39) + 'weights' + chr(39), 'layer', 'i', 'j', 1), 'party')}) % {P} AS y FROM pr, range(1, 4) p(party)),
 e AS (SELECT s.*, epoch, y + CASE WHEN epoch >= 2 THEN {_refresh_sql('epoch2')} ELSE 0 END + CASE WHEN epoch >= 4 THEN {_refresh_sql('epoch4')} ELSE 0 END AS v FROM s, range(1, 5) q(epoch))
 SELECT CAST(epoch AS INT) AS epoch, layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(party AS INT) AS party, CAST(v % {P} AS BIGINT) AS y FROM e""")
 def weights_refresh(spark, d):
-    """Shares of a model's weights over four epochs, refreshed in every second one."""
-    own = spark.createDataFrame([r for r in W.rows() if r[0][0] == "w"], "layer string, i int, j int, v long").withColumn("s", fd.field(F.col("v"), P)).drop("v")
+    """Shares of a layer's weights (each label's mean vector) over four epochs, refreshed in every second one."""
+    own = model.means(vectors(spark, d, S)).withColumn("s", fd.field(F.col("v"), P)).drop("v")
     key = ["layer", "i", "j"]
     shares, out = sharing.share(own, "s", key, ONE, "weights"), None
     for epoch in range(1, 5):

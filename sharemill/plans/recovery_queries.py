@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import field as fd
 from ..operators import membership, messages, model, recovery, sharing
-from ..sources.tables import table
+from ..sources.tables import table, vectors
 from ..spec import FieldSpec
-from .algebra_queries import W
 from .field_queries import FIVE, lam_sql, orders, shares_sql
-from .registry import P, W1, W2, h, msum, mul, query
+from .registry import MEANS, P, S, X, h, msum, mul, query
 from .run_queries import _TL, timeline
 
 OLD, NEW = [1, 2, 3, 4, 5], [2, 3, 5, 6]
@@ -58,15 +57,13 @@ def reshare_feasible(spark, d):
     return every.groupBy(F.coalesce("n", F.lit(0)).cast("long").alias("available")).agg(F.count("*").alias("scalars")).withColumn("feasible", F.col("available") >= FIVE.t + 1)
 
 
-_SHAPES = model.shapes(W)
-_START = {n: start for n, start, _, _ in _SHAPES}
+_SHAPES = [("w", 0, 10, 64)]
 
 
-@query(f"WITH {W1}, {W2}, r AS (SELECT 'w1' AS layer, i, j, w AS v FROM w1 UNION ALL SELECT 'b1', i, 0, 0 FROM range(8) t(i) UNION ALL SELECT 'w2', i, j, w FROM w2 UNION ALL SELECT 'b2', i, 0, 0 FROM range(10) t(i)), f AS (SELECT *, CASE layer " + " ".join(f"WHEN '{n}' THEN {start} + i * {cols} + j" for n, start, _, cols in _SHAPES) + " END AS pos FROM r) SELECT CAST(pos AS BIGINT) AS pos, layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, v AS y FROM f")
+@query(f"WITH {X}, {MEANS} SELECT CAST(i * 64 + j AS BIGINT) AS pos, layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, w AS y FROM pr")
 def weights_flatten(spark, d):
-    """Weights to places in one vector, and back by arithmetic on the shapes."""
-    rows = spark.createDataFrame(W.rows(), "layer string, i int, j int, v long")
-    flat = rows.select(model.flat_place(_SHAPES).alias("pos"), F.col("v").alias("y"))
+    """Weights (each label's mean vector) to places in one vector, and back by arithmetic on the shapes."""
+    flat = model.means(vectors(spark, d, S)).select(model.flat_place(_SHAPES).alias("pos"), F.col("v").alias("y"))
     return model.unflattened(flat, _SHAPES)
 
 

@@ -55,6 +55,8 @@ def rs(v: str, d: object) -> str:
 X = f"x AS (SELECT vec_id, label, unnest(range(0, 64)) AS j, {fix('unnest(embedding)')} AS y FROM embeddings)"
 W1 = f"w1 AS (SELECT a.i, b.j, {h(chr(39) + 'w1' + chr(39), 'a.i', 'b.j')} % {2 * S + 1} - {S} AS w FROM range(8) a(i), range(64) b(j))"
 W2 = f"w2 AS (SELECT a.i, b.j, {h(chr(39) + 'w2' + chr(39), 'a.i', 'b.j')} % {2 * S + 1} - {S} AS w FROM range(10) a(i), range(8) b(j))"
+#: The mean vector of each label as a layer's weights, in fixed point.
+MEANS = f"pr AS (SELECT 'w' AS layer, label AS i, j, {rs('CAST(sum(y) AS BIGINT)', 'count(*)')} AS w FROM x GROUP BY label, j)"
 MLP = f"""{X}, {W1}, {W2},
 z1 AS (SELECT x.vec_id, w1.i, {rs('sum(x.y * w1.w)', S)} AS z FROM x JOIN w1 USING (j) GROUP BY x.vec_id, w1.i),
 a1 AS (SELECT vec_id, i AS j, greatest(z, 0) AS a FROM z1),

@@ -70,10 +70,10 @@ def kvs_quorum(spark, d):
     return kv.quorum(nodes.withColumn("accepted", kept), ["key", "version", "o_orderkey"], 5)
 
 
-@query("SELECT event_type, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS members, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type")
+@query("SELECT event_type, count(DISTINCT user_id) AS n, min(user_id) AS first, max(user_id) AS last FROM events GROUP BY event_type")
 def committee(spark, d):
-    own = table(spark, d, "events").groupBy("event_type").agg(membership.committee(F.collect_set("user_id")).alias("m"))  # ids of one committee
-    return own.select("event_type", F.array_join(F.col("m").cast("array<string>"), ",").alias("members"), F.size("m").cast("long").alias("n"))
+    """A committee's size and ends; committee_members has its members in order."""
+    return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), F.min("user_id").alias("first"), F.max("user_id").alias("last"))
 
 
 @query("""WITH m AS (SELECT DISTINCT date_trunc('day', ts) AS day, user_id FROM events), p AS (SELECT a.day, count(b.user_id) AS stayed, count(*) AS members FROM m a LEFT JOIN m b ON b.user_id = a.user_id AND b.day = a.day - INTERVAL 1 DAY GROUP BY a.day)
@@ -218,11 +218,14 @@ def loss_delta(spark, d):
     return daily(spark, d).agg(F.round(F.max_by("loss", "day") - F.min_by("loss", "day"), 6).alias("delta"), F.count("*").alias("days"))
 
 
-@query("WITH r AS (SELECT label, vec_id, embedding[1] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT label, round(sqrt(sum(CAST(v AS DOUBLE) * v) * max(n) / count(*)), 6) AS norm, count(*) AS sampled FROM r WHERE rn <= 32 GROUP BY label")
+@query("""WITH r AS (SELECT label, list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v)) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT label, round(sqrt(sum(v) * max(n) / count(*)), 6) AS norm, count(*) AS sampled FROM r WHERE rn <= 32 GROUP BY label""")
 def grad_norm_estimate(spark, d):
-    w = Window.partitionBy("label")
-    own = table(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("v"), F.row_number().over(w.orderBy("vec_id")).alias("rn"), F.count("*").over(w).alias("n"))
-    return own.where("rn <= 32").groupBy("label").agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v")) * F.max("n") / F.count("*")), 6).alias("norm"), F.count("*").alias("sampled"))
+    """A layer's norm over all components from its first 32 vectors, scaled to all of them."""
+    own = table(spark, d, "embeddings").select("label", "vec_id", F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v).alias("v"))
+    n = own.groupBy("label").agg(F.count("*").alias("n"))
+    some = metrics.k_least(own, "label", "vec_id", 32).groupBy("label").agg(F.sum("v").alias("v"), F.count("*").alias("sampled"))
+    return some.join(n, "label").select("label", F.round(F.sqrt(F.col("v") * F.col("n") / F.col("sampled")), 6).alias("norm"), "sampled")
 
 
 @query("WITH a AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, date_trunc('month', o_orderdate) AS m FROM orders) SELECT CAST(m AS VARCHAR) AS month, CAST(count_if(k > 1) AS BIGINT) AS hits, CAST(count_if(k = 1) AS BIGINT) AS misses FROM a GROUP BY m")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import field as fd
-from ..operators import cluster, kv, membership, sharing
+from ..operators import cluster, kv, membership, model, sharing
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
-from .algebra_queries import W, logits
-from .registry import MLP, P, S, X, fix, h, mod, mul, query
+from .algebra_queries import logits
+from .registry import MEANS, MLP, P, S, X, fix, h, mod, mul, query
 from .run_queries import _LOG, log
 
 ONE = FieldSpec()
@@ -134,10 +134,10 @@ def dataset_receive(spark, d):
     return own.join(F.broadcast(meta.withColumnRenamed("samples", "all")), F.lit(True)).select("party", "samples", "cells", ((F.col("samples") == F.col("all")) & (F.col("least") == 65)).alias("complete"))
 
 
-@query(f"WITH {MLP}, r AS (SELECT 'w1' AS layer, i, j, w FROM w1 UNION ALL SELECT 'w2', i, j, w FROM w2) SELECT layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(party AS INT) AS party, ({mod('w')} + {mul(h(chr(39) + 'weights' + chr(39), 'layer', 'i', 'j', 1), 'party')}) % {P} AS y FROM r, range(1, 4) p(party)")
+@query(f"WITH {X}, {MEANS} SELECT layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(party AS INT) AS party, ({mod('w')} + {mul(h(chr(39) + 'weights' + chr(39), 'layer', 'i', 'j', 1), 'party')}) % {P} AS y FROM pr, range(1, 4) p(party)")
 def weights_share(spark, d):
-    """A model's weights, as many as its shape has, shared by one dealer for all parties."""
-    own = spark.createDataFrame([r for r in W.rows() if r[0][0] == "w"], "layer string, i int, j int, v long").withColumn("s", fd.field(F.col("v"), P)).drop("v")
+    """A layer's weights (each label's mean vector), shared by one dealer for all parties."""
+    own = model.means(vectors(spark, d, S)).withColumn("s", fd.field(F.col("v"), P)).drop("v")
     return sharing.share(own, "s", ["layer", "i", "j"], ONE, "weights")
 
 
