@@ -375,8 +375,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str], list[i
     known = labels.where(F.col("toxic").isNotNull() & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     turn = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*turn).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(*turn).limit(MOST_CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))[: MOST_TOXIC + MOST_CLEAN]
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    # however many rows share an id: tasks keep so many at most
+    rows = sorted(rows.orderBy("doc_id", "text").limit(MOST_TOXIC + MOST_CLEAN).collect(), key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
 
 
