@@ -288,3 +288,60 @@ def test_targets_that_cannot_be_met(spark):
     one = df.withColumn("topic", mixing.F.when(mixing.F.col("doc_id") % 5 == 0, "s").otherwise(mixing.F.col("source")))
     got = mixing.mix(one, ["source", "lang", "topic"]).collect()
     assert len(got) == len(rows) and all(0 < r.probability <= 1 for r in got)
+
+
+def loop_score(net, text):
+    """The scorer for one text, word by word: inputs, both gates' recurrences, attention and the largest
+    window, with plain sums."""
+    import math
+
+    def sig(x):
+        return 1 / (1 + math.exp(-x))
+
+    def times(x, m):
+        return [sum(float(a) * float(b) for a, b in zip(x, col, strict=True)) for col in m.T]
+
+    words, h, p = toxicity.tokens(text), toxicity.HIDDEN, net.p
+    best = -math.inf
+    for lo, hi in toxicity.windows(len(words)):
+        own = words[lo:hi]
+        if not own:
+            best = max(best, float(p["co"][0]))
+            continue
+        x = [[float(v) for v in row] for row in net.inputs(own)[0]]
+        states = [[0.0] * (2 * h) for _ in x]
+        for k, way in enumerate("fb"):
+            s = [0.0] * h
+            for t in range(len(x)) if way == "f" else reversed(range(len(x))):
+                inp, hid = [a + float(b) for a, b in zip(times(x[t], p[f"W{way}"]), p[f"c{way}"], strict=True)], times(s, p[f"U{way}"])
+                z = [sig(inp[i] + hid[i]) for i in range(h)]
+                r = [sig(inp[h + i] + hid[h + i]) for i in range(h)]
+                c = [math.tanh(inp[2 * h + i] + r[i] * hid[2 * h + i]) for i in range(h)]
+                s = [c[i] + z[i] * (s[i] - c[i]) for i in range(h)]
+                states[t][k * h : (k + 1) * h] = s
+        e = [sum(math.tanh(a + float(b)) * float(v) for a, b, v in zip(times(st, p["Wa"]), p["ca"], p["va"], strict=True)) for st in states]
+        w = [math.exp(v - max(e)) for v in e]
+        pooled = [sum(a * st[i] for a, st in zip(w, states, strict=True)) / sum(w) for i in range(2 * h)]
+        best = max(best, sum(a * float(b) for a, b in zip(pooled, p["wo"], strict=True)) + float(p["co"][0]))
+    return sig(net.scale * best + net.shift)
+
+
+def test_the_scorer_equals_loops(spark):
+    rng = random.Random(6)
+    bad, good = ["vile", "awful", "hate"], [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(good + bad * (k % 2)) for _ in range(5 + k % 40)) for k in range(80)]
+    net = toxicity.fit(texts, [k % 2 for k in range(80)])
+    shown = [None, "", "one", texts[1], texts[2], " ".join(texts[:6]), "été 😀 VILE awful!", "x" * 300, "hate " * 70, texts[3] + " " + texts[4]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(shown)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.score(df, net).collect()}
+    assert all(abs(got[k] - loop_score(net, t)) < 1e-4 for k, t in enumerate(shown))
+    assert max(got.values()) - min(got.values()) > 0.2
+
+
+def test_the_training_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 3)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 4)
+    docs = spark.range(500).selectExpr("id % 2 as doc_id", "concat('t', lpad(id, 4, '0')) as text")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, lambda c: c.isNotNull())
+    assert texts == [f"t{2 * k:04d}" for k in range(7)] and y == [1] * 7
