@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.field import element, modsum, mulmod, submod
+from ..functions.lagrange import basis
 from ..spec import FieldSpec
 from .sharing import at_party, masks, own_share, weighted
 
@@ -51,3 +52,32 @@ def multiply(x: DataFrame, y: DataFrame, key: Sequence[str], spec: FieldSpec) ->
     terms = F.col("_t.c") + mulmod(F.col("d"), F.col("_t.b"), p)
     terms = (terms % p + mulmod(F.col("e"), F.col("_t.a"), p)) % p
     return own.select(*key, "_t.party", ((terms + F.col("_de")) % p).alias("y"))
+
+
+def multiply_rows(df: DataFrame, x: str, y: str, key: Sequence[str], spec: FieldSpec, labels: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """df(key, x, y), two secrets of a row -> (key, party, y): shares of their products. What parties send
+    each other about a row starts and ends in that row, so the differences are opened within it, every
+    hash is taken once, and nothing is shuffled."""
+    p, use = spec.p, spec.parties[: spec.t + 1]
+    keys = [F.col(k) for k in key]
+    a, b, _ = triple(keys, spec)
+    own = df.withColumns({"_a": a, "_b": b}).withColumn("_c", mulmod(F.col("_a"), F.col("_b"), p))
+    names = {"x": labels[0], "y": labels[1], **{n: f"triple_{n}" for n in "abc"}}
+    own = own.withColumns({f"_m{n}{k}": m for n, label in names.items() for k, m in enumerate(masks(spec, label, *keys))})
+    held = lambda n, secret, i: at_party(F.col(secret), i, [F.col(f"_m{n}{k}") for k in range(spec.t)], p)
+
+    def opened(n: str, secret: str, mask: str) -> Column:
+        parts = [mulmod(submod(held(n, secret, i), held(mask, f"_{mask}", i), p), lam, p) for i, lam in zip(use, basis(use, 0, p), strict=True)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = (out + part) % p
+        return out
+
+    own = own.withColumns({"_d": opened("x", x, "a"), "_e": opened("y", y, "b")}).withColumn("_de", mulmod(F.col("_d"), F.col("_e"), p))
+
+    def product(i: int) -> Column:
+        terms = (held("c", "_c", i) + mulmod(F.col("_d"), held("b", "_b", i), p)) % p
+        return ((terms + mulmod(F.col("_e"), held("a", "_a", i), p)) % p + F.col("_de")) % p
+
+    rows = F.array(*(F.struct(F.lit(i).alias("party"), product(i).alias("y")) for i in spec.parties))
+    return own.select(*key, F.explode(rows).alias("_t")).select(*key, "_t.party", "_t.y")

@@ -172,9 +172,7 @@ def beaver_triples(spark, d):
 def beaver_multiply(spark, d):
     own = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     own = own.select("o_orderkey", fd.encode(F.col("o_totalprice"), ONE).alias("s"), fd.encode(F.col("c_acctbal"), ONE).alias("v"))
-    x = sharing.share(own.select("o_orderkey", "s"), "s", ["o_orderkey"], ONE, "left")
-    y = sharing.share(own.select("o_orderkey", "v"), "v", ["o_orderkey"], ONE, "right")
-    return sharing.reconstruct(beaver.multiply(x, y, ["o_orderkey"], ONE), ["o_orderkey"], ONE, out="product")
+    return sharing.reconstruct(beaver.multiply_rows(own, "s", "v", ["o_orderkey"], ONE), ["o_orderkey"], ONE, out="product")
 
 
 @query(f"WITH {EVENTS} SELECT event_id, CAST(0 AS INT) AS lane, {mul('s0', 's0')} AS product FROM e UNION ALL SELECT event_id, CAST(1 AS INT), {mul('s1', 's1')} FROM e")

@@ -10,7 +10,7 @@ from ..functions import field as fd
 from ..operators import division, model, packed, plain, sharing, spatial
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
-from .algebra_queries import W, logits, probabilities
+from .algebra_queries import _GRADS, W, logits, probabilities
 from .registry import MEANS, MLP, P, S, SOFTMAX, X, fix, h, mod, mul, query, rs
 
 THREE = FieldSpec(n=5, k=3)
@@ -126,6 +126,10 @@ def client_inference(spark, d):
 _SHAPE = (64, 8, 10)
 
 
+#: Of a layer with 64 inputs and 10 outputs.
+_GLOROT = math.sqrt(6 / 74)
+
+
 def _he_sql(n: int, rows: str, cols: int) -> str:
     u = lambda k: f"(({h(chr(39) + 'he' + chr(39), chr(39) + f'w{n}' + chr(39), 'a.i', 'b.j', k)} + 0.5) / {1 << 60}::DOUBLE)"
     return f"SELECT 'w{n}' AS layer, CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j, round(sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}) * sqrt(2.0 / {cols}), 9) AS v FROM (SELECT label AS i FROM {rows}) a, range({cols}) b(j)"
@@ -140,6 +144,25 @@ def he_weights(spark, d):
     return labels.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(63)))).select(F.lit("w1").alias("layer"), "i", "j", F.round(v, 9).alias("v"))
 
 
+@query(f"SELECT 'w1' AS layer, label AS i, CAST(j AS INT) AS j, round(({h(chr(39) + 'glorot' + chr(39), 'label', 'j')} + 0.5) / {1 << 60}::DOUBLE * 2 * {_GLOROT!r} - {_GLOROT!r}, 9) AS v FROM (SELECT DISTINCT label FROM embeddings), range(64) r(j)")
+def glorot_weights(spark, d):
+    """First weights of the same layer, uniform within the square root of 6 over inputs and outputs."""
+    labels = table(spark, d, "embeddings").select(F.col("label").alias("i")).distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    u = (fd.hash60("glorot", F.col("i"), F.col("j")) + 0.5) / float(1 << 60)
+    return labels.select(F.lit("w1").alias("layer"), "i", "j", F.round(u * 2 * _GLOROT - _GLOROT, 9).alias("v"))
+
+
+@query(f"WITH {_GRADS} SELECT layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(y AS BIGINT) AS y FROM gr")
+def packed_gradients(spark, d):
+    """Gradients from packed rows: they are unpacked to lane shares, the lanes are opened, and a row is put
+    together again by place."""
+    lanes = packed.to_lanes(packed_vector_share(spark, d), ["vec_id"], THREE)
+    cells = sharing.reconstruct(lanes, ["vec_id", "idx"], THREE, out="s").select("vec_id", F.struct("idx", fd.lift(F.col("s"), P).alias("y")).alias("c"))
+    rows = cells.groupBy("vec_id").agg(F.array_sort(F.collect_list("c")).alias("c"))  # 64 cells a row
+    own = rows.select("vec_id", F.col("c.y").alias("x")).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    return model.gradients(own, W, S)
+
+
 @query()
 def plain_train(spark, d):
     """Two epochs in doubles over all embeddings; weights as (layer, i, j, v). Tests compare a loop."""

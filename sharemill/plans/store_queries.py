@@ -57,11 +57,16 @@ def kvs_replica_lag(spark, d):
 
 
 #: Weights in the store: a vector is a put of the weights of its label's layer.
-_PUT = "p AS (SELECT concat('weights/', label, '/current') AS key, vec_id, vec_id % 37 AS version, embedding FROM embeddings)"
+_PUT = "p AS (SELECT concat('weights/', label, '/', vec_id // 100, '/current') AS key, vec_id, vec_id % 37 AS version, embedding FROM embeddings)"
+
+
+def _layer():
+    """A layer's name: a label and a block of its vectors, so layers grow in number with the table."""
+    return F.concat(F.col("label").cast("string"), F.lit("/"), F.expr("vec_id div 100").cast("string"))
 
 
 def puts(spark, d):
-    return table(spark, d, "embeddings").select(F.concat(F.lit("weights/"), F.col("label").cast("string"), F.lit("/current")).alias("key"), "vec_id", (F.col("vec_id") % 37).alias("version"), F.col("embedding").alias("value"))
+    return table(spark, d, "embeddings").select(F.concat(F.lit("weights/"), _layer(), F.lit("/current")).alias("key"), "vec_id", (F.col("vec_id") % 37).alias("version"), F.col("embedding").alias("value"))
 
 
 @query(f"WITH {_PUT}, c AS (SELECT key, version, embedding FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, vec_id) = 1), u AS (SELECT key, version, unnest(range(0, 64)) AS j, {fix('unnest(embedding)')} AS y FROM c WHERE version >= 3) SELECT key, version, CAST(j AS INT) AS j, y FROM u")
@@ -77,26 +82,26 @@ def weights_put(spark, d):
     return own.select("vec_id", F.concat(F.lit("weights/v"), F.col("version").cast("string")).alias("versioned_key"), "accepted")
 
 
-_COMMIT = """WITH RECURSIVE q AS (SELECT label, vec_id, CAST(vec_id % 5 + (vec_id // 20) % 400 AS BIGINT) AS version, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq FROM embeddings),
-f AS (SELECT label, seq, vec_id, version, version - 1 IN (0, -1) AS success, CASE WHEN version - 1 IN (0, -1) THEN version END AS current FROM q WHERE seq = 1
-UNION ALL SELECT q.label, q.seq, q.vec_id, q.version, CASE WHEN f.current IS NULL THEN q.version - 1 IN (0, -1) ELSE q.version - 1 = f.current END,
-CASE WHEN CASE WHEN f.current IS NULL THEN q.version - 1 IN (0, -1) ELSE q.version - 1 = f.current END THEN q.version ELSE f.current END FROM f JOIN q ON q.label = f.label AND q.seq = f.seq + 1)"""
+_COMMIT = """WITH RECURSIVE q AS (SELECT concat(label, '/', vec_id // 100) AS layer, vec_id, CAST(vec_id % 5 + (vec_id // 20) % 400 AS BIGINT) AS version, row_number() OVER (PARTITION BY concat(label, '/', vec_id // 100) ORDER BY vec_id) AS seq FROM embeddings),
+f AS (SELECT layer, seq, vec_id, version, version - 1 IN (0, -1) AS success, CASE WHEN version - 1 IN (0, -1) THEN version END AS current FROM q WHERE seq = 1
+UNION ALL SELECT q.layer, q.seq, q.vec_id, q.version, CASE WHEN f.current IS NULL THEN q.version - 1 IN (0, -1) ELSE q.version - 1 = f.current END,
+CASE WHEN CASE WHEN f.current IS NULL THEN q.version - 1 IN (0, -1) ELSE q.version - 1 = f.current END THEN q.version ELSE f.current END FROM f JOIN q ON q.layer = f.layer AND q.seq = f.seq + 1)"""
 
 
 def attempts(spark, d):
     """Commits of a layer's next version that expect the one before."""
     version = (F.col("vec_id") % 5 + F.expr("vec_id div 20") % 400).cast("long")
-    return table(spark, d, "embeddings").select("label", "vec_id", version.alias("version"), (version - 1).alias("expected"))
+    return table(spark, d, "embeddings").select(_layer().alias("layer"), "vec_id", version.alias("version"), (version - 1).alias("expected"))
 
 
-@query(f"{_COMMIT} SELECT label, vec_id, version, success, current FROM f")
+@query(f"{_COMMIT} SELECT layer, vec_id, version, success, current FROM f")
 def weights_put_cas(spark, d):
-    return kv.compare_and_set(attempts(spark, d), "label", ["vec_id"]).select("label", "vec_id", "version", "success", "current")
+    return kv.compare_and_set(attempts(spark, d), "layer", ["vec_id"]).select("layer", "vec_id", "version", "success", "current")
 
 
-@query(f"{_COMMIT} SELECT label, max(version) AS version, max(CASE WHEN vec_id % 3 <> 0 THEN version END) AS mirror_version, count(*) AS commits, coalesce(max(CASE WHEN vec_id % 3 <> 0 THEN version END) < max(version), true) AS repaired FROM f WHERE success GROUP BY label")
+@query(f"{_COMMIT} SELECT layer, max(version) AS version, max(CASE WHEN vec_id % 3 <> 0 THEN version END) AS mirror_version, count(*) AS commits, coalesce(max(CASE WHEN vec_id % 3 <> 0 THEN version END) < max(version), true) AS repaired FROM f WHERE success GROUP BY layer")
 def model_commits(spark, d):
-    return cluster.commits(attempts(spark, d), "label", ["vec_id"], F.col("vec_id") % 3 != 0)
+    return cluster.commits(attempts(spark, d), "layer", ["vec_id"], F.col("vec_id") % 3 != 0)
 
 
 @query("""WITH l AS (SELECT event_id % 500 AS step, CASE WHEN event_type IN ('view', 'click') THEN 'inputs' ELSE 'targets' END AS side, event_id // 500 AS version, event_id, value FROM events),
