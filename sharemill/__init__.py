@@ -10,10 +10,10 @@ from .spec import P31, P32, P61, FieldSpec, most_packed, safe
 _MODULES = {
     "functions": ["field", "lagrange", "limbs"],
     "operators": [
-        "beaver", "blocks", "chain", "cluster", "collective", "division", "kv", "linalg", "logs", "membership", "memo", "messages", "metrics", "model",
+        "beaver", "blocks", "chain", "cluster", "collective", "division", "frames", "kv", "linalg", "logs", "membership", "memo", "messages", "metrics", "model",
         "nonlinear", "packed", "plain", "recovery", "sharing", "spatial",
     ],
-    "sources": ["batches", "tables"],
+    "sources": ["arrays", "batches", "tables"],
     "streaming": ["folds", "streams"],
 }
 _HOMES = {name: home for home, names in _MODULES.items() for name in names}

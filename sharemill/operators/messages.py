@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words in an error's text that mark it as one that passes.
+#: Words in an error's text that mark it as one that passes.
 PASSING = "timeout|temporar|unavailable|reset by peer|connection refused"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import field as fd
 from ..functions.tables import register
-from ..operators import chain, collective, memo, nonlinear, sharing
+from ..operators import chain, collective, frames, memo, nonlinear, sharing
 from ..sources.tables import table, vectors
 from ..spec import FieldSpec
 from ..streaming.streams import shared_dir
@@ -118,3 +118,23 @@ def sql_shamir_share(spark, d):
     """shamir_share as a table function in a SQL query."""
     register(spark)
     return spark.sql("SELECT o.o_orderkey, s.party, s.y FROM {own} o, LATERAL shamir_share(o.s, 3, 1, CAST(o.o_orderkey AS STRING)) s", own=orders(spark, d))
+
+
+@query("SELECT conv_id, turn, role, sha256(coalesce(text, '')) AS text_hash, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM conversations")
+def frames_round_trip(spark, d):
+    """Every conversation is a stream of frames, a turn's text its payload, cut into chunks of 1,000 bytes
+    and split into frames again."""
+    own = table(spark, d, "conversations")
+    header = F.to_json(F.struct("turn", "role"))
+    sent = own.select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), frames.frame(header, F.coalesce("text", F.lit("")).cast("binary")).alias("frame"))
+    got = frames.split(frames.chunked(sent, 1000)).where("error is null")
+    head = F.from_json("header", "turn long, role string")
+    return got.select(F.col("stream").alias("conv_id"), head["turn"].alias("turn"), head["role"].alias("role"), F.sha2("payload", 256).alias("text_hash"), F.length("payload").cast("long").alias("bytes"))
+
+
+@query(f"WITH {X}, m AS (SELECT vec_id, max({mod('y')}) > 4294967295 AS wide FROM x GROUP BY vec_id) SELECT x.vec_id, CAST(j AS INT) AS j, {mod('y')} AS y, CASE WHEN wide THEN 8 ELSE 4 END AS width FROM x JOIN m USING (vec_id)")
+def vector_codec(spark, d):
+    """Vectors of field elements as bytes of 4 or 8 a value, and back."""
+    own = vectors(spark, d, S).select("vec_id", F.transform("x", lambda v: fd.field(v, P)).alias("v")).withColumn("width", frames.width(F.col("v")))
+    sent = own.select("vec_id", "width", frames.vector_bytes(F.col("v"), F.col("width")).alias("payload"))
+    return sent.select("vec_id", "width", F.posexplode_outer(frames.vector_of(F.col("payload"), F.col("width"))).alias("j", "y"))
