@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
 from .text import slices
 
 #: Labelled rows fitted on: the first of each label by a hash of doc_id, with their whole texts.
@@ -376,8 +377,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str], list[i
     turn = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*turn).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(*turn).limit(MOST_CLEAN))
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
-    # however many rows share an id: tasks keep so many at most
-    rows = sorted(rows.orderBy("doc_id", "text").limit(MOST_TOXIC + MOST_CLEAN).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    # however many rows share an id: tasks keep so many at most, which meet in one that isn't the driver
+    rows = materialize(rows.orderBy("doc_id", "text").limit(MOST_TOXIC + MOST_CLEAN), "sample")
+    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
 
 
