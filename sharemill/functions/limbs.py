@@ -25,16 +25,16 @@ def _limbs(x: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def matmul(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """a @ b mod p for entries in [0, p), as unsigned 64-bit integers. For 2^61 - 1 and primes below 2^32;
-    longer contractions than MOST_TERMS are cut."""
+    """a @ b mod p for entries in [0, p), as unsigned 64-bit integers; stacks of matrices too. For 2^61 - 1 and
+    primes below 2^32; longer contractions than MOST_TERMS are cut."""
     if p != P61 and p >= 1 << 32:
         raise ValueError("p must be 2^61 - 1 or below 2^32")
-    if a.shape[1] > MOST_TERMS:
+    if a.shape[-1] > MOST_TERMS:
         half = MOST_TERMS
-        return add(matmul(a[:, :half], b[:half], p), matmul(a[:, half:], b[half:], p), p)
+        return add(matmul(a[..., :half], b[..., :half, :], p), matmul(a[..., half:], b[..., half:, :], p), p)
     n = -(-p.bit_length() // LIMB)
     left, right = _limbs(a.astype(np.uint64), n), _limbs(b.astype(np.uint64), n)
-    out = np.zeros((a.shape[0], b.shape[1]), np.uint64)
+    out = np.zeros((*a.shape[:-1], b.shape[-1]), np.uint64)
     for i in range(n):
         for j in range(n):
             part = (left[i] @ right[j]).astype(np.uint64)

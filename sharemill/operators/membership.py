@@ -32,11 +32,12 @@ def placed(members: DataFrame, committee: str, member: str, width: int = 4096) -
 SPAN_ROWS, MOST_SPANS = 1 << 20, 1 << 14
 
 
-def spans(df: DataFrame, ts: str) -> Column:
+def spans(df: DataFrame, ts: str, aim: int | None = None) -> Column:
     """A number that rises with ts and splits the rows into about even parts: how many of some quantiles
-    of ts lie at or below it. Rows of one instant share a span; nulls come first."""
+    of ts lie at or below it. Rows of one instant share a span; nulls come first. aim: rows of a span, if
+    not SPAN_ROWS."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    n = min(MOST_SPANS, -(-df.count() // SPAN_ROWS))
+    n = min(MOST_SPANS, -(-df.count() // (aim or SPAN_ROWS)))
     found = df.agg(F.percentile_approx(us, [k / n for k in range(1, n)], 4 * n)).first()[0] if n > 1 else None
     cuts = sorted(set(found or []))
     if not cuts:

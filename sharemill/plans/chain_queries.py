@@ -53,15 +53,15 @@ a AS (SELECT event_id, party, coalesce(last_value(st IGNORE NULLS) OVER (PARTITI
 
 @query(f"WITH {_CHAIN}, {shares_sql(MANY.n)}, n AS (SELECT count(*) AS n FROM events) SELECT sh.o_orderkey, a.event_id, CAST(sh.party AS INT) AS party, sh.y FROM sh, n, a WHERE a.event_id = sh.o_orderkey % n.n AND a.party = sh.party AND a.active = 1")
 def committee_chain_shares(spark, d):
-    """Every order's shares as its committee holds them after an event of the log: the first shares go
-    through all changes of the committee up to then, by one join with their product."""
+    """Every order's shares as its committee holds them after an event of the log: orders meet their event's
+    span of the log, and the first shares go through all changes of the committee up to then."""
     kind = F.when(F.col("event_type") == "signup", chain.JOIN).when(F.col("event_type") == "error", chain.DROP)
     log = table(spark, d, "events").select("event_id", "ts", (F.col("user_id") % MANY.n + 1).alias("party"), kind.alias("kind"))
-    found = chain.scanned(chain.products(log, "ts", "event_id", "party", "kind", MANY), MANY)
-    own = orders(spark, d).withColumns({f"_m{k}": m for k, m in enumerate(sharing.masks(MANY, "share", F.col("o_orderkey")))})
+    found = chain.scanned(chain.products(log, "ts", "event_id", "party", "kind", MANY, fallback=True), MANY)
+    own = chain.located(orders(spark, d).withColumn("event_id", F.col("o_orderkey") % log.count()), found, "event_id")
+    own = own.withColumns({f"_m{k}": m for k, m in enumerate(sharing.masks(MANY, "share", F.col("o_orderkey")))})
     first = F.array(*(sharing.at_party(F.col("s"), i, [F.col(f"_m{k}") for k in range(MANY.t)], P) for i in MANY.parties))
-    first = own.select("o_orderkey", (F.col("o_orderkey") % log.count()).alias("event_id"), first.alias("shares"))
-    return chain.moved(first, ["o_orderkey"], found, "event_id", MANY)
+    return chain.moved(own.select("o_orderkey", "event_id", "at_span", "at_place", first.alias("shares")), ["o_orderkey"], found, "event_id", MANY)
 
 
 @query(f"WITH {_CHAIN}, {shares_sql(MANY.n)}, n AS (SELECT count(*) AS n FROM events) SELECT DISTINCT sh.o_orderkey, sh.s AS secret FROM sh, n, a WHERE a.event_id = sh.o_orderkey % n.n AND a.party = sh.party AND a.active = 1")

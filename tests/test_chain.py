@@ -155,3 +155,34 @@ def test_table_function_equals_the_operator(spark):
     want = sharing.share(df.where("s is not null"), "s", ["id"], spec).select("id", "party", "y").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert spark.sql("SELECT * FROM shamir_share(7, 3, 0, 'x')").count() == 3
+
+
+@pytest.mark.parametrize("span_rows,asked_rows", [(1 << 14, 1 << 16), (8, 5)])
+def test_chain_keeps_shares_that_a_small_committee_would_lose(spark, monkeypatch, span_rows, asked_rows):
+    monkeypatch.setattr(chain, "SPAN_ROWS", span_rows)
+    monkeypatch.setattr(chain, "ASKED_ROWS", asked_rows)
+    monkeypatch.setattr(chain, "ROWS_AT_ONCE", 7)
+    spec, kinds = FieldSpec(n=4, t=1), ["drop"] * 4 + ["join"] * 4
+    log = [(k, 10 * k, None if k % 9 == 8 else k % 4 + 1, kinds[k % 8]) for k in range(60)]  # all leave, all come back; some parties are unknown
+    events = spark.createDataFrame(log, "event_id long, s long, party int, kind string").select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "party", "kind").repartition(3)
+    found = chain.scanned(chain.products(events, "ts", "event_id", "party", "kind", spec, fallback=True), spec)
+    share = lambda k, j: (k + (k * k + 3) * j) % P61
+    first = spark.createDataFrame([(k, k % 60, [share(k, j) for j in range(1, 5)]) for k in range(200)], "k long, event_id long, shares array<long>")
+    got = {(r.k, r.party): r.y for r in chain.moved(first, ["k"], found, "event_id", spec).collect()}
+    active, after = {1, 2, 3, 4}, []
+    for _, _, p, kind in log:
+        active = active if p is None else active | {p} if kind == "join" else active - {p}
+        after.append(active)
+    assert got == {(k, j): share(k, j) for k in range(200) for j in after[k % 60]}
+
+
+def test_chain_has_a_matrix_for_a_span_only(spark, monkeypatch):
+    monkeypatch.setattr(chain, "SPAN_ROWS", 100)
+    spec = FieldSpec(n=24)
+    events = spark.range(1000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts", "cast(id * 7 % 24 + 1 as int) as party", "if(id % 2 = 0, 'join', 'drop') as kind")
+    found = chain.products(events, "ts", "event_id", "party", "kind", spec, fallback=True).collect()
+    sizes = {}
+    for r in found:
+        sizes.setdefault(r.span, []).append(r.m is not None)
+    assert len(found) == 1000 and len(sizes) >= 9 and all(sum(s) == 1 for s in sizes.values())
+    assert max(map(len, sizes.values())) <= 200
