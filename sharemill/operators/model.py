@@ -118,6 +118,53 @@ def step(w: Weights, grads: list, rate: int, scale: int, batch: int) -> Weights:
     return Weights(own["w1"].tolist(), own["b1"].tolist(), own["w2"].tolist(), own["b2"].tolist())
 
 
+def _flat(w: Weights) -> np.ndarray:
+    return np.array([r[3] for n in ("w1", "b1", "w2", "b2") for r in w.rows() if r[0] == n], np.int64)
+
+
+def _weights(flat: np.ndarray, of: list[tuple[str, int, int, int]]) -> Weights:
+    parts = {n: flat[start : start + rows * cols].reshape(rows, cols) for n, start, rows, cols in of}
+    return Weights(**{n: v.tolist() if n[0] == "w" else v[:, 0].tolist() for n, v in parts.items()})
+
+
+def _near(v: np.ndarray, d: np.ndarray | int) -> np.ndarray:
+    """v / d to the nearest, halves away from zero, as functions.field.rescale has it."""
+    size = (2 * np.abs(v) + d) // (2 * np.asarray(d))
+    return np.where(v < 0, -size, size)
+
+
+def _bounded(a: np.ndarray, b: np.ndarray | int, terms: int = 1) -> None:
+    """An error where sums of so many products could leave 64 bits, as Spark's arithmetic has it."""
+    if a.size and terms * max(abs(int(a.max())), abs(int(a.min()))) * (max(abs(int(b.max())), abs(int(b.min()))) if isinstance(b, np.ndarray) else b) >= 1 << 61:
+        raise OverflowError("products leave 64 bits")
+
+
+def _dense(x: np.ndarray, w: np.ndarray, scale: int) -> np.ndarray:
+    _bounded(x, w, w.shape[1])
+    return _near(x @ w.T, scale)
+
+
+def _outer(d: np.ndarray, x: np.ndarray, scale: int) -> np.ndarray:
+    """Sums over rows of d's products with x, each rounded."""
+    _bounded(d, x, len(x))
+    return _near(d[:, :, None] * x[:, None, :], scale).sum(axis=0)
+
+
+def batch_gradients(x: np.ndarray, label: np.ndarray, w: dict[str, np.ndarray], scale: int) -> dict[str, np.ndarray]:
+    """gradients() of one minibatch, the same integers: for steps that follow each other within a task."""
+    z1 = _dense(x, w["w1"], scale) + w["b1"]
+    a1 = np.maximum(z1, 0)
+    z = _dense(a1, w["w2"], scale) + w["b2"]
+    c = np.clip(z - z.max(axis=1, keepdims=True), -4 * scale, 4 * scale)
+    square, half = _near(_near(c * c, scale), 12), _near(c, 2)
+    e = np.clip(_near((square + half + scale) * scale, square - half + scale), 1, scale * 55)
+    p = np.clip(_near(e * scale, e.sum(axis=1, keepdims=True)), 0, scale)
+    p[np.arange(len(p)), p.argmax(axis=1)] += scale - p.sum(axis=1)
+    d2 = p - scale * (np.arange(p.shape[1]) == label[:, None])
+    d1 = np.where(z1 > 0, _dense(d2, w["w2"].T, scale), 0)
+    return {"w1": _outer(d1, x, scale), "b1": d1.sum(axis=0), "w2": _outer(d2, a1, scale), "b2": d2.sum(axis=0)}
+
+
 class Paused(RuntimeError):
     """A run that stopped between steps: its commits stay, and the same call goes on from the last."""
 
@@ -131,11 +178,12 @@ def train(
     x: DataFrame, w: Weights, scale: int, rate: float, batch: int, epochs: int, seed: int = 2026, decay: float = 0.95,
     base: str | None = None, pauses: Callable[[int], tuple[str, int] | None] | None = None, stop_after: int | None = None,
 ) -> Weights:
-    """Minibatches of a keyed order per epoch, slices of exactly `batch` rows (the last is shorter), each
-    one job over its own rows; a step divides by the rows that it had. Only gradients of the model's
-    size reach the driver. x(id, x, label).
+    """Minibatches of a keyed order per epoch, slices of exactly `batch` rows (the last is shorter). A stretch of
+    slices is one job, in which one task takes their steps one after the other; a slice above
+    batches.STRETCH_ROWS is a job of its own over many tasks. A step divides by the rows that it had. Only
+    weights or gradients of the model's size reach the driver. x(id, x, label).
 
-    Under base lie the epoch's rows, clustered by batch, and the weights after each step: a call
+    Under base lie the epoch's rows, clustered by batch, and the weights after each job: a call
     with the same base goes on after the last commit. pauses(step) may name a reason and the members
     left; a pause that recovered() ends tries the same batch again, another one raises Paused, as
     does stop_after, a number of steps. An empty table leaves the weights as they are."""
@@ -149,17 +197,37 @@ def train(
     at = 0
     if found:
         at, w = found[0], w.of_rows(spark.read.parquet(found[1]).collect())
-    for k, now in enumerate(range(at, groups * epochs)):
+    of, now = shapes(w), at
+    while now < groups * epochs:
         epoch, b = divmod(now, groups)
-        if stop_after is not None and k == stop_after:
-            raise Paused(f"stopped before step {now}")
-        if pauses and (pause := pauses(now)) and not recovered(*pause):
-            raise Paused(f"step {now}: {pause[0]} with {pause[1]} members")
-        path = batches.cluster(own, home, batch, seed, epoch)
-        rows = min(batch, n - b * batch)
-        grads = gradients(batches.read_batch(spark, path, b, batch, schema), w, scale).collect()
-        w = step(w, grads, round(rate * decay**epoch * scale), scale, rows)
-        batches.commit(spark, home, now + 1, w.rows(), "layer string, i int, j int, y long")
+        end, why, k = b + 1 if batch > batches.STRETCH_ROWS else batches.stretch_end(b, groups, batch), None, b
+        while k < end and not why:
+            at_step = epoch * groups + k
+            if stop_after is not None and at_step - at == stop_after:
+                why = f"stopped before step {at_step}"
+            elif pauses and (pause := pauses(at_step)) and not recovered(*pause):
+                why = f"step {at_step}: {pause[0]} with {pause[1]} members"
+            else:
+                k += 1
+        if k > b:
+            path, part = batches.cluster(own, home, batch, seed, epoch), round(rate * decay**epoch * scale)
+            if batch > batches.STRETCH_ROWS:
+                grads = gradients(batches.read_batch(spark, path, b, batch, schema), w, scale).collect()
+                w = step(w, grads, part, scale, min(batch, n - b * batch))
+            else:
+
+                def fold(flat: np.ndarray, x: np.ndarray, label: np.ndarray, _: int, part: int = part) -> np.ndarray:
+                    cut = {m: flat[start : start + rows * cols].reshape((rows, cols) if m[0] == "w" else rows) for m, start, rows, cols in of}
+                    g = batch_gradients(x, label, cut, scale)
+                    g = np.concatenate([g[m].ravel() for m, *_ in of])
+                    _bounded(g, part)
+                    return flat - _near(part * g, scale * len(x))
+
+                w = _weights(batches.stretch(spark, path, b, k, batch, schema, _flat(w), fold), of)
+            now += k - b
+            batches.commit(spark, home, now, w.rows(), "layer string, i int, j int, y long")
+        if why:
+            raise Paused(why)
     if base is None:
         batches.delete(spark, home)
     return w

@@ -1,11 +1,13 @@
-"""Minibatches stored in the order in which they are read, and weights committed after each step, so
-that a step reads its own rows and a run goes on from its last commit."""
+"""Minibatches stored in the order in which they are read, steps taken a stretch of minibatches at a time, and
+weights committed after each stretch, so that a job reads its own rows and a run goes on from its last commit."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..streaming.streams import shared_dir
 #: Rows to a part (a folder) of the store at least, bytes to a group of rows within it, bits of the
 #: keyed hash below those that bin rows, and commits that are kept.
 PART_ROWS, GROUP_BYTES, BIN_BITS, KEPT = 1 << 18, 1 << 20, 48, 3
+#: Rows of a stretch at most: minibatches that one task goes through, as each step needs the one before.
+STRETCH_ROWS = 1 << 15
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -70,6 +74,32 @@ def read_batch(spark: SparkSession, path: str, b: int, batch: int, schema) -> Da
     return own.where(F.col("batch") == b)
 
 
+def stretch_end(b: int, batches: int, batch: int) -> int:
+    """Where a stretch from batch b ends: within its part, and after STRETCH_ROWS at most."""
+    per = parts_of(batch)
+    return min(b + max(1, STRETCH_ROWS // batch), batches, (b // per + 1) * per)
+
+
+def stretch(spark: SparkSession, path: str, b: int, end: int, batch: int, schema, state: np.ndarray, fold: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """The flat state after fold(state, x, label, batch) of the batches b..end-1 of one part, in order. A label
+    that is null is -1."""
+    own = spark.read.schema(schema).parquet(f"{path}/part={b // parts_of(batch)}")
+    own = own.where(F.col("batch").between(b, end - 1)).select("batch", "pos", "x", "label")
+    kind = "double" if state.dtype == np.float64 else "long"
+
+    def run(t: pa.Table) -> pa.Table:
+        t, now = t.sort_by([("batch", "ascending"), ("pos", "ascending")]), state
+        at = t.column("batch").to_numpy()
+        for k in range(b, end):
+            lo, hi = np.searchsorted(at, [k, k + 1]).tolist()
+            rows = t.slice(lo, hi - lo)
+            x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+            now = fold(now, x, rows.column("label").combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False), k)
+        return pa.table({"state": pa.array([now.tolist()], pa.list_(pa.float64() if kind == "double" else pa.int64()))})
+
+    return np.array(own.groupBy().applyInArrow(run, f"state array<{kind}>").first()[0], state.dtype)
+
+
 def commit(spark: SparkSession, base: str, step: int, rows: Sequence[tuple], schema: str) -> None:
     """The weights after so many steps, as a version of their own; only the last KEPT versions stay."""
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{base}/weights/v={step:09d}")
