@@ -90,19 +90,36 @@ def summed_gradients(rows: DataFrame, w: dict[str, np.ndarray], **how: object) -
 
 def train(x: DataFrame, w: dict[str, np.ndarray], rate: float, batch: int, epochs: int, seed: int = 2026, decay: float = 0.95, clip: float | None = None, **how: object) -> dict[str, np.ndarray]:
     """x(id, x, label): slices of exactly `batch` rows in a keyed order per epoch, stored once an epoch and
-    read one at a time, one job each; the rate decays by epoch and mean gradients are cut at `clip`.
+    gone through a stretch of slices at a time, one job each; slices above batches.STRETCH_ROWS are a job each,
+    their gradients summed over tasks. The rate decays by epoch and mean gradients are cut at `clip`.
     An empty table leaves the weights as they are."""
     spark, own = x.sparkSession, x.select("id", "x", "label")
     n = own.count()
+    groups = -(-n // batch)
     w = {k: v.copy() for k, v in w.items()}
+    names, shapes = list(w), {k: v.shape for k, v in w.items()}
+    cuts = np.cumsum([v.size for v in w.values()])[:-1]
+    split = lambda flat: {k: part.reshape(shapes[k]) for k, part in zip(names, np.split(flat, cuts), strict=True)}
     home, schema = batches.new_folder(spark, "plain"), own.withColumns({"batch": F.lit(0).cast("long"), "pos": F.lit(0)}).schema
+
+    def stepped(w: dict[str, np.ndarray], g: dict[str, np.ndarray], rows: int, epoch: int) -> dict[str, np.ndarray]:
+        means = {k: g[k] / max(1, rows) for k in w}
+        return {k: v - rate * decay**epoch * (np.clip(means[k], -clip, clip) if clip else means[k]) for k, v in w.items()}
+
     for epoch in range(epochs if n else 0):
-        path = batches.cluster(own, home, batch, seed, epoch)
-        for b in range(-(-n // batch)):
-            g, rows = summed_gradients(batches.read_batch(spark, path, b, batch, schema), w, **how)
-            for k in w:
-                mean = g[k] / max(1, rows)
-                w[k] -= rate * decay**epoch * (np.clip(mean, -clip, clip) if clip else mean)
+        path, b = batches.cluster(own, home, batch, seed, epoch), 0
+
+        def fold(flat: np.ndarray, x: np.ndarray, y: np.ndarray, _: int, epoch: int = epoch) -> np.ndarray:
+            w = split(flat)
+            return np.concatenate([v.ravel() for v in stepped(w, batch_gradients(x, y, w, **how), len(y), epoch).values()])
+
+        while b < groups:
+            if batch > batches.STRETCH_ROWS:
+                w, end = stepped(w, *summed_gradients(batches.read_batch(spark, path, b, batch, schema), w, **how), epoch), b + 1
+            else:
+                end = batches.stretch_end(b, groups, batch)
+                w = split(batches.stretch(spark, path, b, end, batch, schema, np.concatenate([v.ravel() for v in w.values()]).astype(np.float64), fold))
+            b = end
         batches.delete(spark, path)
     return w
 

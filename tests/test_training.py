@@ -86,3 +86,25 @@ def test_resumed_equals_whole(spark, sf):
     key = lambda r: (r.layer, r.i, r.j)
     a, b = (sorted(QUERIES[n](spark, sf).collect(), key=key) for n in ("mlp_train_epochs", "mlp_train_resumed"))
     assert a == b
+
+
+def test_stretches_equal_steps_of_a_job_each(spark, sf, monkeypatch):
+    import numpy as np
+
+    from sharemill.operators import plain
+
+    own = vectors(spark, sf, 1 << 16).withColumnRenamed("vec_id", "id")
+    start = model.Weights.start(64, 4, 10, 1 << 16)
+    doubles = own.selectExpr("id", "transform(x, v -> v / 65536D) as x", "label")
+    jobs, real = [], batches.stretch
+    monkeypatch.setattr(batches, "stretch", lambda *a: jobs.append(a[2:4]) or real(*a))
+    got, floats = model.train(own, start, 1 << 16, 0.05, 64, 2), plain.train(doubles, plain.he_start((64, 4, 10)), 0.05, 64, 2, clip=1.0)
+    n = -(-own.count() // 64)
+    assert jobs == [(0, n)] * 4 and n > 2  # a job an epoch, not one a step
+    monkeypatch.setattr(batches, "STRETCH_ROWS", 128)
+    jobs.clear()
+    assert model.train(own, start, 1 << 16, 0.05, 64, 1) != start and len(jobs) == -(-n // 2)
+    monkeypatch.setattr(batches, "STRETCH_ROWS", 1)  # each slice over many tasks
+    assert model.train(own, start, 1 << 16, 0.05, 64, 2) == got
+    single = plain.train(doubles, plain.he_start((64, 4, 10)), 0.05, 64, 2, clip=1.0)
+    assert all(np.allclose(single[k], floats[k], rtol=0, atol=1e-12) for k in single)
