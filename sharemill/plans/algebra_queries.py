@@ -378,8 +378,8 @@ def mlp_train_epochs(spark, d):
 
 @query()
 def mlp_train_resumed(spark, d):
-    """The same two epochs by a run that stops after its first step and another that goes on from the
-    last commit; the weights equal those of mlp_train_epochs."""
+    """The same two epochs by a run that stops after its first step and another that goes on from that
+    commit, in stretches of steps; the weights equal those of mlp_train_epochs."""
     own = vectors(spark, d, S).withColumnRenamed("vec_id", "id")
     base = batches.new_folder(spark, "resumed")
     with contextlib.suppress(model.Paused):
