@@ -37,9 +37,12 @@ def share(df: DataFrame, secret: str, key: Sequence[str], spec: FieldSpec, label
 
 
 def weighted(y: Column, party: Column, points: Sequence[int], target: int, p: int) -> Column:
-    """A share times its interpolation coefficient; parties outside the points count nothing."""
-    lam = basis(points, target, p)
-    return F.coalesce(*(F.when(party == x, mulmod(y, c, p)) for x, c in zip(points, lam, strict=True)), F.lit(0).cast("long"))
+    """A share times its interpolation coefficient; parties outside the points count nothing, and a share
+    that is null stays null."""
+    out = F.when(~party.isin(list(points)), F.lit(0).cast("long"))
+    for x, c in zip(points, basis(points, target, p), strict=True):
+        out = out.when(party == x, mulmod(y, c, p))
+    return out
 
 
 def reconstruct(shares: DataFrame, key: Sequence[str], spec: FieldSpec, parties: Sequence[int] | None = None, value: str = "y", out: str = "secret") -> DataFrame:
