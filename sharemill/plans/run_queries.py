@@ -70,10 +70,13 @@ def kvs_quorum(spark, d):
     return kv.quorum(nodes.withColumn("accepted", kept), ["key", "version", "o_orderkey"], 5)
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS n, min(user_id) AS first, max(user_id) AS last FROM events GROUP BY event_type")
+@query("SELECT event_type, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS members, count(user_id) AS n, min(user_id) AS first, max(user_id) AS last FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type")
 def committee(spark, d):
-    """A committee's size and ends; committee_members has its members in order."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), F.min("user_id").alias("first"), F.max("user_id").alias("last"))
+    """Every committee's members in order, each once, with its size and ends."""
+    m = membership.committee(F.collect_list("user_id"))
+    own = table(spark, d, "events").select("event_type", "user_id").distinct().groupBy("event_type").agg(m.alias("m"))  # ids of one committee
+    members = F.when(F.size("m") > 0, F.array_join(F.col("m").cast("array<string>"), ","))
+    return own.select("event_type", members.alias("members"), F.size("m").cast("long").alias("n"), F.array_min("m").alias("first"), F.array_max("m").alias("last"))
 
 
 @query("""WITH m AS (SELECT DISTINCT date_trunc('day', ts) AS day, user_id FROM events), p AS (SELECT a.day, count(b.user_id) AS stayed, count(*) AS members FROM m a LEFT JOIN m b ON b.user_id = a.user_id AND b.day = a.day - INTERVAL 1 DAY GROUP BY a.day)
