@@ -33,8 +33,8 @@ PART, MOST_BUCKETS = 32 << 20, 1 << 20
 #: Rounds before averaging and rounds averaged, after each of which totals are exchanged; sweeps a round.
 BURN, SAMPLES, LOCAL = 1, 2, 2
 #: Concentrations of the restaurants and of their parent; customers of a word in a restaurant up to
-#: which they leave and come again one at a time.
-THETA, THETA_PARENT, SINGLY = 20.0, 50.0, 32
+#: which they leave and come again one at a time, with their tables' sizes; draws taken at once for others.
+THETA, THETA_PARENT, SINGLY, AT_ONCE = 20.0, 50.0, 32, 1 << 20
 END = b""
 
 CODED = "kind int, chunk long, bucket int, doc_id long, held_out boolean, n_tokens int, codes binary, ws binary, at binary, sizes binary, ctxs binary, ns binary"
@@ -188,16 +188,16 @@ def dealt(asked: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     return asked, few, groups or 1, most or 1
 
 
-def hashed(w: np.ndarray, c: np.ndarray, sweep: int, step: int) -> np.ndarray:
+def hashed(w: np.ndarray, c: np.ndarray, sweep: int, step: int | np.ndarray) -> np.ndarray:
     """64 bits for each word and restaurant, the same on any machine and in any order."""
     with np.errstate(over="ignore"):
-        x = w ^ (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((sweep << 40) + (step << 8) + SEED)
+        x = w ^ (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.asarray((sweep << 40) + (step << 8) + SEED).astype(np.uint64)
         for k, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(k))) * np.uint64(m)
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(w: np.ndarray, c: np.ndarray, sweep: int, step: int) -> np.ndarray:
+def uniform(w: np.ndarray, c: np.ndarray, sweep: int, step: int | np.ndarray) -> np.ndarray:
     """A number in [0, 1) for each."""
     return (hashed(w, c, sweep, step) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
@@ -209,9 +209,10 @@ def two_uniform(w: np.ndarray, c: np.ndarray, sweep: int, step: int) -> tuple[np
 
 
 def seated(w: np.ndarray, c: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, sweep: int) -> np.ndarray:
-    """Tables after the customers of a dish left and came again. new: weight of a new table, all
-    else given. The first SINGLY customers are seated one at a time; later ones in blocks of
-    doubling length whose expected new tables are rounded up or down at random, without bias."""
+    """Tables after the customers of a dish left and came again, one at a time. new: weight of a new table,
+    all else given. Customer k opens a table if its draw is below new / (new + k - discount * tables). Of
+    later customers, in blocks of doubling length, only those are looked at whose draw is below what it
+    could be with as many tables as can be open by then; the others sit down at tables that there are."""
     tables = np.minimum(customers, 1).astype(np.float64)
     live = np.flatnonzero(customers > 1)
     for k in range(1, SINGLY):
@@ -222,16 +223,44 @@ def seated(w: np.ndarray, c: np.ndarray, customers: np.ndarray, new: np.ndarray,
         live = live[customers[live] > k + 1]
     lo = SINGLY
     while len(live):
-        n = np.minimum(customers[live], 2 * lo) - lo
-        t, a = tables[live], new[live]
-        near = a + lo - 0.5 - discount * t
-        mean = a * np.log1p(n / near)  # the sum of a / (a + k - discount * t) over the block
-        tables[live] += np.minimum(n, np.floor(mean + uniform(w[live], c[live], sweep, lo)))
+        n = (np.minimum(customers[live], 2 * lo) - lo).astype(np.int64)
+        ends = np.cumsum(n)
+        for first, last in slices(ends, AT_ONCE):
+            own, size = live[first:last], n[first:last]
+            for start in range(0, int(size.max()), AT_ONCE):  # a longer block of one dish in parts
+                come(tables, own, np.clip(size - start, 0, AT_ONCE), lo + start, w, c, new, discount, sweep)
         lo *= 2
         live = live[customers[live] > lo]
     return tables
 
 
+def slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of items whose sizes, of which ends are the running sums, make up `most`, or one item each."""
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def come(tables: np.ndarray, own: np.ndarray, size: np.ndarray, lo: int, w: np.ndarray, c: np.ndarray, new: np.ndarray, discount: float, sweep: int) -> None:
+    """The customers lo, lo + 1, ..., so many of each of `own`, come in turn."""
+    of = np.repeat(np.arange(len(own)), size)
+    k = ranges(np.full(len(own), lo), size)
+    a, before = new[own], tables[own]
+    u = uniform(w[own][of], c[own][of], sweep, k)
+    can = np.flatnonzero(u * (a[of] + k - discount * (before[of] + (k - lo))) < a[of])
+    of, k, u = of[can], k[can], u[can]
+    left = np.bincount(of, minlength=len(own))
+    at = np.cumsum(left) - left
+    todo, i = np.flatnonzero(left), 0
+    while len(todo):  # the i-th of each dish's that are looked at
+        j, t = at[todo] + i, tables[own[todo]]
+        tables[own[todo]] += u[j] * (a[todo] + k[j] - discount * t) < a[todo]
+        i += 1
+        todo = todo[left[todo] > i]
+
+
 def take(tables: np.ndarray, u: np.ndarray) -> None:
     """A customer leaves each column of table sizes, all customers alike."""
     cum = np.cumsum(tables, axis=0)
@@ -275,7 +304,7 @@ class Words:
     def sweep(self, k: int, g: dict) -> None:
         """Each customer of a word with few in its restaurant leaves and comes again, one at a time;
         restaurants' totals and the parent's probabilities are those of the last exchange and sweep.
-        Words with many are seated anew by seated(), and so is the parent."""
+        Of words with many all leave first and come again in turn by seated(), and so in the parent."""
         new = (THETA + g["d"] * g["T"][self.c]) * self.parent(g)[self.of]
         for own, tables in self.few:
             w, c, a = self.pair_w[own], self.c[own], new[own]

@@ -219,3 +219,19 @@ def test_groups_of_chunks_do_not_change_scores(spark, sf, monkeypatch):
     monkeypatch.setattr(H, "PART", 20_000)  # several groups of chunks to a bucket, more of them to one with frequent words
     two = {r.doc_id: r.score for r in H.score(docs).collect()}
     assert all(abs(one_[k] - two[k]) < 1e-3 for k in one_)
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 64])
+def test_customers_of_any_number_are_seated_one_at_a_time(monkeypatch, at_once):
+    monkeypatch.setattr(H, "AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    customers = np.array([1, 2, 31, 32, 33, 64, 65, 129, 700, 5000, 5000, 40])
+    w, c = rng.integers(0, 1 << 63, len(customers)).astype(np.uint64), rng.integers(0, 100, len(customers))
+    for d in (0.0, 0.4, 0.9):
+        new = rng.uniform(0.01, 60, len(customers))
+        got = H.seated(w, c, customers, new, d, 5)
+        for i, n in enumerate(customers.tolist()):
+            t = 1.0
+            for k in range(1, n):
+                t += float(H.uniform(w[i : i + 1], c[i : i + 1], 5, k)[0]) * (new[i] + k - d * t) < new[i]
+            assert got[i] == t
