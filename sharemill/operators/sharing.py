@@ -81,30 +81,28 @@ def packed_reconstruct(shares: DataFrame, key: Sequence[str], spec: FieldSpec, p
 
 def unpack(shares: DataFrame, key: Sequence[str], spec: FieldSpec, label: str = "unpack") -> DataFrame:
     """Packed shares to plain shares of each lane, without opening: each of t + k parties re-shares
-    its weighted share, and receivers add up. (key, lane, party, y)."""
-    use = spec.parties[: spec.needed]
+    its weighted share, and receivers add up. (key, lane, party, y). A row is summed for all lanes and receivers
+    before it is spread, so one shuffle on key serves what follows too."""
+    use, keys = spec.parties[: spec.needed], [F.col(k) for k in key]
     own = shares.where(F.col("party").isin(use)).withColumnRenamed("party", "sender")
-    lanes = F.array(*(F.struct(F.lit(j).alias("lane"), weighted(F.col("y"), F.col("sender"), use, -(j + 1), spec.p).alias("part")) for j in range(spec.k)))
-    parts = own.withColumn("_l", F.explode(lanes)).select(*key, "sender", "_l.lane", "_l.part")
-    sent = share(parts, "part", [*key, "sender", "lane"], spec, label)
-    return sent.groupBy(*key, "lane", "party").agg(modsum(F.col("y"), spec.p).alias("y"))
+    marks = {j: masks(spec, label, *keys, F.col("sender"), F.lit(j)) for j in range(spec.k)}
+    own = own.withColumns({f"_m{j}_{k}": m for j, v in marks.items() for k, m in enumerate(v)} | {f"_p{j}": weighted(F.col("y"), F.col("sender"), use, -(j + 1), spec.p) for j in marks})
+    cells = [(j, i) for j in marks for i in spec.parties]
+    wide = own.groupBy(*key).agg(*(modsum(at_party(F.col(f"_p{j}"), i, [F.col(f"_m{j}_{k}") for k in range(spec.t)], spec.p), spec.p).alias(f"_y{j}_{i}") for j, i in cells))
+    rows = F.array(*(F.struct(F.lit(j).alias("lane"), F.lit(i).alias("party"), F.col(f"_y{j}_{i}").alias("y")) for j, i in cells))
+    return wide.select(*key, F.explode(rows).alias("_s")).select(*key, "_s.lane", "_s.party", "_s.y")
 
 
 def pack(lanes: DataFrame, key: Sequence[str], spec: FieldSpec, label: str = "pack") -> DataFrame:
     """Plain lane shares to packed shares, without opening: party i sends target j the sum over
     lanes of L_lane(j) y, weighted to the secret, and targets add a mask that vanishes at the
-    secrets. (key, party, y) of degree t + k - 1."""
+    secrets. (key, party, y) of degree t + k - 1. A row is summed for all targets before it is spread."""
     points, use = [-j for j in range(1, spec.k + 1)], spec.parties[: spec.t + 1]
-    coeff = {j: basis(points, j, spec.p) for j in spec.parties}
-    rows = []
-    for j in spec.parties:
-        part = F.coalesce(*(F.when(F.col("lane") == m, mulmod(F.col("_w"), c, spec.p)) for m, c in enumerate(coeff[j])))
-        rows.append(F.struct(F.lit(j).alias("target"), part.alias("part")))
     own = lanes.where(F.col("party").isin(use)).withColumn("_w", weighted(F.col("y"), F.col("party"), use, 0, spec.p))
-    sent = own.withColumn("_r", F.explode(F.array(*rows))).select(*key, "_r.target", "_r.part")
-    summed = sent.groupBy(*key, F.col("target").alias("party")).agg(modsum(F.col("part"), spec.p).alias("y"))
-    hide = F.coalesce(*(F.when(F.col("party") == j, mulmod(element(spec.p, label, *map(F.col, key), 1), vanishing(points, j, spec.p), spec.p)) for j in spec.parties))
-    return summed.select(*key, "party", ((F.col("y") + hide) % spec.p).alias("y"))
+    part = {j: F.coalesce(*(F.when(F.col("lane") == m, mulmod(F.col("_w"), c, spec.p)) for m, c in enumerate(basis(points, j, spec.p)))) for j in spec.parties}
+    summed = own.groupBy(*key).agg(*(modsum(v, spec.p).alias(f"_y{j}") for j, v in part.items())).withColumn("_h", element(spec.p, label, *map(F.col, key), 1))
+    rows = (F.struct(F.lit(j).alias("party"), ((F.col(f"_y{j}") + mulmod(F.col("_h"), vanishing(points, j, spec.p), spec.p)) % spec.p).alias("y")) for j in spec.parties)
+    return summed.select(*key, F.explode(F.array(*rows)).alias("_s")).select(*key, "_s.party", "_s.y")
 
 
 def redistribute(shares: DataFrame, key: Sequence[str], senders: Sequence[int], receivers: Sequence[int], p: int) -> DataFrame:
