@@ -44,3 +44,8 @@ def test_whole_jobs(spark, sf, name):
         assert got and {r.label for r in got} <= labels  # a label's commits are one chain
     elif name == "committee":
         assert all(len(r.members.split(",")) == r.n for r in got)
+
+
+def test_packed_rows_are_shuffled_once(spark, sf):
+    plan = QUERIES["lanes_to_packed"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
