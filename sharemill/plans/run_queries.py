@@ -353,5 +353,5 @@ def mailbox_stream(spark, d):
     and what nobody takes within 24 hours of the last event is evicted."""
     stream, late = streams.replayed(table(spark, d, "events"), "ts", mixed=True, end=_END)
     kind = F.when(F.col("event_type") == "purchase", "take").otherwise(F.col("event_type"))
-    own = streams.run(folds.mailbox(stream, "ts", "event_id", "user_id", kind, F.col("value"), late, 24), "mailbox")
+    own = streams.run(folds.mailbox(stream, "ts", "event_id", "user_id", kind, F.col("value"), late, 24, streams.buckets(table(spark, d, "events"))), "mailbox")
     return own.withColumn("value", F.col("value").cast("double"))
