@@ -338,7 +338,7 @@ def membership_fold_stream(spark, d):
     watermark, and the running numbers follow from the table that the stream wrote."""
     stream, late = streams.replayed(table(spark, d, "events"), "ts", mixed=True, end=_END)
     kind = F.when(F.col("event_type") == "signup", "join").when(F.col("event_type") == "error", "drop").when(F.col("event_type") == "purchase", "reshare_complete").when(F.col("event_type") == folds.TICK, folds.TICK)
-    deltas = streams.run(folds.membership(stream, "ts", "event_id", "user_id", kind, late), "membership_fold")
+    deltas = streams.run(folds.membership(stream, "ts", "event_id", "user_id", kind, late, streams.buckets(table(spark, d, "events"))), "membership_fold")
     own = deltas.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
     return membership.totals(own, "ts", "event_id", "kind", "delta").select("event_id", "n_active", "paused", "epoch")
 

@@ -4,8 +4,9 @@ import datetime
 import random
 
 from pyspark.sql import functions as F
-from test_streams import DAY, START, boxes, events
+from test_streams import DAY, START, boxes, events, loop
 
+from sharemill.operators import membership as batch
 from sharemill.streaming import folds, streams
 
 END = {"event_id": -1, "ts": "2100-01-01", "user_id": -1, "event_type": folds.TICK}
@@ -29,3 +30,13 @@ def test_mailboxes_of_a_bucket_share_their_state(spark):
     want = [(c, s, i, str(v), how, by) for c, s, i, v, how, by in boxes(rows, DAY)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert any(w[0] is None for w in want) and most("boxes") < 150 and streams.PROGRESS["boxes"][-1][1] == 0
+
+
+def test_nodes_of_a_bucket_share_their_state(spark):
+    rows = many(seed=6)
+    stream, late = streams.replayed(events(spark, rows), "ts", mixed=True, end=END)
+    kind = F.when(F.col("event_type") == "signup", "join").when(F.col("event_type") == "error", "drop").when(F.col("event_type") == "purchase", "reshare_complete").when(F.col("event_type") == folds.TICK, folds.TICK)
+    deltas = streams.run(folds.membership(stream, "ts", "event_id", "user_id", kind, late, buckets=3), "nodes")
+    own = batch.totals(deltas.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")), "ts", "event_id", "kind", "delta")
+    assert {r.event_id: (r.n_active, r.paused, r.epoch) for r in own.collect()} == loop(rows)
+    assert most("nodes") < 150
