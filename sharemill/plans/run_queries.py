@@ -316,7 +316,7 @@ f AS (SELECT node, greatest(ts + INTERVAL 36 HOUR, {_GRACE}) AS failed_at, nx AS
 SELECT node, failed_at, recovered_at FROM f WHERE coalesce(recovered_at, fin) > failed_at""")
 def failure_grace_stream(spark, d):
     """Failures as a stream that is muted until the grace period ends, over several micro-batches."""
-    own = streams.run(streams.failures(streams.events(spark, d), "user_id", 36, 1_704_412_800_000_000), "failures_grace")
+    own = streams.run(streams.failures(streams.events(spark, d), "user_id", 36, 1_704_412_800_000_000, streams.buckets(table(spark, d, "events"))), "failures_grace")
     return own.select("node", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("failed_at", "recovered_at")))
 
 
