@@ -304,7 +304,7 @@ def sampler_stream(spark, d):
 SELECT node, ts + INTERVAL 36 HOUR AS failed_at, nx AS recovered_at FROM n WHERE coalesce(nx, fin) > ts + INTERVAL 36 HOUR""")
 def failure_stream(spark, d):
     """The failures found as a stream, by each node's timer."""
-    own = streams.run(streams.failures(streams.events(spark, d), "user_id", 36), "failures")
+    own = streams.run(streams.failures(streams.events(spark, d), "user_id", 36, buckets=streams.buckets(table(spark, d, "events"))), "failures")
     return own.select("node", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("failed_at", "recovered_at")))
 
 
