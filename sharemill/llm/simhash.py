@@ -317,7 +317,22 @@ def tiles(banded: DataFrame, groups: DataFrame, parts: DataFrame) -> DataFrame:
     return own.withColumn("mine", mine).select("rep", "comp", F.explode(F.when(F.col("near"), near).otherwise(far)).alias("tile"))
 
 
-def classed(docs: DataFrame, ngram: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def by_tree(texts: DataFrame, radius: int) -> DataFrame:
+    """(rep, band): texts whose fingerprints the vantage-point tree links, directly or through others, have
+    one number. A text without words is like no other, and one that nothing is linked to is left out."""
+    own = texts.where(F.size("bands") > 0).select("rep", "fp")
+    linked = connected_components(links(own.select("fp").distinct(), radius))
+    alone = own.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("node"), F.col("fp").alias("component")).join(linked, "node", "left_anti")
+    classes = linked.union(alone)
+    return materialize(own.join(classes, own.fp == classes.node).select("rep", F.xxhash64(F.lit("tree"), "component").alias("band")), "near")
+
+
+def by_bands(texts: DataFrame) -> DataFrame:
+    """(rep, band): similar texts beyond the tree's radius have some of these in common."""
+    return texts.select("rep", F.explode("bands").alias("band"))
+
+
+def classed(docs: DataFrame, ngram: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows, and the different word sequences (digest, n, least, best, component):
     a component's sequences are connected. The nodes are numbers of sequences, never ids, so texts
     that share an id and texts without one are classed like others."""
@@ -326,7 +341,7 @@ def classed(docs: DataFrame, ngram: int, similarity: float) -> tuple[DataFrame,
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "mark"))
     texts = own.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), best.alias("best"), F.min("place").alias("place"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     texts = materialize(texts.withColumn("rep", F.monotonically_increasing_id()), "texts")
-    banded = texts.select("rep", F.explode("bands").alias("band"))
+    banded = by_tree(texts, radius).union(by_bands(texts))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
     groups = materialize(groups.groupBy("n", "least", "mark").agg(F.min("band").alias("band")), "groups")  # the same texts meet in many bands
     sets = own.select("place", "digest", "fp", "hashes").join(texts.select("digest", "place", "rep"), ["digest", "place"]).select("rep", "fp", "hashes")
@@ -350,17 +365,18 @@ def classed(docs: DataFrame, ngram: int, similarity: float) -> tuple[DataFrame,
     return own, texts.join(parts, texts.rep == parts.node, "left").select("digest", "n", "least", "best", "rep", F.coalesce("component", "rep").alias("component"))
 
 
-def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, component_id) for every row: texts whose sets of n-word
     shingles are at least so similar (Jaccard) are linked, and links are followed.
 
-    At this similarity 64-bit SimHashes differ in up to 17 bits, a radius at which no ball of a
-    vantage-point tree prunes anything. Texts therefore become candidates by bands of least
-    shingle hashes; SimHash then puts near pairs first, and the sets decide. Equal word sequences are one text from the start. Groups larger than BLOCK first meet
+    Texts whose SimHashes differ in `radius` bits at most meet by the vantage-point tree, none of them lost.
+    At this similarity SimHashes differ in up to 17 bits, a radius at which no ball of the tree prunes
+    anything, so texts further apart meet by bands of least shingle hashes. In both cases SimHash
+    puts near pairs first, and the sets decide. Equal word sequences are one text from the start. Groups larger than BLOCK first meet
     their least text; those connected by that aren't compared with each other, and the rest meets
     all in pairs of blocks. Null and empty texts are alike; a component is named by its least id (null
     only where none of its rows has one); repeated rows are kept; an empty table gives an empty result."""
-    own, texts = classed(docs, ngram, similarity)
+    own, texts = classed(docs, ngram, similarity, radius)
     named = texts.groupBy("component").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
     class_of = with_value(texts.select("digest", F.col("n").alias("rows"), "rep", "component"), named, "component", F.col("rep"))
     class_of = class_of.select("digest", F.col("rows").alias("n"), "component_id")
@@ -371,12 +387,12 @@ def similar(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFra
 MOST_IDS = 1_000_000
 
 
-def deduplicated(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """The rows of docs with exactly one row of each group of similar texts: the least by doc_id (nulls
     last), then by the digest of its words. Different texts that share an id, and texts without one,
     are groups like others, so none of them is lost. Of rows that repeat id and text the least by all
     columns stays. Columns are those of docs, whatever their names."""
-    own, texts = classed(docs, ngram, similarity)
+    own, texts = classed(docs, ngram, similarity, radius)
     best = texts.select("component", F.struct("best.null_last", "best.doc_id", "digest", "best.mark").alias("best"))
     kept = best.groupBy("component").agg(F.min("best").alias("best")).select("best.mark")
     marks = own.groupBy("mark").agg(F.count("*").alias("n"))
