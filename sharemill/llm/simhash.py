@@ -1,7 +1,9 @@
-"""SimHash near-duplicates. Fingerprints are dealt out by a vantage-point tree: each node sends a
-fingerprint inside or outside its ball, and one within `radius` of the border to both sides, so
-every pair within `radius` meets in some shard. Shards are searched exactly. The tree grows by
-levels, each a job that splits the shards which are still too large."""
+"""SimHash near-duplicates. Fingerprints are dealt out by vantage-point trees: each node sends a
+fingerprint inside or outside its ball. There are radius + 1 trees, each of which measures on its own
+part of the bits. Two fingerprints within `radius` bits are equal in one of the parts, so in that tree
+they are as far from every vantage point and meet in a shard, and none is sent to both sides. Shards
+are searched exactly. The trees grow by levels, each a job that splits the shards which are still
+too large."""
 
 from __future__ import annotations
 
@@ -106,24 +108,49 @@ def shard_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(fps[x]), int(fps[y])) for x, y in out]
 
 
-def split(dealt: DataFrame, large: DataFrame, radius: int) -> DataFrame:
-    """The rows (shard, fp) of the shards in large(shard, n), dealt on by a subtree of each, with
-    `final` true where a subtree couldn't split its shard."""
+def parts_of(free: int, radius: int) -> list[int]:
+    """Masks of radius + 1 parts, as equal as can be, of the bits that are set in free."""
+    bits = [k for k in range(64) if free >> k & 1]
+    return [sum(1 << k for k in bits[i :: radius + 1]) for i in range(radius + 1)]
+
+
+def plant_anew(dealt: DataFrame, radius: int) -> DataFrame:
+    """Rows (shard, fp, free, part) of shards that no tree was planted for or whose tree can't split
+    them, once for each tree of the next ones. Only pairs that are equal in `part` have to meet, so its
+    values part them, and what is left of `free` is parted for the next trees."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, fp, free, part = (b.column(k).to_numpy().view(np.uint64) for k in range(4))
+            left = free & ~part
+            for own in np.unique(left):
+                i = np.flatnonzero(left == own)
+                for next_part in parts_of(int(own), radius):
+                    columns = shard[i], fp[i], np.full(len(i), own), np.full(len(i), next_part, np.uint64), fp[i] & part[i]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["shard", "fp", "free", "part", "value"])
+
+    anew = dealt.select("shard", "fp", "free", "part").mapInArrow(deal, "shard long, fp long, free long, part long, value long")
+    return anew.select(F.xxhash64("shard", "value", "part").alias("shard"), "fp", "free", "part", F.lit(False).alias("final"))
+
+
+def split(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows (shard, fp, free, part) of the shards in large(shard, n), dealt on by a subtree of each,
+    with `final` true where a subtree couldn't split its shard."""
     rate = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
-    drawn = dealt.join(large, "shard").where(F.pmod(F.xxhash64(F.lit(99), "fp"), F.lit(1 << 30)) < rate * (1 << 30)).select("shard", "fp", "n")
+    drawn = dealt.join(large, "shard").where(F.pmod(F.xxhash64(F.lit(99), "fp"), F.lit(1 << 30)) < rate * (1 << 30)).select("shard", F.col("fp").bitwiseAND(F.col("part")).alias("fp"), "n")
 
     def grow(t: pa.Table) -> pa.Table:
         own, n = np.sort(t.column("fp").to_numpy().view(np.uint64)), t.column("n")[0].as_py()
         depth = max(1, min(DEEPEST, math.ceil(math.log(n / SHARD) / math.log(1 / 0.6))))
-        at, mu = plant(own, depth, radius)
+        at, mu = plant(own, depth, 0)
         return pa.table({"shard": t.column("shard")[:1], "n": t.column("n")[:1], "at": pa.array([at.tobytes()], pa.binary()), "mu": pa.array([mu.tobytes()], pa.binary())})
 
     trees = materialize(drawn.groupBy("shard").applyInArrow(grow, "shard long, n long, at binary, mu binary"), "subtrees")
     # a subtree goes ahead of its shard's rows into each task that has some of them
     tasks = F.ceil(F.col("n") / ROWS_PER_TASK).cast("int")
-    ahead = trees.select("shard", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(None).cast("long").alias("fp"), "at", "mu")
-    none = F.lit(None).cast("binary")
-    rows = dealt.join(trees.select("shard", tasks.alias("tasks")), "shard").select("shard", F.pmod(F.xxhash64("fp"), F.col("tasks")).cast("int").alias("task"), "fp", none.alias("at"), none.alias("mu"))
+    no_row, no_tree = (F.lit(None).cast("long").alias(c) for c in ("fp", "free", "part")), (F.lit(None).cast("binary").alias(c) for c in ("at", "mu"))
+    ahead = trees.select("shard", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), *no_row, "at", "mu")
+    rows = dealt.join(trees.select("shard", tasks.alias("tasks")), "shard").select("shard", F.pmod(F.xxhash64("fp"), F.col("tasks")).cast("int").alias("task"), "fp", "free", "part", *no_tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = mu = None
@@ -133,40 +160,41 @@ def split(dealt: DataFrame, large: DataFrame, radius: int) -> DataFrame:
             borders = sorted({0, b.num_rows} | heads)
             for lo, hi in zip(borders, borders[1:], strict=False):
                 if lo in heads:
-                    at, mu = np.frombuffer(b.column(2)[lo].as_py(), np.uint64), np.frombuffer(b.column(3)[lo].as_py(), np.int16)
+                    at, mu = np.frombuffer(b.column(4)[lo].as_py(), np.uint64), np.frombuffer(b.column(5)[lo].as_py(), np.int16)
                     lo += 1
                 if lo == hi:
                     continue
-                own = b.column(1).slice(lo, hi - lo).to_numpy().view(np.uint64)
-                i, leaf = route(own, at, mu, radius)
+                fp, free, part = (b.column(k).slice(lo, hi - lo).to_numpy().view(np.uint64) for k in (1, 2, 3))
+                i, leaf = route(fp & part, at, mu, 0)
                 leaves, inv = np.unique(leaf, return_inverse=True)
-                ids = np.array([xxhash.xxh64_intdigest(f"{of[lo]}/{x}".encode(), SEED) for x in leaves.tolist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[inv]), pa.array(own[i].view(np.int64)), pa.array(np.full(len(i), mu[1] < 0))], names=["shard", "fp", "final"])
+                ids = np.array([xxhash.xxh64_intdigest(f"{of[lo]}/{x}".encode(), SEED) for x in leaves.tolist()], np.uint64)
+                columns = [pa.array(c.view(np.int64)) for c in (ids[inv], fp[i], free[i], part[i])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(i), mu[1] < 0))], names=["shard", "fp", "free", "part", "final"])
 
     spread = rows.union(ahead).repartition(shuffle_partitions(dealt.sparkSession), "shard", "task").sortWithinPartitions("shard", "task", F.col("fp").asc_nulls_first())
-    return spread.select("shard", "fp", "at", "mu").mapInArrow(deal, "shard long, fp long, final boolean")
+    return spread.select("shard", "fp", "free", "part", "at", "mu").mapInArrow(deal, "shard long, fp long, free long, part long, final boolean")
 
 
 def shards(fps: DataFrame, radius: int) -> DataFrame:
     """fps(fp long) of distinct values -> (shard, fp): each pair within `radius` bits shares a shard.
-    Shards above SHARD are split level by level; where no vantage point saves comparisons (all lie
-    about as far from each other), a shard's fingerprints are dealt into blocks and each two blocks
-    meet, which is as many comparisons as the shard has pairs."""
-    dealt = materialize(fps.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(False).alias("final")), "shards")
+    Above SHARD fingerprints are dealt to radius + 1 trees, whose shards are split level by level. A
+    shard that a tree can't split, as it is mostly of one value in the tree's part of the bits, is
+    dealt by that value to trees over parts of the other bits. Bits become fewer each time, and so few
+    that they tell at most SHARD fingerprints apart end it. So a fingerprint has radius + 1 copies, and
+    more only in shards of over SHARD that agree in a part, however large the table is."""
+    dealt = materialize(fps.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(-1).cast("long").alias("free"), F.lit(0).cast("long").alias("part"), F.lit(True).alias("final")), "shards")
     out = None
     while True:
-        large = materialize(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.max("final").alias("final")).where(F.col("n") > SHARD), "large")
+        large = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.max("final").alias("final"), F.max(F.bit_count(F.col("free").bitwiseXOR(F.col("part")))).alias("left"))
+        large = materialize(large.where((F.col("n") > SHARD) & (~F.col("final") | (F.col("left") > radius))), "large")
         done = dealt.join(large, "shard", "left_anti").select("shard", "fp")
         out = done if out is None else out.union(done)
         stuck, todo = large.agg(F.count_if("final"), F.count_if(~F.col("final"))).first()
-        if stuck:
-            blocks = large.where("final").select("shard", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks"))
-            own = dealt.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")).cast("int"))
-            meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("shard", F.least("own", j), F.greatest("own", j)))
-            out = out.union(own.select(F.explode(meets).alias("shard"), "fp"))
-        if not todo:
+        if not stuck and not todo:
             return out
-        dealt = materialize(split(dealt.where("not final").select("shard", "fp"), large.where("not final").select("shard", "n"), radius), "shards")
+        anew = plant_anew(dealt.join(large.where("final").select("shard"), "shard"), radius) if stuck else None
+        further = split(dealt.where("not final"), large.where("not final").select("shard", "n")) if todo else None
+        dealt = materialize(anew.union(further) if stuck and todo else anew if stuck else further, "shards")
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
